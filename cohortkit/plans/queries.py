@@ -10,13 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.expr import null_label
 from ..operators import browse as B
+from ..operators import evaluation as E
+from ..operators import scoring as S
+from ..operators import training as M
+from . import jobs as J
 from ..operators import features as X
 from ..operators import quality as Q
 from ..operators import rollups as A
 from ..sources import roles
 from . import oracle as O
-from .registry import register
+from .registry import ORACLES, register
 
 FEATURE_CTES = O.FEATURE_CTES
 
@@ -287,7 +292,7 @@ def q_gpa_histogram(spark, sf_dir):
 @register("course_metrics", O.with_roles(O.PER_COURSE, O.COURSE_ROLLUP, body="""
 select count(*) as total_courses, avg(completion_rate) as avg_completion_rate,
        coalesce(avg(average_grade_point), 0.0) as avg_grade_point,
-       coalesce(sum(total_enrollments), 0) as total_enrollments
+       cast(coalesce(sum(total_enrollments), 0) as bigint) as total_enrollments
 from course_rollup"""))
 def q_course_metrics(spark, sf_dir):
     return A.course_metrics(course_rollup(spark, sf_dir))
@@ -510,3 +515,367 @@ from enrollments e left join (select distinct course_id from courses) c on e.cou
 def q_orphan_rows(spark, sf_dir):
     s, c, e = _views(spark, sf_dir)
     return Q.orphan_report(e, {"student_id": s, "course_id": c})
+
+
+# --- P2, P5-P9: scoring rules on the heuristic score -------------------------
+
+def heuristic_frame(spark, sf_dir):
+    return S.heuristic_score(feature_table(spark, sf_dir))
+
+
+H_OFF = fixed.HEURISTIC_OFFSET
+HEURISTIC_CTE = f"""
+heuristic as (
+  select *, least(gpa / cast(4 as double) + cast({H_OFF!r} as double), cast(1 as double)) as success_probability
+  from features_encoded)
+"""
+
+
+def _when_chain_sql(expr: str, tiers, op: str, value) -> str:
+    arms, last = [], None
+    for t in tiers:
+        if t[0] is None:
+            last = value(t)
+        else:
+            arms.append(f"when {expr} {op} {t[0]!r} then {value(t)}")
+    return f"case {' '.join(arms)} else {last} end"
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+RISK_SQL = {
+    "risk_level": _when_chain_sql("success_probability", fixed.RISK_TIERS, ">=", lambda t: _q(t[1])),
+    "risk_icon": _when_chain_sql("success_probability", fixed.RISK_TIERS, ">=", lambda t: _q(t[2])),
+    "confidence": _when_chain_sql("greatest(success_probability, 1 - success_probability)",
+                                  fixed.CONFIDENCE_LEVELS, ">", lambda t: _q(t[1])),
+}
+
+
+@register("heuristic_score", O.with_roles(*FEATURE_CTES, HEURISTIC_CTE, body=f"""
+select student_id, gpa, success_probability,
+       {_when_chain_sql('success_probability', fixed.HEURISTIC_TIERS, '<', lambda t: _q(t[1]))} as heuristic_risk
+from heuristic"""))
+def q_heuristic_score(spark, sf_dir):
+    return heuristic_frame(spark, sf_dir).select("student_id", "gpa", "success_probability", "heuristic_risk")
+
+
+@register("risk_tiers", O.with_roles(*FEATURE_CTES, HEURISTIC_CTE, body=f"""
+select student_id, success_probability, {RISK_SQL['risk_level']} as risk_level,
+       {RISK_SQL['risk_icon']} as risk_icon, {RISK_SQL['confidence']} as confidence,
+       greatest(success_probability, 1 - success_probability) as confidence_score
+from heuristic"""))
+def q_risk_tiers(spark, sf_dir):
+    return (S.assess_risk(heuristic_frame(spark, sf_dir))
+            .select("student_id", "success_probability", "risk_level", "risk_icon", "confidence",
+                    "confidence_score"))
+
+
+def _tier_size_sql() -> str:
+    return _when_chain_sql("success_probability", fixed.RISK_TIERS, ">=", lambda t: str(len(t[3])))
+
+
+def _tier_first_sql() -> str:
+    return _when_chain_sql("success_probability", fixed.RISK_TIERS, ">=", lambda t: _q(t[3][0]))
+
+
+@register("recommendations", O.with_roles(*FEATURE_CTES, HEURISTIC_CTE, f"""
+flags as (
+  select *, coalesce(drop_rate, 0) > {fixed.HIGH_DROP_RATE!r} as drop_note,
+            coalesce(gpa, 4.0) < {fixed.LOW_GPA!r} as gpa_note
+  from heuristic)""", body=f"""
+select student_id, {RISK_SQL['risk_level']} as risk_level,
+       cast({_tier_size_sql()} + cast(drop_note as integer) + cast(gpa_note as integer) as integer)
+         as n_recommendations,
+       case when gpa_note then {_q(fixed.LOW_GPA_TEXT)} when drop_note then {_q(fixed.HIGH_DROP_TEXT)}
+            else {_tier_first_sql()} end as first_recommendation
+from flags"""))
+def q_recommendations(spark, sf_dir):
+    r = S.assess_risk(heuristic_frame(spark, sf_dir))
+    return r.select("student_id", "risk_level",
+                    F.size("recommendations").alias("n_recommendations"),
+                    F.col("recommendations")[0].alias("first_recommendation"))
+
+
+def _interpretation_sql() -> str:
+    text = f"printf('%.1f%%', {O.rhu('success_probability * cast(100 as double)', 1)})"
+
+    def sentence(t):
+        head, tail = t[1].split("{p}")
+        return f"concat({_q(head)}, {text}, {_q(tail)})"
+    return _when_chain_sql("success_probability", fixed.INTERPRETATIONS, ">=", sentence)
+
+
+@register("explanations", O.with_roles(*FEATURE_CTES, HEURISTIC_CTE, body=f"""
+select student_id, success_probability, {_interpretation_sql()} as interpretation,
+       10 as n_key_features, cast(gpa as double) as gpa_value,
+       cast(total_enrollments as double) as total_enrollments_value
+from heuristic"""))
+def q_explanations(spark, sf_dir):
+    e = S.explain(heuristic_frame(spark, sf_dir))
+    return e.select("student_id", "success_probability", "interpretation",
+                    F.size("key_features").alias("n_key_features"),
+                    F.col("key_features")["gpa"]["value"].alias("gpa_value"),
+                    F.col("key_features")["total_enrollments"]["value"].alias("total_enrollments_value"))
+
+
+def _aligned_sql() -> str:
+    from ..functions.fixed import FEATURE_COLUMNS
+    serving = q_student_features_serving_sql()
+    present = set(SERVING_COLUMNS) | {"major_encoded"}
+    cols = ", ".join(
+        (f"coalesce(cast(a.{c} as double), cast(0 as double)) as {c}" if c in present else f"cast(0 as double) as {c}")
+        for c in FEATURE_COLUMNS)
+    return serving.replace("__BODY__", f"""
+select a.student_id, {cols}
+from (select sv.*, coalesce(mc.major_encoded, (select count(*) from major_classes)) as major_encoded
+      from serving_rates sv
+      join (select student_id, coalesce(nullif(major, ''), '{fixed.UNDECLARED_MAJOR}') as major from students) sm
+        on sv.student_id = sm.student_id
+      left join major_classes mc on sm.major = mc.major) a""")
+
+
+SERVING_COLUMNS = ["gpa", "year_level", "total_enrollments", "completed_courses", "dropped_courses",
+                   "current_enrollments", "excellent_grades", "good_grades", "average_grades", "poor_grades",
+                   "completion_rate", "drop_rate", "excellence_rate", "struggle_rate"]
+
+
+def q_student_features_serving_sql() -> str:
+    base = ORACLES["student_features_serving"]
+    head, body = base.rsplit("\nselect *,", 1)
+    rates = "serving_rates as (\nselect *," + body.strip() + ")"
+    # splice the feature CTEs (for the class table) and the rates CTE in front of the body
+    head = head.replace("with ", "with ", 1)
+    feature_ctes = ",\n".join(c.strip() for c in FEATURE_CTES)
+    return head.rstrip() + ",\n" + feature_ctes + ",\n" + rates + "\n__BODY__"
+
+
+@register("aligned_features", _aligned_sql())
+def q_aligned_features(spark, sf_dir):
+    s, c, e = _views(spark, sf_dir)
+    classes = X.major_classes(feature_table(spark, sf_dir))
+    serving = X.serving_features(s, e).join(
+        s.select("student_id", null_label("major", fixed.UNDECLARED_MAJOR).alias("major")), "student_id")
+    return S.align_features(serving, fixed.FEATURE_COLUMNS, classes)
+
+
+# --- E1-E7: evaluation of (label, score) pairs --------------------------------
+
+def heuristic_predictions(spark, sf_dir):
+    h = heuristic_frame(spark, sf_dir)
+    a = E.long_predictions(h, "gpa_heuristic", "is_successful", "success_probability")
+    b = E.long_predictions(h.withColumn("_completion_score", F.col("completion_rate") / F.lit(100)),
+                           "completion_heuristic", "is_successful", "_completion_score")
+    return a.unionByName(b)
+
+
+PREDS_CTES = (*FEATURE_CTES, HEURISTIC_CTE, """
+preds as (
+  select 'gpa_heuristic' as model, student_id as key, is_successful as label,
+         success_probability as score, cast(success_probability > 0.5 as integer) as prediction
+  from heuristic
+  union all
+  select 'completion_heuristic', student_id, is_successful, completion_rate / 100,
+         cast(completion_rate / 100 > 0.5 as integer)
+  from heuristic)""", """
+cm as (
+  select model,
+         count(case when label = 0 and prediction = 0 then 1 end) as tn,
+         count(case when label = 0 and prediction = 1 then 1 end) as fp,
+         count(case when label = 1 and prediction = 0 then 1 end) as fn,
+         count(case when label = 1 and prediction = 1 then 1 end) as tp
+  from preds group by model)""", """
+g as (
+  select model, score, count(case when label = 1 then 1 end) as pos,
+         count(case when label = 0 then 1 end) as neg
+  from preds group by model, score)""", """
+r as (
+  select *,
+    cast(coalesce(sum(pos) over (partition by model order by score rows between unbounded preceding and 1 preceding), 0) as bigint) as pos_before,
+    cast(coalesce(sum(neg) over (partition by model order by score rows between unbounded preceding and 1 preceding), 0) as bigint) as neg_before,
+    cast(sum(pos) over (partition by model) as bigint) as pos_total,
+    cast(sum(neg) over (partition by model) as bigint) as neg_total
+  from g)""", """
+auc as (
+  select model, cast(sum(pos * (2 * neg_before + neg)) as double)
+                / nullif(cast(2 as double) * cast(max(pos_total) as double) * cast(max(neg_total) as double), 0)
+                as roc_auc
+  from r group by model)""")
+
+
+def _sdiv(a: str, b: str) -> str:
+    return f"coalesce(cast({a} as double) / nullif({b}, 0), 0)"
+
+
+METRICS_CTE = f"""
+metrics as (
+  select cm.model, tp + fp + fn + tn as n, {_sdiv('tp + tn', 'tp + fp + fn + tn')} as accuracy,
+         {_sdiv('tp', 'tp + fp')} as precision, {_sdiv('tp', 'tp + fn')} as recall,
+         {_sdiv('2 * tp', '2 * tp + fp + fn')} as f1_score, auc.roc_auc
+  from cm left join auc on cm.model = auc.model)
+"""
+
+
+@register("eval_metrics", O.with_roles(*PREDS_CTES, METRICS_CTE, body="select * from metrics"))
+def q_eval_metrics(spark, sf_dir):
+    return E.eval_metrics(heuristic_predictions(spark, sf_dir))
+
+
+@register("model_comparison", O.with_roles(*PREDS_CTES, METRICS_CTE, body="""
+select model, roc_auc, accuracy, f1_score, precision, recall from metrics"""))
+def q_model_comparison(spark, sf_dir):
+    return E.model_comparison(E.eval_metrics(heuristic_predictions(spark, sf_dir)))
+
+
+@register("best_model", O.with_roles(*PREDS_CTES, METRICS_CTE, body="""
+select model, roc_auc from metrics order by roc_auc desc, model limit 1"""))
+def q_best_model(spark, sf_dir):
+    return E.best_model(E.eval_metrics(heuristic_predictions(spark, sf_dir)))
+
+
+@register("classification_report", O.with_roles(*PREDS_CTES, f"""
+per as (
+  select model,
+         {_sdiv('tn', 'tn + fn')} as p0, {_sdiv('tn', 'tn + fp')} as r0,
+         {_sdiv('2 * tn', '2 * tn + fp + fn')} as f0, tn + fp as s0,
+         {_sdiv('tp', 'tp + fp')} as p1, {_sdiv('tp', 'tp + fn')} as r1,
+         {_sdiv('2 * tp', '2 * tp + fp + fn')} as f1, tp + fn as s1
+  from cm)""", body=f"""
+select model, '0' as class_label, p0 as precision, r0 as recall, f0 as f1_score, s0 as support from per
+union all select model, '1', p1, r1, f1, s1 from per
+union all select model, 'macro avg', (p0 + p1) / 2.0, (r0 + r1) / 2.0, (f0 + f1) / 2.0, s0 + s1 from per
+union all select model, 'weighted avg', {_sdiv('p0 * s0 + p1 * s1', 's0 + s1')},
+       {_sdiv('r0 * s0 + r1 * s1', 's0 + s1')}, {_sdiv('f0 * s0 + f1 * s1', 's0 + s1')}, s0 + s1 from per"""))
+def q_classification_report(spark, sf_dir):
+    return E.classification_report(heuristic_predictions(spark, sf_dir))
+
+
+@register("confusion_matrix", O.with_roles(*PREDS_CTES, body=f"""
+select model, tn, fp, fn, tp,
+       {_sdiv('tn', 'tn + fp + fn + tp')} * 100 as tn_pct, {_sdiv('fp', 'tn + fp + fn + tp')} * 100 as fp_pct,
+       {_sdiv('fn', 'tn + fp + fn + tp')} * 100 as fn_pct, {_sdiv('tp', 'tn + fp + fn + tp')} * 100 as tp_pct
+from cm"""))
+def q_confusion_matrix(spark, sf_dir):
+    return E.confusion_matrix(heuristic_predictions(spark, sf_dir))
+
+
+@register("roc_points", O.with_roles(*PREDS_CTES, body="""
+select model, score as threshold, pos_total - pos_before as tp, neg_total - neg_before as fp,
+       cast(pos_total - pos_before as double) / nullif(pos_total, 0) as tpr,
+       cast(neg_total - neg_before as double) / nullif(neg_total, 0) as fpr
+from r"""))
+def q_roc_points(spark, sf_dir):
+    return E.roc_points(heuristic_predictions(spark, sf_dir))
+
+
+@register("pr_points", O.with_roles(*PREDS_CTES, body="""
+select model, score as threshold,
+       cast(pos_total - pos_before as double) / nullif(pos_total - pos_before + neg_total - neg_before, 0)
+         as precision,
+       cast(pos_total - pos_before as double) / nullif(pos_total, 0) as recall
+from r"""))
+def q_pr_points(spark, sf_dir):
+    return E.pr_points(heuristic_predictions(spark, sf_dir))
+
+
+# --- M1, A22: split ----------------------------------------------------------
+
+_VAL_CUT = M.validation_cut(fixed.DEFAULT_TEST_SIZE, fixed.DEFAULT_VAL_SIZE)
+
+
+@register("split_summary", O.with_roles(*FEATURE_CTES, """
+hb as (select *, cast(('0x' || substr(md5(cast(student_id as varchar)), 1, 8)) as bigint) % 10000 as bucket
+       from features_encoded)""", """
+bc as (select is_successful, bucket, count(*) as c from hb group by 1, 2)""", """
+cut as (
+  select is_successful, bucket,
+         (cast(coalesce(sum(c) over (partition by is_successful order by bucket
+                                     rows between unbounded preceding and 1 preceding), 0) as double)
+          + cast(c as double) / 2.0) / cast(sum(c) over (partition by is_successful) as double) as frac
+  from bc)""", f"""
+sp as (
+  select hb.is_successful,
+         case when cut.frac < cast('{fixed.DEFAULT_TEST_SIZE!r}' as double) then 'test'
+              when cut.frac < cast('{_VAL_CUT!r}' as double) then 'validation' else 'train' end as split
+  from hb join cut on hb.is_successful = cut.is_successful and hb.bucket = cut.bucket)""", body="""
+select split, count(*) as rows, cast(count(*) as double) / (select count(*) from sp) as share,
+       avg(is_successful) as positive_rate
+from sp group by split"""))
+def q_split_summary(spark, sf_dir):
+    return M.split_summary(M.stratified_split(feature_table(spark, sf_dir)))
+
+
+# --- M2-M11, E8-E10, P1-P13: trained models (rows-only checks) ----------------
+
+def _job(spark, sf_dir):
+    return J.train_job(spark, sf_dir)
+
+
+@register("cv_table")
+def q_cv_table(spark, sf_dir):
+    return M.cv_table(spark, _job(spark, sf_dir).trained)
+
+
+@register("training_summary")
+def q_training_summary(spark, sf_dir):
+    return M.training_summary(spark, _job(spark, sf_dir).trained)
+
+
+@register("model_test_metrics")
+def q_model_test_metrics(spark, sf_dir):
+    """E1 / E2 on the held-out splits of the trained models."""
+    return _job(spark, sf_dir).metrics
+
+
+@register("tree_importance")
+def q_tree_importance(spark, sf_dir):
+    res = _job(spark, sf_dir)
+    frames = [E.tree_importance(spark, t.model, res.features, n) for n, t in res.trained.items()]
+    frames = [f for f in frames if f is not None]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+@register("linear_importance")
+def q_linear_importance(spark, sf_dir):
+    res = _job(spark, sf_dir)
+    t = res.trained["logistic_regression"]
+    return E.linear_importance(spark, t.model, res.features, "logistic_regression")
+
+
+@register("run_summary")
+def q_run_summary(spark, sf_dir):
+    """Per model CV and test metrics, the chosen model, dataset size and
+    success rate, and the chosen model's top-5 features."""
+    res = _job(spark, sf_dir)
+    test = res.metrics.filter(F.col("split") == "test").drop("split")
+    cv = M.cv_table(spark, res.trained).select("model", "cv_mean", "cv_std")
+    best = res.trained[res.best].model
+    top = (E.tree_importance(spark, best, res.features, res.best)
+           or E.linear_importance(spark, best, res.features, res.best).withColumnRenamed(
+               "abs_coefficient", "importance"))
+    top5 = top.orderBy(F.desc("importance"), "feature").limit(5).agg(
+        F.array_sort(F.collect_list("feature")).alias("top_features"))
+    return (cv.join(test, "model", "left")
+            .withColumn("is_best", F.col("model") == F.lit(res.best))
+            .withColumn("dataset_rows", F.lit(res.n_rows))
+            .withColumn("success_rate", F.lit(res.success_rate))
+            .crossJoin(F.broadcast(top5)))
+
+
+@register("scored")
+def q_scored(spark, sf_dir):
+    return J.score_students(spark, sf_dir, _job(spark, sf_dir))
+
+
+@register("scored_external")
+def q_scored_external(spark, sf_dir):
+    res = _job(spark, sf_dir)
+    s, c, e = _views(spark, sf_dir)
+    requests = X.serving_features(s, e).join(
+        s.select("student_id", null_label("major", fixed.UNDECLARED_MAJOR).alias("major")), "student_id")
+    scored, _ = J.score_requests(spark, requests, res, X.major_classes(feature_table(spark, sf_dir)))
+    return scored
