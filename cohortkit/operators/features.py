@@ -162,10 +162,25 @@ def unseen_categories(df: DataFrame, classes: DataFrame, col: str = "major") ->
 
 
 def feature_table(students: DataFrame, enrollments: DataFrame, courses: DataFrame,
-                  as_of: str = DEFAULT_AS_OF) -> DataFrame:
-    """Load -> target -> features -> encode (one lazy plan)."""
-    base = student_features_base(students, enrollments, courses, as_of)
-    return encode_major(engineer_features(add_target(base)))
+                  as_of: str = DEFAULT_AS_OF, materialize: bool = True) -> DataFrame:
+    """Load -> target -> features -> encode.
+
+    The per-student table is read by several branches (the class table of
+    the encoder, then every report built on it), so by default it is
+    written once to the shared checkpoint folder (``checkpoint()``, which
+    also cuts the lineage back to the fact join) and the branches read that.
+    """
+    engineered = engineer_features(add_target(student_features_base(students, enrollments, courses, as_of)))
+    if materialize:
+        engineered = materialize_frame(engineered)
+    return encode_major(engineered)
+
+
+def materialize_frame(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into ``spark.checkpoint.dir`` (set only when unset)."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def feature_columns(df: DataFrame, features=None, exclude=()) -> list[str]:

@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 # shuffles at runtime (coalescing small partitions, splitting skewed ones).
 _DEFAULTS = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
