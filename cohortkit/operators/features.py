@@ -206,6 +206,21 @@ def feature_dictionary(spark: SparkSession) -> DataFrame:
         rows, "position int, feature string, description string, category string")
 
 
+def feature_profile(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """X11 over data: the dictionary rows of the features present in ``df``
+    with how many rows hold a value and how many a non-zero value (one
+    aggregation pass over the table, then an unpivot of one row)."""
+    cols = feature_columns(df)
+    aggs = []
+    for c in cols:
+        aggs += [F.count(c).alias(f"{c}__nn"), F.count_if(F.col(c) != 0).alias(f"{c}__nz")]
+    wide = df.agg(*aggs)
+    long = wide.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(f"{c}__nn").alias("non_null_rows"),
+                 F.col(f"{c}__nz").alias("non_zero_rows")) for c in cols])).alias("s")).select("s.*")
+    return feature_dictionary(spark).join(F.broadcast(long), "feature", "inner")
+
+
 def with_feature_comments(df: DataFrame) -> DataFrame:
     """Attach each feature's description as column metadata."""
     return df.withColumns({

@@ -119,12 +119,23 @@ def q_feature_matrix(spark, sf_dir):
     return X.feature_matrix(feature_table(spark, sf_dir))
 
 
-@register("feature_dictionary")
+def _profile_sql() -> str:
+    from ..functions.fixed import FEATURE_CATEGORIES, FEATURE_COLUMNS, FEATURE_DESCRIPTIONS
+    category = {f: cat for cat, fs in FEATURE_CATEGORIES.items() for f in fs}
+    parts = []
+    for i, c in enumerate(FEATURE_COLUMNS):
+        cat = f"'{category[c]}'" if c in category else "cast(null as varchar)"
+        parts.append(f"select cast({i} as integer) as position, '{c}' as feature, "
+                     f"'{FEATURE_DESCRIPTIONS[c]}' as description, {cat} as category, "
+                     f"count({c}) as non_null_rows, count(case when {c} <> 0 then 1 end) as non_zero_rows "
+                     f"from features_encoded")
+    return O.with_roles(*FEATURE_CTES, body="\nunion all\n".join(parts))
+
+
+@register("feature_dictionary", _profile_sql())
 def q_feature_dictionary(spark, sf_dir):
-    """X11: the feature dictionary joined to the features present in the table."""
-    ft = feature_table(spark, sf_dir)
-    present = spark.createDataFrame([(c,) for c in X.feature_columns(ft)], "feature string")
-    return X.feature_dictionary(spark).join(present, "feature", "left_semi")
+    """X11: the feature dictionary with a value profile of each feature."""
+    return X.feature_profile(spark, feature_table(spark, sf_dir))
 
 
 # --- A1-A9: SQL examples, overview, student and course analytics -------------

@@ -1,0 +1 @@
+"""Streaming: incremental refresh of the dashboard indicators (see refresh.py)."""
