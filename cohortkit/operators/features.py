@@ -167,8 +167,8 @@ def feature_table(students: DataFrame, enrollments: DataFrame, courses: DataFram
 
     The per-student table is read by several branches (the class table of
     the encoder, then every report built on it), so by default it is
-    written once to the shared checkpoint folder (``checkpoint()``, which
-    also cuts the lineage back to the fact join) and the branches read that.
+    computed once and checkpointed to the shared folder (which also cuts
+    the lineage back to the fact join); the branches read the checkpoint.
     """
     engineered = engineer_features(add_target(student_features_base(students, enrollments, courses, as_of)))
     if materialize:
@@ -177,10 +177,20 @@ def feature_table(students: DataFrame, enrollments: DataFrame, courses: DataFram
 
 
 def materialize_frame(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into ``spark.checkpoint.dir`` (set only when unset)."""
+    """Compute ``df`` once and cut its lineage with a reliable ``checkpoint()``
+    into the shared folder named by ``spark.checkpoint.dir``.
+
+    The frame is persisted first, so the checkpoint job writes the cached
+    blocks instead of recomputing the plan; the cache is released once the
+    files are written, and later readers (and re-run tasks after an executor
+    loss) read the checkpoint files.
+    """
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist()
+    out = cached.checkpoint(eager=True)
+    cached.unpersist(blocking=False)
+    return out
 
 
 def feature_columns(df: DataFrame, features=None, exclude=()) -> list[str]:

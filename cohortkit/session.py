@@ -23,10 +23,14 @@ _DEFAULTS = {
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
-                  app_name: str = "cohortkit", extra: dict | None = None) -> SparkSession:
+                  app_name: str = "cohortkit", extra: dict | None = None,
+                  driver_memory: str = "12g") -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app_name)
     conf = dict(_DEFAULTS)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master.startswith("local"):
+        # local mode runs every task in the driver JVM; its heap is the only memory knob
+        conf["spark.driver.memory"] = driver_memory
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
