@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import fixed
+from ..functions.joins import dimension_join
 from ..functions.expr import (clean_number, flag, nan_to_null, null_label, null_zero,
                               percent, sample_std)
 
@@ -58,17 +59,19 @@ def activity_counts(status_col: str = "status", grade_col: str = "grade",
 
 
 def student_features_base(students: DataFrame, enrollments: DataFrame, courses: DataFrame,
-                          as_of: str = DEFAULT_AS_OF, active_only: bool = True) -> DataFrame:
+                          as_of: str = DEFAULT_AS_OF, active_only: bool = True,
+                          salts: int | None = None) -> DataFrame:
     """A10: one row per (active) student with at least one enrollment.
 
     Same result as ``students LEFT JOIN enrollments LEFT JOIN courses ...
     GROUP BY student HAVING COUNT(enrollment_id) > 0``: the HAVING removes
     the unmatched students, so the member join is an inner join.
+    ``salts`` > 1 salts the fact-to-catalog join (see ``functions.joins``).
     """
     credits = courses.select("course_id", "credits")
+    facts = enrollments.select("student_id", "course_id", "enrollment_id", "status", "grade")
     per_student = (
-        enrollments.select("student_id", "course_id", "enrollment_id", "status", "grade")
-        .join(credits, "course_id", "left")
+        dimension_join(facts, credits, "course_id", "left", salts)
         .groupBy("student_id")
         .agg(*activity_counts(),
              F.avg("credits").alias("avg_course_credits"),
@@ -162,7 +165,8 @@ def unseen_categories(df: DataFrame, classes: DataFrame, col: str = "major") ->
 
 
 def feature_table(students: DataFrame, enrollments: DataFrame, courses: DataFrame,
-                  as_of: str = DEFAULT_AS_OF, materialize: bool = True) -> DataFrame:
+                  as_of: str = DEFAULT_AS_OF, materialize: bool = True,
+                  salts: int | None = None) -> DataFrame:
     """Load -> target -> features -> encode.
 
     The per-student table is read by several branches (the class table of
@@ -170,7 +174,8 @@ def feature_table(students: DataFrame, enrollments: DataFrame, courses: DataFram
     computed once and checkpointed to the shared folder (which also cuts
     the lineage back to the fact join); the branches read the checkpoint.
     """
-    engineered = engineer_features(add_target(student_features_base(students, enrollments, courses, as_of)))
+    base = student_features_base(students, enrollments, courses, as_of, salts=salts)
+    engineered = engineer_features(add_target(base))
     if materialize:
         engineered = materialize_frame(engineered)
     return encode_major(engineered)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.joins import dimension_join
 from ..functions.expr import grade_point_tenths, null_label, percent, round_half_up, safe_div
 
 
@@ -282,13 +283,15 @@ def insights(students: DataFrame, gpa_threshold: float = fixed.DEFAULT_GPA_THRES
 
 # --- J7: navigation ----------------------------------------------------------
 
-def enrollment_navigation(students: DataFrame, enrollments: DataFrame, courses: DataFrame) -> DataFrame:
+def enrollment_navigation(students: DataFrame, enrollments: DataFrame, courses: DataFrame,
+                          salts: int | None = None) -> DataFrame:
     """Student -> enrollments -> course navigation as one flat equi-join.
 
     The reference navigates lazily object by object; the distributed form is
     the joined table (grouping it into per-student lists would put a hot
-    student's whole history into one task)."""
+    student's whole history into one task).  Both joins are fact-to-dimension
+    joins; ``salts`` > 1 salts them against hot students / courses."""
     s = students.select("student_id", "first_name", "last_name", "major")
     c = courses.select("course_id", "course_name", "department", "credits")
     e = enrollments.select("enrollment_id", "student_id", "course_id", "status", "grade")
-    return e.join(s, "student_id", "inner").join(c, "course_id", "inner")
+    return dimension_join(dimension_join(e, s, "student_id", "inner", salts), c, "course_id", "inner", salts)
