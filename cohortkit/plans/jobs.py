@@ -145,3 +145,23 @@ def score_requests(spark: SparkSession, requests: DataFrame, res: JobResult,
     ctx = valid.select("student_id", *[c for c in ("gpa", "drop_rate") if c in valid.columns])
     scored = S.score(res.trained[name].model, aligned, name, _model_metrics(res, name), context=ctx)
     return scored, rejected
+
+
+def materialize_roles(spark: SparkSession, sf_dir: str, database: str = "cohort",
+                      buckets: int = 64) -> dict:
+    """Write the three role views once as tables: students and enrollments
+    bucketed by ``student_id`` (so the per-student aggregation and the
+    member join run without a shuffle), courses as a plain table.  The
+    lineitem-orders join of the enrollments view runs once here instead of
+    in every query.  Returns the table names by role."""
+    from ..sources.sinks import save_bucketed
+
+    root = shared_path(spark, "warehouse", database)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    s, c, e = roles.role_views(spark, sf_dir)
+    names = {"students": f"{database}.students", "courses": f"{database}.courses",
+             "enrollments": f"{database}.enrollments"}
+    save_bucketed(s, names["students"], "student_id", buckets, f"{root}/students")
+    save_bucketed(e, names["enrollments"], "student_id", buckets, f"{root}/enrollments")
+    c.write.mode("overwrite").format("parquet").option("path", f"{root}/courses").saveAsTable(names["courses"])
+    return names

@@ -40,3 +40,15 @@ def create_tables(spark: SparkSession, location: str, database: str | None = Non
                   f"LOCATION '{location.rstrip('/')}/{name}'")
         names.append(prefix + name)
     return names
+
+
+def save_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str,
+                  mode: str = "overwrite") -> str:
+    """Save ``df`` as a catalog table bucketed and sorted by ``key``.
+
+    Two tables bucketed the same way on the join key are joined and grouped
+    without a shuffle (the scan already delivers the hash partitioning).
+    """
+    (df.write.mode(mode).format("parquet").bucketBy(buckets, key).sortBy(key)
+     .option("path", path).saveAsTable(table))
+    return table
