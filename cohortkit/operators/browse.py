@@ -88,6 +88,22 @@ def lookup_keys(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
             .withColumn("found", F.coalesce(F.col("_found"), F.lit(False))).drop("_found"))
 
 
+def get_by_key(table: DataFrame, key: str, value) -> DataFrame:
+    """F4 single-key form: the row(s) with ``key == value``; an absent key is
+    an error (the reference answers 404).  The filter reaches the scan."""
+    rows = table.filter(F.col(key) == F.lit(value))
+    if rows.isEmpty():
+        raise KeyError(f"{key} {value!r} not found")
+    return rows
+
+
+def enrollments_of(students: DataFrame, enrollments: DataFrame, student_id) -> DataFrame:
+    """F5 single-key form: enrollments of one student, an error if the student
+    does not exist."""
+    get_by_key(students.select("student_id"), "student_id", student_id)
+    return enrollments.select(*ENROLLMENT_COLUMNS).filter(F.col("student_id") == F.lit(student_id))
+
+
 def student_enrollments(students: DataFrame, enrollments: DataFrame, keys: DataFrame) -> DataFrame:
     """Enrollments of the requested students that exist (semi-joins)."""
     existing = keys.select("student_id").join(students.select("student_id"), "student_id", "left_semi")

@@ -202,6 +202,10 @@ def feature_columns(df: DataFrame, features=None, exclude=()) -> list[str]:
     """The ordered feature list, restricted to columns present in ``df``."""
     wanted = list(features or fixed.FEATURE_COLUMNS)
     present = set(df.columns)
+    missing = [c for c in wanted if c not in present]
+    if missing:
+        import warnings
+        warnings.warn(f"Missing features left out: {missing}", stacklevel=2)
     return [c for c in wanted if c in present and c not in set(exclude)]
 
 

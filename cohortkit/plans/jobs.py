@@ -47,6 +47,7 @@ class JobResult:
     split_path: str
     n_rows: int
     success_rate: float
+    predictions_path: str = ""      # kept held-out predictions (model, key, label, score, prediction, split)
 
 
 _RESULTS: dict = {}
@@ -107,7 +108,8 @@ def train_job(spark: SparkSession, sf_dir: str, cfg: JobConfig | None = None) ->
     model_dir = M.save_models(spark, trained, f"{root}/models", feats,
                               metrics.filter(F.col("split") == "test"))
     res = JobResult(features=feats, trained=trained, best=best, metrics=metrics, model_dir=model_dir,
-                    split_path=split_path, n_rows=int(stats["n"]), success_rate=float(stats["rate"] or 0.0))
+                    split_path=split_path, n_rows=int(stats["n"]), success_rate=float(stats["rate"] or 0.0),
+                    predictions_path=preds_path)
     _RESULTS[k] = res
     return res
 

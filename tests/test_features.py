@@ -127,3 +127,9 @@ def test_target_summary(spark):
 def test_feature_dictionary(spark):
     d = {r.feature: r for r in X.feature_dictionary(spark).collect()}
     assert len(d) == 26 and d["gpa"].category == "basic" and d["at_risk"].category is None
+
+
+def test_missing_features_warned_and_left_out(spark):
+    df = spark.createDataFrame([(1, 3.0)], "student_id long, gpa double")
+    with pytest.warns(UserWarning):
+        assert X.feature_columns(df) == ["gpa"]

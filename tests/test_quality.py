@@ -95,3 +95,14 @@ def test_sort_table_allow_list(spark, tiny):
     with pytest.raises(ValueError):
         B.sort_table(roll, "credits; drop table")
     assert [r.course_id for r in B.top_n(roll, "total_enrollments", 2).collect()] == [10, 11]
+
+
+def test_single_key_lookups(spark, tiny):
+    import pytest
+    students, _, enrollments = tiny
+    assert B.get_by_key(students, "student_id", 2).first().first_name == "Bob"
+    with pytest.raises(KeyError):
+        B.get_by_key(students, "student_id", 42)
+    assert {r.enrollment_id for r in B.enrollments_of(students, enrollments, 2).collect()} == {"E4", "E5"}
+    with pytest.raises(KeyError):
+        B.enrollments_of(students, enrollments, 9)        # enrollments exist, the student does not
