@@ -201,3 +201,35 @@ course_rollup as (
          {rhu('cast(p.grade_tenths as double) / nullif(p.graded * 10, 0)', 2)} as average_grade_point
   from courses c left join per_course p on c.course_id = p.course_id)
 """
+
+
+# Serving-side counters for every stored student.
+SERVING_CTES = (f"""
+counts as (
+  select student_id, count(enrollment_id) as total_enrollments,
+         count(case when status = 'Completed' then 1 end) as completed_courses,
+         count(case when status = 'Dropped' then 1 end) as dropped_courses,
+         count(case when status = 'Enrolled' then 1 end) as current_enrollments,
+         count(case when grade in {_in(B['excellent'])} then 1 end) as excellent_grades,
+         count(case when grade in {_in(B['good'])} then 1 end) as good_grades,
+         count(case when grade in {_in(B['average'])} then 1 end) as average_grades,
+         count(case when grade in {_in(B['poor'])} then 1 end) as poor_grades
+  from enrollments group by student_id)""", """
+serving as (
+  select s.student_id, coalesce(case when isnan(s.gpa) or isinf(s.gpa) then null else s.gpa end, 0.0) as gpa,
+         coalesce(s.year_level, 1) as year_level,
+         coalesce(c.total_enrollments, 0) as total_enrollments,
+         coalesce(c.completed_courses, 0) as completed_courses,
+         coalesce(c.dropped_courses, 0) as dropped_courses,
+         coalesce(c.current_enrollments, 0) as current_enrollments,
+         coalesce(c.excellent_grades, 0) as excellent_grades,
+         coalesce(c.good_grades, 0) as good_grades,
+         coalesce(c.average_grades, 0) as average_grades,
+         coalesce(c.poor_grades, 0) as poor_grades
+  from students s left join counts c on s.student_id = c.student_id)""", f"""
+serving_rates as (
+  select *, {pct('completed_courses', 'total_enrollments')} as completion_rate,
+         {pct('dropped_courses', 'total_enrollments')} as drop_rate,
+         {pct('excellent_grades', 'total_enrollments')} as excellence_rate,
+         {pct('poor_grades', 'total_enrollments')} as struggle_rate
+  from serving)""")

@@ -21,7 +21,7 @@ from ..operators import quality as Q
 from ..operators import rollups as A
 from ..sources import roles
 from . import oracle as O
-from .registry import ORACLES, register
+from .registry import register
 
 FEATURE_CTES = O.FEATURE_CTES
 
@@ -60,35 +60,7 @@ def q_student_features(spark, sf_dir):
 
 # --- A11, A21, X8, X9 --------------------------------------------------------
 
-@register("student_features_serving", O.with_roles(f"""
-counts as (
-  select student_id, count(enrollment_id) as total_enrollments,
-         count(case when status = 'Completed' then 1 end) as completed_courses,
-         count(case when status = 'Dropped' then 1 end) as dropped_courses,
-         count(case when status = 'Enrolled' then 1 end) as current_enrollments,
-         count(case when grade in {O._in(O.B['excellent'])} then 1 end) as excellent_grades,
-         count(case when grade in {O._in(O.B['good'])} then 1 end) as good_grades,
-         count(case when grade in {O._in(O.B['average'])} then 1 end) as average_grades,
-         count(case when grade in {O._in(O.B['poor'])} then 1 end) as poor_grades
-  from enrollments group by student_id),
-serving as (
-  select s.student_id, coalesce(case when isnan(s.gpa) or isinf(s.gpa) then null else s.gpa end, 0.0) as gpa,
-         coalesce(s.year_level, 1) as year_level,
-         coalesce(c.total_enrollments, 0) as total_enrollments,
-         coalesce(c.completed_courses, 0) as completed_courses,
-         coalesce(c.dropped_courses, 0) as dropped_courses,
-         coalesce(c.current_enrollments, 0) as current_enrollments,
-         coalesce(c.excellent_grades, 0) as excellent_grades,
-         coalesce(c.good_grades, 0) as good_grades,
-         coalesce(c.average_grades, 0) as average_grades,
-         coalesce(c.poor_grades, 0) as poor_grades
-  from students s left join counts c on s.student_id = c.student_id)
-""", body=f"""
-select *, {O.pct('completed_courses', 'total_enrollments')} as completion_rate,
-       {O.pct('dropped_courses', 'total_enrollments')} as drop_rate,
-       {O.pct('excellent_grades', 'total_enrollments')} as excellence_rate,
-       {O.pct('poor_grades', 'total_enrollments')} as struggle_rate
-from serving"""))
+@register("student_features_serving", O.with_roles(*O.SERVING_CTES, body="select * from serving_rates"))
 def q_student_features_serving(spark, sf_dir):
     s, c, e = _views(spark, sf_dir)
     return X.serving_features(s, e)
@@ -631,14 +603,18 @@ def q_explanations(spark, sf_dir):
                     F.col("key_features")["total_enrollments"]["value"].alias("total_enrollments_value"))
 
 
+SERVING_COLUMNS = ["gpa", "year_level", "total_enrollments", "completed_courses", "dropped_courses",
+                   "current_enrollments", "excellent_grades", "good_grades", "average_grades", "poor_grades",
+                   "completion_rate", "drop_rate", "excellence_rate", "struggle_rate"]
+
+
 def _aligned_sql() -> str:
-    from ..functions.fixed import FEATURE_COLUMNS
-    serving = q_student_features_serving_sql()
     present = set(SERVING_COLUMNS) | {"major_encoded"}
     cols = ", ".join(
-        (f"coalesce(cast(a.{c} as double), cast(0 as double)) as {c}" if c in present else f"cast(0 as double) as {c}")
-        for c in FEATURE_COLUMNS)
-    return serving.replace("__BODY__", f"""
+        (f"coalesce(cast(a.{c} as double), cast(0 as double)) as {c}" if c in present
+         else f"cast(0 as double) as {c}")
+        for c in fixed.FEATURE_COLUMNS)
+    return O.with_roles(*FEATURE_CTES, *O.SERVING_CTES, body=f"""
 select a.student_id, {cols}
 from (select sv.*, coalesce(mc.major_encoded, (select count(*) from major_classes)) as major_encoded
       from serving_rates sv
@@ -647,21 +623,6 @@ from (select sv.*, coalesce(mc.major_encoded, (select count(*) from major_classe
       left join major_classes mc on sm.major = mc.major) a""")
 
 
-SERVING_COLUMNS = ["gpa", "year_level", "total_enrollments", "completed_courses", "dropped_courses",
-                   "current_enrollments", "excellent_grades", "good_grades", "average_grades", "poor_grades",
-                   "completion_rate", "drop_rate", "excellence_rate", "struggle_rate"]
-
-
-def q_student_features_serving_sql() -> str:
-    base = ORACLES["student_features_serving"]
-    head, body = base.rsplit("\nselect *,", 1)
-    rates = "serving_rates as (\nselect *," + body.strip() + ")"
-    # splice the feature CTEs (for the class table) and the rates CTE in front of the body
-    head = head.replace("with ", "with ", 1)
-    feature_ctes = ",\n".join(c.strip() for c in FEATURE_CTES)
-    return head.rstrip() + ",\n" + feature_ctes + ",\n" + rates + "\n__BODY__"
-
-
 @register("aligned_features", _aligned_sql())
 def q_aligned_features(spark, sf_dir):
     s, c, e = _views(spark, sf_dir)
