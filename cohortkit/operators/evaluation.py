@@ -29,47 +29,48 @@ def long_predictions(df: DataFrame, model: str, label: str, score: str,
                      (F.col(score) > F.lit(threshold)).cast("int").alias("prediction"))
 
 
-def confusion_counts(preds: DataFrame) -> DataFrame:
-    """Per model: tn, fp, fn, tp (one aggregation)."""
+def confusion_counts(preds: DataFrame, by=("model",)) -> DataFrame:
+    """Per model (or any ``by`` key): tn, fp, fn, tp (one aggregation)."""
     y, p = F.col("label"), F.col("prediction")
-    return preds.groupBy("model").agg(
+    return preds.groupBy(*by).agg(
         F.count_if((y == 0) & (p == 0)).alias("tn"), F.count_if((y == 0) & (p == 1)).alias("fp"),
         F.count_if((y == 1) & (p == 0)).alias("fn"), F.count_if((y == 1) & (p == 1)).alias("tp"))
 
 
-def score_counts(preds: DataFrame) -> DataFrame:
+def score_counts(preds: DataFrame, by=("model",)) -> DataFrame:
     """Per (model, score): positive and negative counts (a hot score is one row)."""
-    return preds.groupBy("model", "score").agg(
+    return preds.groupBy(*by, "score").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
 
 
-def _curves(preds: DataFrame, buckets: int) -> DataFrame:
-    return running_sums(score_counts(preds), "score", ["pos", "neg"], partition_cols=["model"],
+def _curves(preds: DataFrame, buckets: int, by=("model",)) -> DataFrame:
+    return running_sums(score_counts(preds, by), "score", ["pos", "neg"], partition_cols=list(by),
                         buckets=buckets)
 
 
-def roc_auc(preds: DataFrame, buckets: int = 256) -> DataFrame:
-    """Per model ROC AUC (NULL when a class is absent)."""
-    c = _curves(preds, buckets)
-    return c.groupBy("model").agg(
+def roc_auc(preds: DataFrame, buckets: int = 256, by=("model",)) -> DataFrame:
+    """Per model (or ``by`` key) ROC AUC (NULL when a class is absent)."""
+    c = _curves(preds, buckets, by)
+    return c.groupBy(*by).agg(
         F.try_divide(
             F.sum(F.col("pos") * (F.lit(2) * F.col("neg_before") + F.col("neg"))).cast("double"),
             F.lit(2.0) * F.max("pos_total").cast("double") * F.max("neg_total").cast("double"),
         ).alias("roc_auc"))
 
 
-def eval_metrics(preds: DataFrame, buckets: int = 256) -> DataFrame:
-    """Per model n, accuracy, ROC AUC, and class-1 precision, recall, F1."""
-    cm = confusion_counts(preds)
+def eval_metrics(preds: DataFrame, buckets: int = 256, by=("model",)) -> DataFrame:
+    """Per model (or ``by`` key, e.g. model and split) n, accuracy, ROC AUC,
+    and class-1 precision, recall, F1."""
+    cm = confusion_counts(preds, by)
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     precision = safe_div(tp, tp + fp)
     recall = safe_div(tp, tp + fn)
     out = cm.select(
-        "model", (tp + fp + fn + tn).alias("n"),
+        *by, (tp + fp + fn + tn).alias("n"),
         safe_div(tp + tn, tp + fp + fn + tn).alias("accuracy"),
         precision.alias("precision"), recall.alias("recall"),
         safe_div(F.lit(2) * tp, F.lit(2) * tp + fp + fn).alias("f1_score"))
-    return out.join(roc_auc(preds, buckets), "model", "left")
+    return out.join(roc_auc(preds, buckets, by), list(by), "left")
 
 
 def model_comparison(metrics: DataFrame) -> DataFrame:

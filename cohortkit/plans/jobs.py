@@ -48,6 +48,8 @@ class JobResult:
     n_rows: int
     success_rate: float
     predictions_path: str = ""      # kept held-out predictions (model, key, label, score, prediction, split)
+    sf_dir: str = ""
+    feature_table: DataFrame | None = None   # the checkpointed per-student table the job trained on
 
 
 _RESULTS: dict = {}
@@ -93,10 +95,7 @@ def train_job(spark: SparkSession, sf_dir: str, cfg: JobConfig | None = None) ->
     preds_path = f"{root}/predictions"
     preds.write.mode("overwrite").parquet(preds_path)
     preds = spark.read.parquet(preds_path)
-    metrics = None
-    for part in ("validation", "test"):
-        m = E.eval_metrics(preds.filter(F.col("split") == part)).withColumn("split", F.lit(part))
-        metrics = m if metrics is None else metrics.unionByName(m)
+    metrics = E.eval_metrics(preds, by=("model", "split"))      # one pass for both held-out parts
     metrics_path = f"{root}/metrics"
     metrics.write.mode("overwrite").parquet(metrics_path)
     metrics = spark.read.parquet(metrics_path)
@@ -109,7 +108,7 @@ def train_job(spark: SparkSession, sf_dir: str, cfg: JobConfig | None = None) ->
                               metrics.filter(F.col("split") == "test"))
     res = JobResult(features=feats, trained=trained, best=best, metrics=metrics, model_dir=model_dir,
                     split_path=split_path, n_rows=int(stats["n"]), success_rate=float(stats["rate"] or 0.0),
-                    predictions_path=preds_path)
+                    predictions_path=preds_path, sf_dir=sf_dir, feature_table=ft)
     _RESULTS[k] = res
     return res
 
@@ -127,7 +126,8 @@ def score_students(spark: SparkSession, sf_dir: str, res: JobResult, model_name:
     name = model_name or res.best
     if name not in res.trained:
         raise ValueError(f"Model '{name}' not found. Available: {sorted(res.trained)}")
-    ft = feature_frame(spark, sf_dir)
+    same_data = res.feature_table is not None and res.sf_dir == sf_dir
+    ft = res.feature_table if same_data else feature_frame(spark, sf_dir)
     if keys is not None:
         ft = ft.join(keys.select("student_id"), "student_id", "left_semi")
     aligned = S.align_features(ft, res.features)
