@@ -51,10 +51,28 @@ ENTITY_SCHEMAS = {
 }
 
 
+# Declared schemas of the driver tables the role views read: no schema
+# inference job per read, and a changed file layout fails loudly.
+DRIVER_SCHEMAS = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": ("p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+             "p_retailprice double"),
+    "orders": ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+               "o_orderdate timestamp_ntz, o_orderpriority string"),
+    "lineitem": ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                 "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                 "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"),
+}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table.  Column pruning and filter pushdown reach the scan
-    through Catalyst, so callers just ``select`` / ``filter`` what they need."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """One driver table, with its declared schema when it has one.  Column
+    pruning and filter pushdown reach the scan through Catalyst, so callers
+    just ``select`` / ``filter`` what they need."""
+    reader = spark.read
+    if name in DRIVER_SCHEMAS:
+        reader = reader.schema(DRIVER_SCHEMAS[name])
+    return reader.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def read_entity(spark: SparkSession, path: str, entity: str) -> DataFrame:
