@@ -226,14 +226,24 @@ def gpa_histogram(students: DataFrame, bins: int = fixed.GPA_HISTOGRAM_BINS,
 
 # --- A17-A20: second-level dashboard aggregates ------------------------------
 
+def _mean_of_rounded(c: str, digits: int):
+    """Mean of values already rounded to ``digits`` decimals, summed as
+    integers (exact in any order) and divided once; NULL when no value."""
+    scale = 10 ** digits
+    units = F.round(F.col(c) * F.lit(scale)).cast("long")
+    return F.try_divide(F.sum(units).cast("double"), (F.count(units) * F.lit(scale)).cast("double"))
+
+
 def course_metrics(rollup: DataFrame, department: str | None = None) -> DataFrame:
     """Over the course roll-up (optionally one department): course count,
     mean completion rate, mean of non-null grade points (0 if none), total
-    enrollments."""
+    enrollments.  The rates are rounded to 0.1 and the grade points to 0.01
+    in the roll-up, so their means are taken over integer tenths and
+    hundredths: exact whatever the summation order."""
     r = rollup if department is None else rollup.filter(F.col("department") == department)
     return r.agg(F.count(F.lit(1)).alias("total_courses"),
-                 F.avg("completion_rate").alias("avg_completion_rate"),
-                 F.coalesce(F.avg("average_grade_point"), F.lit(0.0)).alias("avg_grade_point"),
+                 _mean_of_rounded("completion_rate", 1).alias("avg_completion_rate"),
+                 F.coalesce(_mean_of_rounded("average_grade_point", 2), F.lit(0.0)).alias("avg_grade_point"),
                  F.coalesce(F.sum("total_enrollments"), F.lit(0)).cast("long").alias("total_enrollments"))
 
 
@@ -241,7 +251,7 @@ def dept_completion(rollup: DataFrame) -> DataFrame:
     """Per department, unweighted mean of course completion rates and
     total enrollments."""
     return (rollup.groupBy("department")
-            .agg(F.avg("completion_rate").alias("completion_rate"),
+            .agg(_mean_of_rounded("completion_rate", 1).alias("completion_rate"),
                  F.sum("total_enrollments").cast("long").alias("total_enrollments")))
 
 

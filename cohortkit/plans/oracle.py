@@ -175,6 +175,13 @@ def rhu(expr: str, digits: int) -> str:
     return f"(floor(({expr}) * {scale} + 0.5) / {scale})"
 
 
+def mean_of_rounded(col: str, digits: int) -> str:
+    """Mean of values rounded to ``digits`` decimals, over integer units."""
+    scale = 10 ** digits
+    units = f"cast(round({col} * {scale}) as bigint)"
+    return f"(cast(sum({units}) as double) / nullif(cast(count({units}) * {scale} as double), 0))"
+
+
 def _grade_points_case(col: str) -> str:
     arms = " ".join(f"when '{g}' then {int(round(p * 10))}" for g, p in fixed.GRADE_POINTS.items())
     return f"case {col} {arms} end"

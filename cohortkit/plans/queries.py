@@ -272,17 +272,17 @@ def q_gpa_histogram(spark, sf_dir):
     return A.gpa_histogram(roles.students(spark, sf_dir))
 
 
-@register("course_metrics", O.with_roles(O.PER_COURSE, O.COURSE_ROLLUP, body="""
-select count(*) as total_courses, avg(completion_rate) as avg_completion_rate,
-       coalesce(avg(average_grade_point), 0.0) as avg_grade_point,
+@register("course_metrics", O.with_roles(O.PER_COURSE, O.COURSE_ROLLUP, body=f"""
+select count(*) as total_courses, {O.mean_of_rounded('completion_rate', 1)} as avg_completion_rate,
+       coalesce({O.mean_of_rounded('average_grade_point', 2)}, 0.0) as avg_grade_point,
        cast(coalesce(sum(total_enrollments), 0) as bigint) as total_enrollments
 from course_rollup"""))
 def q_course_metrics(spark, sf_dir):
     return A.course_metrics(course_rollup(spark, sf_dir))
 
 
-@register("dept_completion", O.with_roles(O.PER_COURSE, O.COURSE_ROLLUP, body="""
-select department, avg(completion_rate) as completion_rate,
+@register("dept_completion", O.with_roles(O.PER_COURSE, O.COURSE_ROLLUP, body=f"""
+select department, {O.mean_of_rounded('completion_rate', 1)} as completion_rate,
        cast(sum(total_enrollments) as bigint) as total_enrollments
 from course_rollup group by department"""))
 def q_dept_completion(spark, sf_dir):
