@@ -59,7 +59,7 @@ def test_zero_enrollments_give_zero_rates(spark):
     assert r.courses_per_semester == 0.0
 
 
-@pytest.mark.parametrize("gpa", [None, float("nan")])
+@pytest.mark.parametrize("gpa", [None, float("nan"), float("inf"), float("-inf")])
 def test_missing_gpa_never_passes_and_fills_zero(spark, gpa):
     rows = [(7, gpa, 10, 9, 3, (1, 1, 1, 1))]
     r = X.engineer_features(X.add_target(_base(spark, rows))).first()
