@@ -133,3 +133,16 @@ def test_missing_features_warned_and_left_out(spark):
     df = spark.createDataFrame([(1, 3.0)], "student_id long, gpa double")
     with pytest.warns(UserWarning):
         assert X.feature_columns(df) == ["gpa"]
+
+
+def test_days_since_ignores_session_time_zone(spark):
+    df = spark.sql("select TIMESTAMP_NTZ'2024-07-01 00:00:00' as ts")
+    prev = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        got = []
+        for tz in ("UTC", "America/New_York"):          # a summer date, a winter reference date
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            got.append(df.select(X.days_since("ts", "2025-01-01 12:00:00").alias("d")).first().d)
+        assert got == [184.5, 184.5]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", prev)
