@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules
+from . import mixing, quality_rules, simhash
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op8_simhash": simhash.op8_simhash,
     "op9_mixing": mixing.op9_mixing,
 }
 ORACLES = {
