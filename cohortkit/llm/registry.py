@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, simhash
+from . import line_dedup, mixing, quality_rules, simhash
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op8_simhash": simhash.op8_simhash,
     "op9_mixing": mixing.op9_mixing,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLES = {
     "op2_quality_rules": quality_rules.OP2_SQL,
