@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, quality_rules, simhash
+from . import line_dedup, mixing, packing, quality_rules, simhash
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op8_simhash": simhash.op8_simhash,
     "op9_mixing": mixing.op9_mixing,
