@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import language_id, line_dedup, mixing, packing, quality_rules, simhash
+from . import ann, language_id, line_dedup, mixing, packing, quality_rules, simhash
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op5_ann": ann.op5_ann,
     "op7_language_id": language_id.op7_language_id,
     "op8_simhash": simhash.op8_simhash,
     "op9_mixing": mixing.op9_mixing,
