@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, language_id, line_dedup, mixing, packing, quality_rules, simhash
+from . import ann, language_id, line_dedup, mixing, packing, quality_rules, simhash, url_filters
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op5_ann": ann.op5_ann,
+    "op6_url_filters": url_filters.op6_url_filters,
     "op7_language_id": language_id.op7_language_id,
     "op8_simhash": simhash.op8_simhash,
     "op9_mixing": mixing.op9_mixing,
@@ -15,5 +16,6 @@ QUERIES = {
 }
 ORACLES = {
     "op2_quality_rules": quality_rules.OP2_SQL,
+    "op6_url_filters": url_filters.OP6_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
