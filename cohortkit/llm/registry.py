@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, chat_repair, language_id, line_dedup, mixing, packing, quality_rules, simhash, url_filters
+from . import ann, chat_repair, language_id, line_dedup, mixing, packing, quality_rules, simhash, substring_dedup, url_filters
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_chat_repair": chat_repair.op4_chat_repair,
     "op5_ann": ann.op5_ann,
     "op6_url_filters": url_filters.op6_url_filters,
