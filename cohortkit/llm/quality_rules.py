@@ -6,9 +6,10 @@ cutoff; a document is rejected at the first level one of its scores exceeds.
 Labels choose the level, per stratum, with a guarantee:
 
 1. The labelled documents are dealt into a selection part and a holdout part by
-   a hash.  On the selection part, level L sets every score's cutoff to the
-   smallest value that at most the share ``LEVELS[L]`` of good documents exceed.
-   Levels are nested: a higher level never rejects less.
+   a hash.  On the selection part, level L sets every score's cutoff from the
+   smallest value that at most a share of the good documents exceed, with a margin
+   at the first levels (``LEVELS``).  Levels are nested: a higher level never
+   rejects less.
 2. On the holdout part, level L is certified if the exact binomial probability
    of seeing so few good documents rejected, were their true share ``ALPHA``, is
    at most ``DELTA / strata``; that holds exactly when the Clopper-Pearson upper
@@ -43,7 +44,11 @@ MIN_WORDS = 10
 MAX_REPEAT_PCT = 20
 ALPHA = 0.05      # largest share of good documents that a stratum may lose
 DELTA = 0.05      # probability with which the guarantee may fail
-LEVELS = (0.0, 0.0005, 0.001, 0.002, 0.005, 0.01, 0.02, 0.03)
+# Levels from lax to strict: (share of good documents above the value, factor, extra);
+# the cutoff is the value times the factor plus extra.  The first leave a margin above
+# all good documents seen, which small holdouts need.
+LEVELS = ((0.0, 4.0, 100), (0.0, 2.0, 50), (0.0, 1.5, 25), (0.0, 1.0, 10), (0.0, 1.0, 0), (0.0005, 1.0, 0),
+          (0.001, 1.0, 0), (0.002, 1.0, 0), (0.005, 1.0, 0), (0.01, 1.0, 0), (0.02, 1.0, 0), (0.03, 1.0, 0))
 GOOD_COST = 10    # rejected good share counts this many times the caught bad share
 STRATUM = "lang"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -159,9 +164,12 @@ def thresholds(measured: DataFrame, labels: DataFrame, stratum: str = STRATUM, a
     down = W.partitionBy("stratum", "rule").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, -1)
     hist = hist.withColumns({"above": F.coalesce(F.sum("n").over(down), F.lit(0)),
                              "total": F.sum("n").over(W.partitionBy("stratum", "rule"))})
-    levelled = hist.select("*", F.posexplode(F.array(*[F.lit(float(q)) for q in levels])).alias("level", "q"))
-    cut = (levelled.filter(F.col("above") <= F.col("q") * F.col("total"))
-           .groupBy("stratum", "level", "rule").agg(F.min("score").alias("cutoff")))
+    steps = F.array(*[F.struct(F.lit(float(q)).alias("q"), F.lit(float(m)).alias("m"), F.lit(int(x)).alias("x"))
+                      for q, m, x in levels])
+    levelled = hist.select("*", F.posexplode(steps).alias("level", "step"))
+    cut = (levelled.filter(F.col("above") <= F.col("step.q") * F.col("total"))
+           .groupBy("stratum", "level", "rule")
+           .agg(F.min(F.floor(F.col("score") * F.col("step.m")).cast("int") + F.col("step.x")).alias("cutoff")))
     wide = cut.groupBy("stratum", "level").agg(*[
         F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(r) for r in SCORES])
     wide = written(wide.withColumnRenamed("stratum", "_stratum"), "quality-cutoffs")
@@ -261,8 +269,9 @@ hist as (
                                   rows between unbounded preceding and 1 preceding), 0) as above,
          sum(n) over (partition by stratum, rule) as total
   from (select stratum, rule, score, count(*) as n from each group by all)),
-lv as (select unnest(range(0, {len(LEVELS)})) as level, unnest([{", ".join(map(str, LEVELS))}]::double[]) as q),
-cut as (select stratum, level, rule, min(score) as cutoff from hist, lv where above <= q * total group by all),
+lv (level, q, m, x) as (values {", ".join(f"({i}, {q}::double, {m}::double, {x})" for i, (q, m, x) in enumerate(LEVELS))}),
+cut as (
+  select stratum, level, rule, min(floor(score * m)::int + x) as cutoff from hist, lv where above <= q * total group by all),
 wide as (
   select stratum, level, {", ".join(f"min(case when rule = '{r}' then cutoff end) as c_{r}" for r in SCORES)}
   from cut group by all),
