@@ -35,6 +35,18 @@ def salted_join(fact: DataFrame, dim: DataFrame, key: str, salts: int, how: str
     return salted_fact.join(salted_dim, [key, "_salt"], how).drop("_salt")
 
 
+def salted_semi_join(fact: DataFrame, keys: DataFrame, key: str, salts: int) -> DataFrame:
+    """The rows of ``fact`` whose ``key`` is in ``keys``, a hot key over ``salts`` tasks.
+
+    The keys are de-duplicated and repeated once per salt.  The key and salt also
+    give both sides an exchange of their own right below the join, which is what
+    lets AQE split a partition that is skewed all the same.
+    """
+    wide = keys.select(key).distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(max(1, salts) - 1))))
+    salted = fact.withColumn("_salt", F.pmod(F.xxhash64(*fact.columns), F.lit(max(1, salts))).cast("int"))
+    return salted.join(wide, [key, "_salt"], "left_semi").drop("_salt")
+
+
 def dimension_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "left",
                    salts: int | None = None) -> DataFrame:
     """Join a dimension to the fact: Spark's choice (broadcast or AQE-split

@@ -5,15 +5,16 @@ window partitioned by a few groups (models, labels) runs in a few tasks.
 Both would hold all rows of a group in one task.  ``running_sums`` splits
 the order key into quantile buckets instead:
 
-1. bucket boundaries from ``approxQuantile`` (a bounded list, ``buckets``
-   values, is all that reaches the driver);
+1. the rows are range-partitioned by the order key (Spark samples the bounds
+   while the plan runs) and checkpointed with their partition as bucket;
 2. per (group, bucket) totals -- at most groups x buckets rows -- and their
    running offsets with a small window;
 3. a window inside each (group, bucket) for the within-bucket running sum,
    plus the bucket's offset.
 
-Results are exact; only the load balance depends on the approximate
-boundaries.
+The number of buckets is the caller's, or the session's number of shuffle
+partitions, so it grows with the cluster.  Results are exact; only the load
+balance depends on the sampled bounds.
 """
 
 from __future__ import annotations
@@ -22,26 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-DEFAULT_BUCKETS = 512
+from ..session import checkpointed
 
-
-def _bucket_column(df: DataFrame, order_col: str, buckets: int, rel_err: float):
-    from pyspark.ml.feature import Bucketizer
-
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(df.approxQuantile(order_col, probs, rel_err))) if buckets > 1 else []
-    splits = [float("-inf")] + [float(b) for b in bounds] + [float("inf")]
-    if len(splits) < 3:
-        splits = [float("-inf"), 0.0, float("inf")]
-    tmp = "_rs_order_d"
-    b = Bucketizer(splits=splits, inputCol=tmp, outputCol="_rs_bucket", handleInvalid="keep")
-    out = b.transform(df.withColumn(tmp, F.col(order_col).cast("double")))
-    return out.drop(tmp).withColumn("_rs_bucket", F.col("_rs_bucket").cast("int"))
+def _in_buckets(df: DataFrame, order_col: str, buckets: int | None) -> DataFrame:
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(n, F.col(order_col)).withColumn("_rs_bucket", F.spark_partition_id())
+    return checkpointed(placed)      # both passes below must see the same buckets
 
 
 def running_sums(df: DataFrame, order_col: str, value_cols: list[str],
-                 partition_cols: list[str] | tuple = (), buckets: int = DEFAULT_BUCKETS,
-                 rel_err: float = 1e-3) -> DataFrame:
+                 partition_cols: list[str] | tuple = (), buckets: int | None = None) -> DataFrame:
     """For each row, ``<v>_before`` = sum of ``v`` over rows of the same
     partition with a smaller ``order_col``, and ``<v>_total`` = partition sum.
 
@@ -50,7 +41,7 @@ def running_sums(df: DataFrame, order_col: str, value_cols: list[str],
     """
     pc = list(partition_cols)
     df = df.filter(F.col(order_col).isNotNull())
-    b = _bucket_column(df, order_col, buckets, rel_err)
+    b = _in_buckets(df, order_col, buckets)
     totals = b.groupBy(*pc, "_rs_bucket").agg(*[F.sum(v).alias(f"_rs_{v}_b") for v in value_cols])
     w_off = (Window.partitionBy(*pc).orderBy("_rs_bucket")
              .rowsBetween(Window.unboundedPreceding, -1))
@@ -70,7 +61,7 @@ def running_sums(df: DataFrame, order_col: str, value_cols: list[str],
     return out.drop("_rs_bucket", *[f"_rs_{v}_off" for v in value_cols])
 
 
-def exact_median(df: DataFrame, col: str, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def exact_median(df: DataFrame, col: str, buckets: int | None = None) -> DataFrame:
     """One-row frame with the exact median of ``col`` (average of the two
     middle values for an even count; NULL for no values).
 

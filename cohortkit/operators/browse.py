@@ -3,18 +3,19 @@
 A page is ``orderBy(key).offset(skip).limit(n)``: an ordering is always
 added (the reference pages without one, so its pages are not stable).
 Spark plans it as a per-partition top-(skip+n) followed by a merge, so the
-cost is bounded by the page depth, not the table.  For deep pages use
-``keyset_page`` (a key filter that is pushed into the Parquet scan).
+cost is bounded by the page depth, not the table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import fixed
+from ..functions.joins import salted_semi_join
 
-STUDENT_COLUMNS = ["student_id", "first_name", "last_name", "major", "year_level",
+STUDENT_COLUMNS = ["student_id", "first_name", "last_name", "email", "major", "year_level",
                    "gpa", "is_active", "enrollment_date"]
 COURSE_COLUMNS = ["course_id", "course_name", "department", "credits", "course_type",
                   "semester", "year"]
@@ -46,13 +47,6 @@ def page(df: DataFrame, order: list, skip: int = 0, limit: int = 10) -> DataFram
     return out.limit(limit)
 
 
-def keyset_page(df: DataFrame, key: str, after=None, limit: int = 10) -> DataFrame:
-    """Deep-page variant: rows with ``key > after`` in key order."""
-    if after is not None:
-        df = df.filter(F.col(key) > F.lit(after))
-    return df.orderBy(key).limit(limit)
-
-
 def students_filtered(students: DataFrame, major: str | None = None, year_level: int | None = None,
                       min_gpa: float | None = None, skip: int = 0, limit: int = 10) -> DataFrame:
     """students by optional major, year and minimum gpa; one page by id."""
@@ -104,10 +98,12 @@ def enrollments_of(students: DataFrame, enrollments: DataFrame, student_id) -> D
     return enrollments.select(*ENROLLMENT_COLUMNS).filter(F.col("student_id") == F.lit(student_id))
 
 
-def student_enrollments(students: DataFrame, enrollments: DataFrame, keys: DataFrame) -> DataFrame:
-    """Enrollments of the requested students that exist (semi-joins)."""
+def student_enrollments(students: DataFrame, enrollments: DataFrame, keys: DataFrame, salts: int = 8) -> DataFrame:
+    """Enrollments of the requested students that exist (semi-joins).
+
+    A student with very many enrollments is dealt over ``salts`` tasks."""
     existing = keys.select("student_id").join(students.select("student_id"), "student_id", "left_semi")
-    return enrollments.select(*ENROLLMENT_COLUMNS).join(existing, "student_id", "left_semi")
+    return salted_semi_join(enrollments.select(*ENROLLMENT_COLUMNS), existing, "student_id", salts).select(*ENROLLMENT_COLUMNS)
 
 
 def at_risk(students: DataFrame, gpa_threshold: float = fixed.DEFAULT_GPA_THRESHOLD) -> DataFrame:
@@ -119,12 +115,6 @@ def at_risk(students: DataFrame, gpa_threshold: float = fixed.DEFAULT_GPA_THRESH
             .orderBy("gpa", "student_id"))
 
 
-def at_risk_count(students: DataFrame, gpa_threshold: float = fixed.DEFAULT_GPA_THRESHOLD) -> DataFrame:
-    """the count that goes with the list."""
-    return students.agg(F.count_if(F.col("gpa") < F.lit(gpa_threshold)).alias("count"),
-                        F.lit(gpa_threshold).alias("threshold"))
-
-
 def at_risk_active(students: DataFrame, gpa_threshold: float = fixed.DEFAULT_GPA_THRESHOLD) -> DataFrame:
     """Active students below the threshold, projected and sorted."""
     return (students.filter((F.col("gpa") < F.lit(gpa_threshold)) & F.col("is_active"))
@@ -149,6 +139,14 @@ def sql_at_risk_active(spark, students: DataFrame,
     return spark.sql(AT_RISK_ACTIVE_SQL.format(students=name, threshold=float(gpa_threshold)))
 
 
+def ranked(df: DataFrame, order: list, n: int = 100) -> DataFrame:
+    """The first ``n`` rows by ``order`` with their place, from 1, as ``position``.
+
+    The limit comes first (a bounded top-n), so the numbering sees n rows."""
+    top = df.orderBy(*order).limit(n)
+    return top.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+
+
 SORTABLE = ("total_enrollments", "completion_rate", "average_grade_point", "course_name")
 
 

@@ -12,21 +12,38 @@ which equals the Mann-Whitney statistic with ties counted one half.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import safe_div
 from ..functions.stats import running_sums
+from ..session import checkpointed
 
 
-def long_predictions(df: DataFrame, model: str, label: str, score: str,
+def long_predictions(df: DataFrame, scores: dict[str, Column], label: str,
                      key: str = "student_id", threshold: float = 0.5) -> DataFrame:
-    """One model's predictions in the long (model, key, label, score,
-    prediction) form; the class is 1 when score > threshold."""
-    return df.select(F.lit(model).alias("model"), F.col(key).alias("key"),
-                     F.col(label).cast("int").alias("label"),
-                     F.col(score).cast("double").alias("score"),
-                     (F.col(score) > F.lit(threshold)).cast("int").alias("prediction"))
+    """The long (model, key, label, score, prediction) form of one or more models'
+    scores, from one pass over ``df``; the class is 1 when score > threshold."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), s.cast("double").alias("score"))
+                               for m, s in scores.items()])).alias("_m")
+    return df.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"), each).select(
+        "_m.model", "key", "label", "_m.score", (F.col("_m.score") > F.lit(threshold)).cast("int").alias("prediction"))
+
+
+def outcome_counts(preds: DataFrame, by=("model",)) -> DataFrame:
+    """Per (model, score, prediction): positive and negative counts.
+
+    The one pass over the predictions; everything else is derived from it.  A hot
+    score is one row, and the result is checkpointed because several branches read it."""
+    return checkpointed(preds.groupBy(*by, "score", "prediction").agg(
+        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")))
+
+
+def _confusion(counts: DataFrame, by=("model",)) -> DataFrame:
+    def cell(predicted, count):
+        return F.sum(F.when(F.col("prediction") == predicted, F.col(count)).otherwise(0)).cast("long")
+    return counts.groupBy(*by).agg(cell(0, "neg").alias("tn"), cell(1, "neg").alias("fp"),
+                                   cell(0, "pos").alias("fn"), cell(1, "pos").alias("tp"))
 
 
 def confusion_counts(preds: DataFrame, by=("model",)) -> DataFrame:
@@ -37,31 +54,29 @@ def confusion_counts(preds: DataFrame, by=("model",)) -> DataFrame:
         F.count_if((y == 1) & (p == 0)).alias("fn"), F.count_if((y == 1) & (p == 1)).alias("tp"))
 
 
-def score_counts(preds: DataFrame, by=("model",)) -> DataFrame:
-    """Per (model, score): positive and negative counts (a hot score is one row)."""
-    return preds.groupBy(*by, "score").agg(
-        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-
-
-def _curves(preds: DataFrame, buckets: int, by=("model",)) -> DataFrame:
-    return running_sums(score_counts(preds, by), "score", ["pos", "neg"], partition_cols=list(by),
-                        buckets=buckets)
+def _curves(counts: DataFrame, buckets: int | None, by=("model",)) -> DataFrame:
+    per_score = counts.groupBy(*by, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return running_sums(per_score, "score", ["pos", "neg"], partition_cols=list(by), buckets=buckets)
 
 
-def roc_auc(preds: DataFrame, buckets: int = 256, by=("model",)) -> DataFrame:
-    """Per model (or ``by`` key) ROC AUC (NULL when a class is absent)."""
-    c = _curves(preds, buckets, by)
-    return c.groupBy(*by).agg(
+def _auc(curves: DataFrame, by=("model",)) -> DataFrame:
+    return curves.groupBy(*by).agg(
         F.try_divide(
             F.sum(F.col("pos") * (F.lit(2) * F.col("neg_before") + F.col("neg"))).cast("double"),
             F.lit(2.0) * F.max("pos_total").cast("double") * F.max("neg_total").cast("double"),
         ).alias("roc_auc"))
 
 
-def eval_metrics(preds: DataFrame, buckets: int = 256, by=("model",)) -> DataFrame:
+def roc_auc(preds: DataFrame, buckets: int | None = None, by=("model",)) -> DataFrame:
+    """Per model (or ``by`` key) ROC AUC (NULL when a class is absent)."""
+    return _auc(_curves(outcome_counts(preds, by), buckets, by), by)
+
+
+def eval_metrics(preds: DataFrame, buckets: int | None = None, by=("model",)) -> DataFrame:
     """Per model (or ``by`` key, e.g. model and split) n, accuracy, ROC AUC,
     and class-1 precision, recall, F1."""
-    cm = confusion_counts(preds, by)
+    counts = outcome_counts(preds, by)
+    cm = _confusion(counts, by)
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     precision = safe_div(tp, tp + fp)
     recall = safe_div(tp, tp + fn)
@@ -70,7 +85,7 @@ def eval_metrics(preds: DataFrame, buckets: int = 256, by=("model",)) -> DataFra
         safe_div(tp + tn, tp + fp + fn + tn).alias("accuracy"),
         precision.alias("precision"), recall.alias("recall"),
         safe_div(F.lit(2) * tp, F.lit(2) * tp + fp + fn).alias("f1_score"))
-    return out.join(roc_auc(preds, buckets, by), list(by), "left")
+    return out.join(_auc(_curves(counts, buckets, by), by), list(by), "left")
 
 
 def model_comparison(metrics: DataFrame) -> DataFrame:
@@ -79,12 +94,20 @@ def model_comparison(metrics: DataFrame) -> DataFrame:
             .orderBy(F.desc_nulls_last("roc_auc"), "model"))
 
 
+def best_by(table: DataFrame, metric: str) -> DataFrame:
+    """(model, metric) of the highest known metric (ties: smallest name).  A model
+    whose metric is NULL or NaN never wins; a table without any is an error when
+    the result is read."""
+    known = table.filter(F.col(metric).isNotNull() & ~F.isnan(F.col(metric).cast("double")))
+    best = known.agg(F.min(F.struct((-F.col(metric)).alias("neg"), F.col("model").alias("model"))).alias("_b"))
+    error = F.raise_error(F.lit(f"no model has a {metric}")).cast("string")
+    return best.select(F.when(F.col("_b").isNull(), error).otherwise(F.col("_b.model")).alias("model"),
+                       (-F.col("_b.neg")).alias(metric))
+
+
 def best_model(metrics: DataFrame, metric: str = "roc_auc") -> DataFrame:
-    """The model with the highest metric (ties: smallest name).
-    Raises when there is no model."""
-    best = metrics.agg(F.min(F.struct((-F.col(metric)).alias("neg"), F.col("model").alias("model")))
-                       .alias("_b"))
-    return best.select(F.col("_b.model").alias("model"), (-F.col("_b.neg")).alias(metric))
+    """The model with the highest metric."""
+    return best_by(metrics, metric)
 
 
 def classification_report(preds: DataFrame) -> DataFrame:
@@ -123,25 +146,33 @@ def confusion_matrix(preds: DataFrame) -> DataFrame:
                      *[(safe_div(c, total) * F.lit(100)).alias(f"{c}_pct") for c in ("tn", "fp", "fn", "tp")])
 
 
-def roc_points(preds: DataFrame, buckets: int = 256) -> DataFrame:
-    """One ROC point per distinct score (threshold): predicting 1 for
-    score >= threshold gives tp / fp and the rates."""
-    c = _curves(preds, buckets)
+def roc_points(preds: DataFrame, buckets: int | None = None) -> DataFrame:
+    """The ROC curve: one point per distinct score (predicting 1 for score >=
+    threshold), and the start (0, 0), whose threshold is NULL."""
+    c = _curves(outcome_counts(preds), buckets)
+    start = c.groupBy("model").agg(F.max("pos_total").alias("pos_total"), F.max("neg_total").alias("neg_total")).select(
+        "model", F.lit(None).cast("double").alias("threshold"), F.lit(0).cast("long").alias("tp"),
+        F.lit(0).cast("long").alias("fp"), "pos_total", "neg_total")
     tp = F.col("pos_total") - F.col("pos_before")
     fp = F.col("neg_total") - F.col("neg_before")
-    return c.select("model", F.col("score").alias("threshold"), tp.alias("tp"), fp.alias("fp"),
-                    F.try_divide(tp.cast("double"), F.col("pos_total")).alias("tpr"),
-                    F.try_divide(fp.cast("double"), F.col("neg_total")).alias("fpr"))
+    points = c.select("model", F.col("score").alias("threshold"), tp.alias("tp"), fp.alias("fp"), "pos_total", "neg_total")
+    return points.unionByName(start).select(
+        "model", "threshold", "tp", "fp", F.try_divide(F.col("tp").cast("double"), F.col("pos_total")).alias("tpr"),
+        F.try_divide(F.col("fp").cast("double"), F.col("neg_total")).alias("fpr"))
 
 
-def pr_points(preds: DataFrame, buckets: int = 256) -> DataFrame:
-    """Precision and recall per distinct score threshold."""
-    c = _curves(preds, buckets)
+def pr_points(preds: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Precision and recall per distinct score threshold, and the end of the
+    curve (precision 1, recall 0), whose threshold is NULL."""
+    c = _curves(outcome_counts(preds), buckets)
     tp = F.col("pos_total") - F.col("pos_before")
     fp = F.col("neg_total") - F.col("neg_before")
-    return c.select("model", F.col("score").alias("threshold"),
-                    F.try_divide(tp.cast("double"), tp + fp).alias("precision"),
-                    F.try_divide(tp.cast("double"), F.col("pos_total")).alias("recall"))
+    points = c.select("model", F.col("score").alias("threshold"),
+                      F.try_divide(tp.cast("double"), tp + fp).alias("precision"),
+                      F.try_divide(tp.cast("double"), F.col("pos_total")).alias("recall"))
+    end = c.select("model").distinct().select("model", F.lit(None).cast("double").alias("threshold"),
+                                              F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
+    return points.unionByName(end)
 
 
 def tree_importance(spark, model, feature_names: list[str], model_name: str,

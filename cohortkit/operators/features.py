@@ -14,7 +14,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..functions import fixed
 from ..functions.joins import dimension_join
@@ -22,6 +21,7 @@ from ..functions.expr import (clean_number, flag, nan_to_null, null_label, null_
                               percent, sample_std)
 
 DEFAULT_AS_OF = "2025-01-01 12:00:00"
+MAX_CLASSES = 10_000     # bound of a categorical column; more values are an error
 
 BASE_KEYS = ["student_id", "gpa", "year_level", "major", "is_active", "enrollment_date"]
 
@@ -60,12 +60,13 @@ def activity_counts(status_col: str = "status", grade_col: str = "grade",
 
 def student_features_base(students: DataFrame, enrollments: DataFrame, courses: DataFrame,
                           as_of: str = DEFAULT_AS_OF, active_only: bool = True,
-                          salts: int | None = None) -> DataFrame:
+                          salts: int | None = None, with_activity: bool = True) -> DataFrame:
     """A10: one row per (active) student with at least one enrollment.
 
     Same result as ``students LEFT JOIN enrollments LEFT JOIN courses ...
     GROUP BY student HAVING COUNT(enrollment_id) > 0``: the HAVING removes
-    the unmatched students, so the member join is an inner join.
+    the unmatched students, so the member join is an inner join.  With
+    ``with_activity=False`` students without enrollments stay, with counts of 0.
     ``salts`` > 1 salts the fact-to-catalog join (see ``functions.joins``).
     """
     credits = courses.select("course_id", "credits")
@@ -81,8 +82,12 @@ def student_features_base(students: DataFrame, enrollments: DataFrame, courses:
     members = students.select(*BASE_KEYS)
     if active_only:
         members = members.filter(F.col("is_active"))
-    return (members.join(per_student, "student_id", "inner")
-            .withColumn("days_enrolled", days_since("enrollment_date", as_of)))
+    if with_activity:
+        joined = members.join(per_student, "student_id", "inner")
+    else:
+        joined = members.join(per_student, "student_id", "left").withColumns(
+            {c: null_zero(c).cast("long") for c in COUNT_COLUMNS})
+    return joined.withColumn("days_enrolled", days_since("enrollment_date", as_of))
 
 
 def add_target(df: DataFrame, min_gpa: float = fixed.SUCCESS_MIN_GPA,
@@ -138,64 +143,61 @@ def fill_numbers(df: DataFrame) -> DataFrame:
     return df.withColumns(out)
 
 
-def major_classes(df: DataFrame, col: str = "major") -> DataFrame:
-    """Sorted classes of a categorical column -> code 0..k-1.
+def class_map(df: DataFrame, col: str = "major") -> DataFrame:
+    """One row, ``classes``: the sorted distinct values of a categorical column -> 0..k-1.
 
-    The class set is the column's distinct values (a categorical domain), so
-    the ordering window runs over k rows, not over the data.
+    At most ``MAX_CLASSES`` values reach the one row (checked before they are
+    gathered); a column with more is an error when the result is read.
     """
-    w = Window.orderBy(F.col(col))
-    return (df.select(col).distinct()
-            .withColumn(f"{col}_encoded", (F.row_number().over(w) - 1).cast("int")))
+    few = df.select(col).filter(F.col(col).isNotNull()).distinct().limit(MAX_CLASSES + 1)
+    values = F.sort_array(F.collect_list(col))
+    error = F.raise_error(F.lit(f"{col} has more than {MAX_CLASSES} values")).cast("array<string>")
+    one = few.agg(values.alias("v")).select(F.when(F.size("v") > MAX_CLASSES, error).otherwise(F.col("v")).alias("v"))
+    codes = F.transform("v", lambda x, i: F.struct(x, i))
+    return one.select(F.map_from_entries(codes).alias("classes"))
+
+
+def as_class_map(classes: DataFrame, col: str = "major") -> DataFrame:
+    """The one-row form of a fitted class table (col, col_encoded)."""
+    return classes.limit(MAX_CLASSES).agg(
+        F.map_from_entries(F.collect_list(F.struct(col, F.col(f"{col}_encoded").cast("int")))).alias("classes"))
+
+
+def major_classes(df: DataFrame, col: str = "major") -> DataFrame:
+    """The fitted class table: (col, col_encoded)."""
+    return class_map(df, col).select(F.explode("classes").alias(col, f"{col}_encoded"))
 
 
 def encode_major(df: DataFrame, col: str = "major", classes: DataFrame | None = None) -> DataFrame:
     """Major -> integer code by ascending class order.
 
-    With ``classes`` given (a fitted class table) unseen values get NULL;
-    the scoring path reports them through ``unseen_categories``.
+    ``classes`` is a fitted class table; without one the classes are those of
+    ``df``.  They reach the rows as one broadcast row of bounded size, so the rows
+    themselves are never shuffled.  A value outside the classes gets NULL.
     """
-    classes = classes if classes is not None else major_classes(df, col)
-    return df.join(classes, col, "left")
+    one = class_map(df, col) if classes is None else as_class_map(classes, col)
+    return (df.crossJoin(F.broadcast(one.withColumnRenamed("classes", "_classes")))
+            .withColumn(f"{col}_encoded", F.try_element_at("_classes", F.col(col))).drop("_classes"))
 
 
-def unseen_categories(df: DataFrame, classes: DataFrame, col: str = "major") -> DataFrame:
-    """Rows whose category is not in the fitted class table (data-quality frame)."""
-    return df.join(classes.select(col), col, "left_anti")
+def engineered_table(students: DataFrame, enrollments: DataFrame, courses: DataFrame,
+                     as_of: str = DEFAULT_AS_OF, salts: int | None = None, everyone: bool = False) -> DataFrame:
+    """Load -> target -> features, not encoded: a lazy plan, so a report that reads
+    three columns scans three.  ``everyone`` keeps inactive students and those
+    without enrollments."""
+    base = student_features_base(students, enrollments, courses, as_of, active_only=not everyone, salts=salts,
+                                 with_activity=not everyone)
+    return engineer_features(add_target(base))
 
 
 def feature_table(students: DataFrame, enrollments: DataFrame, courses: DataFrame,
-                  as_of: str = DEFAULT_AS_OF, materialize: bool = True,
-                  salts: int | None = None) -> DataFrame:
-    """Load -> target -> features -> encode.
-
-    The per-student table is read by several branches (the class table of
-    the encoder, then every report built on it), so by default it is
-    computed once and checkpointed to the shared folder (which also cuts
-    the lineage back to the fact join); the branches read the checkpoint.
-    """
-    base = student_features_base(students, enrollments, courses, as_of, salts=salts)
-    engineered = engineer_features(add_target(base))
-    if materialize:
-        engineered = materialize_frame(engineered)
-    return encode_major(engineered)
-
-
-def materialize_frame(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable ``checkpoint()``
-    into the shared folder named by ``spark.checkpoint.dir``.
+                  as_of: str = DEFAULT_AS_OF, salts: int | None = None) -> DataFrame:
+    """Load -> target -> features -> encode, as one lazy plan.
 
-    The frame is persisted first, so the checkpoint job writes the cached
-    blocks instead of recomputing the plan; the cache is released once the
-    files are written, and later readers (and re-run tasks after an executor
-    loss) read the checkpoint files.
+    The class table is fitted from the narrow (student, major) projection of the
+    same plan; ``train_job`` checkpoints the result, single reports don't.
     """
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    cached = df.persist()
-    out = cached.checkpoint(eager=True)
-    cached.unpersist(blocking=False)
-    return out
+    return encode_major(engineered_table(students, enrollments, courses, as_of, salts))
 
 
 def feature_columns(df: DataFrame, features=None, exclude=()) -> list[str]:
@@ -288,7 +290,7 @@ def serving_features(students: DataFrame, enrollments: DataFrame,
 
 __all__ = [
     "DEFAULT_AS_OF", "activity_counts", "student_features_base", "add_target",
-    "engineer_features", "fill_numbers", "major_classes", "encode_major", "unseen_categories",
-    "feature_table", "feature_columns", "feature_matrix", "feature_dictionary",
+    "engineer_features", "fill_numbers", "major_classes", "encode_major", "class_map",
+    "engineered_table", "feature_table", "feature_columns", "feature_matrix", "feature_dictionary",
     "with_feature_comments", "target_summary", "serving_features", "days_since",
 ]

@@ -45,28 +45,32 @@ def _at_least(c: str, lo, nullable: bool = False) -> tuple[Column, str]:
 
 
 def student_rules() -> list[tuple[Column, str]]:
-    """Constraints of a student record: id and names required, year 1..4
+    """Constraints of a student record: id, names and email required, year 1..4
     and gpa 0..4 when given."""
     return [
-        _required("student_id"), _required("first_name"), _required("last_name"),
+        _required("student_id"), _required("first_name"), _required("last_name"), _required("email"),
         _range_check("year_level", *fixed.YEAR_LEVEL_RANGE),
         _range_check("gpa", *fixed.GPA_BOUNDS),
     ]
 
 
-def prediction_request_rules() -> list[tuple[Column, str]]:
+def prediction_request_rules(columns: list[str] | None = None) -> list[tuple[Column, str]]:
     """Constraints of a caller-supplied feature row: gpa 0..4, year 1..4,
     counts >= 0, rates 0..100 (required: gpa, year, total, completed,
-    dropped, completion rate)."""
+    dropped, completion rate).  Rules of optional columns that are not among
+    ``columns`` are left out."""
+    has = lambda c: columns is None or c in columns
     rules = [_range_check("gpa", *fixed.GPA_BOUNDS, nullable=False),
              _range_check("year_level", *fixed.YEAR_LEVEL_RANGE, nullable=False)]
     for c in ("total_enrollments", "completed_courses", "dropped_courses"):
         rules.append(_at_least(c, 0))
     for c in ("current_enrollments", "excellent_grades", "good_grades", "average_grades", "poor_grades"):
-        rules.append(_at_least(c, 0, nullable=True))
+        if has(c):
+            rules.append(_at_least(c, 0, nullable=True))
     rules.append(_range_check("completion_rate", *fixed.RATE_BOUNDS, nullable=False))
     for c in ("drop_rate", "excellence_rate", "struggle_rate"):
-        rules.append(_range_check(c, *fixed.RATE_BOUNDS))
+        if has(c):
+            rules.append(_range_check(c, *fixed.RATE_BOUNDS))
     return rules
 
 
@@ -111,20 +115,30 @@ def dedupe_pairs(enrollments: DataFrame, keys=("student_id", "course_id"),
     return first_per_key(enrollments, list(keys), list(order))
 
 
-def append_new_keys(target: DataFrame, batch: DataFrame, key: str, inserted_at: str | None = None,
-                    order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows to insert, refused rows).
+def mark_new_keys(target: DataFrame, batch: DataFrame, key: str, inserted_at: str | None = None,
+                  order: list[str] | None = None) -> DataFrame:
+    """S8 in one pass: the batch's first row per key (by ``order``) with ``outcome``
+    'inserted' or 'refused' and, if asked for, ``inserted_at`` of the inserted ones.
 
-    The batch is de-duplicated on the key first (first row by ``order``),
-    keys already in the target are refused (``left_semi``), the rest are
-    new (``left_anti``) and stamped with ``inserted_at``.
+    The batch is aggregated once and the target's keys are read once: one left
+    join with a flag decides both outcomes.
     """
     b = first_per_key(batch, [key], [c for c in (order or []) if c != key])
-    existing = target.select(key)
-    new = b.join(existing, key, "left_anti")
-    refused = b.join(existing, key, "left_semi")
+    existing = target.select(F.col(key).alias("_key")).distinct().withColumn("_old", F.lit(True))
+    out = (b.join(existing, F.col(key) == F.col("_key"), "left")
+           .withColumn("outcome", F.when(F.col("_old"), "refused").otherwise("inserted")).drop("_key", "_old"))
     if inserted_at is not None:
-        new = new.withColumn("inserted_at", F.expr(f"TIMESTAMP_NTZ'{inserted_at}'"))
+        stamp = F.expr(f"TIMESTAMP_NTZ'{inserted_at}'")
+        out = out.withColumn("inserted_at", F.when(F.col("outcome") == "inserted", stamp))
+    return out
+
+
+def append_new_keys(target: DataFrame, batch: DataFrame, key: str, inserted_at: str | None = None,
+                    order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows to insert, refused rows), the two parts of ``mark_new_keys``."""
+    marked = mark_new_keys(target, batch, key, inserted_at, order)
+    new = marked.filter(F.col("outcome") == "inserted").drop("outcome")
+    refused = marked.filter(F.col("outcome") == "refused").drop("outcome", "inserted_at")
     return new, refused
 
 
@@ -142,15 +156,35 @@ def orphan_rows(child: DataFrame, parent: DataFrame, fk: str, pk: str | None = N
 
 
 def orphan_report(child: DataFrame, parents: dict[str, DataFrame]) -> DataFrame:
-    """Per foreign key, rows checked and orphan rows (one aggregate per key)."""
-    parts = []
-    for fk, parent in parents.items():
-        p = parent.select(F.col(fk).alias("_pk"), F.lit(True).alias("_hit")).distinct()
-        j = child.select(fk).join(p, child[fk] == p["_pk"], "left")
-        parts.append(j.agg(F.count(F.lit(1)).alias("checked_rows"),
-                           F.count_if(F.col(fk).isNotNull() & F.col("_hit").isNull()).alias("orphan_rows"))
-                     .select(F.lit(fk).alias("foreign_key"), "checked_rows", "orphan_rows"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Per foreign key, rows checked and orphan rows.
+
+    The child is read once: its keys are counted per (foreign key, value) before
+    anything is joined, so a hot key is one row, and the distinct values then meet
+    the parents' keys in one anti-join.  Keys are compared as text when their types
+    differ between the foreign keys.
+    """
+    names = list(parents)
+    kinds = {child.schema[n].dataType.simpleString() for n in names}
+    kind = kinds.pop() if len(kinds) == 1 else "string"
+    entries = F.explode(F.array(*[F.struct(F.lit(n).alias("foreign_key"), F.col(n).cast(kind).alias("value")) for n in names]))
+    counted = (child.select(entries.alias("e")).select("e.*")
+               .groupBy("foreign_key", "value").agg(F.count(F.lit(1)).alias("n")))
+    keys = None
+    for n in names:
+        k = parents[n].select(F.lit(n).alias("foreign_key"), F.col(n).cast(kind).alias("value"))
+        keys = k if keys is None else keys.unionAll(k)
+    lost = (counted.filter(F.col("value").isNotNull()).join(keys, ["foreign_key", "value"], "left_anti")
+            .select("foreign_key", F.lit(0).cast("long").alias("n"), F.col("n").alias("lost")))
+    every = child.sparkSession.createDataFrame([(n, 0, 0) for n in names], "foreign_key string, n long, lost long")
+    return (counted.select("foreign_key", "n", F.lit(0).cast("long").alias("lost")).unionAll(lost).unionAll(every)
+            .groupBy("foreign_key").agg(F.sum("n").alias("checked_rows"), F.sum("lost").alias("orphan_rows")))
+
+
+def listed_tables(spark, database: str | None = None, only: list[str] | None = None) -> DataFrame:
+    """The tables and views that the catalog lists, with their row counts."""
+    found = {t.name: spark.table(f"{database}.{t.name}" if database and not t.isTemporary else t.name)
+             for t in (spark.catalog.listTables(database) if database else spark.catalog.listTables())
+             if only is None or t.name in only}
+    if not found:
+        return spark.createDataFrame([], "table_name string, row_count long")
+    return table_counts(found)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.expr import nan_to_null, round_half_up
+from .features import as_class_map
 
 
 def _tier_chain(p: Column, tiers, value) -> Column:
@@ -116,15 +117,18 @@ def explain(df: DataFrame, prob_col: str = "success_probability", features=None,
 def align_features(df: DataFrame, feature_names: list[str], major_classes: DataFrame | None = None,
                    key: str = "student_id") -> DataFrame:
     """One double column per model feature, in order.  Absent features
-    are 0, NULL / NaN values 0; ``major_encoded`` is derived from ``major``
-    with the fitted class table when only the raw value is present (an
-    unseen major maps to the number of classes, like a 'keep' indexer)."""
-    if ("major_encoded" in feature_names and "major_encoded" not in df.columns
-            and "major" in df.columns and major_classes is not None):
-        n_classes = major_classes.agg(F.count(F.lit(1)).alias("_k"))
-        df = (df.join(major_classes, "major", "left").crossJoin(F.broadcast(n_classes))
-              .withColumn("major_encoded", F.coalesce(F.col("major_encoded"), F.col("_k").cast("int")))
-              .drop("_k"))
+    are 0, NULL / NaN values 0.  ``major_encoded`` comes from ``major`` and the
+    fitted class table; an unseen (or absent) major gets the number of classes, like
+    a 'keep' indexer.  Without the class table only a frame that is encoded already
+    can be aligned."""
+    if "major_encoded" in feature_names and ("major_encoded" not in df.columns or major_classes is not None):
+        if major_classes is None:
+            raise ValueError("major_encoded needs the class table that was fitted with the models")
+        if "major" not in df.columns:
+            df = df.withColumn("major", F.lit(None).cast("string"))
+        one = as_class_map(major_classes).withColumnRenamed("classes", "_classes")
+        code = F.coalesce(F.try_element_at("_classes", F.col("major")), F.size("_classes"))
+        df = df.crossJoin(F.broadcast(one)).withColumn("major_encoded", code).drop("_classes")
     cols = []
     for name in feature_names:
         if name in df.columns:
@@ -136,6 +140,15 @@ def align_features(df: DataFrame, feature_names: list[str], major_classes: DataF
     return df.select(*keep, *cols)
 
 
+def linear_probability(df: DataFrame, coefficients: dict[str, float], intercept: float,
+                       out: str = "success_probability") -> DataFrame:
+    """P3 for a linear model given by its numbers: 1 / (1 + exp(-(b + sum c x)))."""
+    z = F.lit(float(intercept))
+    for name, c in coefficients.items():
+        z = z + F.lit(float(c)) * F.col(name)
+    return df.withColumn(out, F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
+
+
 def probability_columns(scored: DataFrame, prob_col: str = "probability") -> DataFrame:
     """Class-1 and class-0 probabilities from an ML probability vector."""
     from pyspark.ml.functions import vector_to_array

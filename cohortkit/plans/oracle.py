@@ -19,6 +19,7 @@ def _grade_case(col: str) -> str:
 ROLES = f"""
 students as (
   select c_custkey as student_id, c_name as first_name, 'X' as last_name,
+         concat(lower(c_name), '{R.EMAIL_DOMAIN}') as email,
          case when c_custkey % {R.NULL_MAJOR_MOD} <> {R.NULL_MAJOR_REM} then c_mktsegment end as major,
          case when c_custkey % {R.NULL_YEAR_MOD} <> {R.NULL_YEAR_REM}
               then cast(c_nationkey % 4 + 1 as integer) end as year_level,
@@ -60,19 +61,21 @@ def _in(values) -> str:
 B = fixed.GRADE_BANDS
 AS_OF = DEFAULT_AS_OF
 
+def _counters(p: str = "") -> str:
+    """The eight per-student counters, over columns with prefix ``p``."""
+    parts = [f"count({p}enrollment_id) as total_enrollments"]
+    parts += [f"count(case when {p}status = '{status}' then 1 end) as {name}" for status, name in (
+        ("Completed", "completed_courses"), ("Dropped", "dropped_courses"), ("Enrolled", "current_enrollments"))]
+    parts += [f"count(case when {p}grade in {_in(grades)} then 1 end) as {band}_grades" for band, grades in B.items()]
+    return ",\n         ".join(parts)
+
+
 # A10: per-student base features (fact-first is an implementation choice;
 # the SQL states the reference's LEFT JOIN / GROUP BY / HAVING form).
 FEATURES_BASE = f"""
 features_base as (
   select s.student_id, s.gpa, s.year_level, s.major, s.is_active, s.enrollment_date,
-         count(e.enrollment_id) as total_enrollments,
-         count(case when e.status = 'Completed' then 1 end) as completed_courses,
-         count(case when e.status = 'Dropped' then 1 end) as dropped_courses,
-         count(case when e.status = 'Enrolled' then 1 end) as current_enrollments,
-         count(case when e.grade in {_in(B['excellent'])} then 1 end) as excellent_grades,
-         count(case when e.grade in {_in(B['good'])} then 1 end) as good_grades,
-         count(case when e.grade in {_in(B['average'])} then 1 end) as average_grades,
-         count(case when e.grade in {_in(B['poor'])} then 1 end) as poor_grades,
+         {_counters('e.')},
          avg(c.credits) as avg_course_credits,
          cast(sum(c.credits) as bigint) as total_credits_attempted,
          date_diff('microsecond', s.enrollment_date, timestamp '{AS_OF}') / 8.64e10 as days_enrolled
@@ -160,15 +163,31 @@ features_encoded as (
 FEATURE_CTES = (FEATURES_BASE, FEATURES_TARGET, FEATURES_ENGINEERED)
 
 
-REGISTRATIONS = """
+REGISTRATIONS = f"""
 registrations as (
-  select c_custkey as student_id, c_name as first_name, 'X' as last_name, c_mktsegment as major,
+  select c_custkey as student_id, c_name as first_name, 'X' as last_name,
+         case when c_custkey % {R.NULL_EMAIL_MOD} <> {R.NULL_EMAIL_REM}
+              then concat(lower(c_name), '{R.EMAIL_DOMAIN}') end as email, c_mktsegment as major,
          cast(c_nationkey % 6 as integer) as year_level, c_acctbal / cast(2500 as double) as gpa,
          true as is_active
   from customer)
 """
 
 
+REQUESTS = """
+requests as (
+  select c_custkey as student_id, c_mktsegment as major,
+         case when c_custkey % 31 <> 3 then c_acctbal / cast(2000 as double) end as gpa,
+         cast(c_nationkey % 6 as integer) as year_level, c_custkey % 12 - 1 as total_enrollments,
+         case when c_custkey % 37 <> 5 then (c_custkey % 12) // 2 end as completed_courses,
+         (c_custkey % 12) // 4 as dropped_courses,
+         case when c_custkey % 41 = 1 then -2 else c_custkey % 3 end as current_enrollments,
+         (c_custkey % 27) * cast(4 as double) as completion_rate,
+         case when c_custkey % 5 <> 0 then (c_custkey % 22) * cast(5 as double) end as drop_rate
+  from customer)
+"""
+
+
 def rhu(expr: str, digits: int) -> str:
     """floor(x * 10^d + 0.5) / 10^d, the shared rounding rule."""
     scale = f"cast({10 ** digits} as double)"
@@ -213,14 +232,7 @@ course_rollup as (
 # Serving-side counters for every stored student.
 SERVING_CTES = (f"""
 counts as (
-  select student_id, count(enrollment_id) as total_enrollments,
-         count(case when status = 'Completed' then 1 end) as completed_courses,
-         count(case when status = 'Dropped' then 1 end) as dropped_courses,
-         count(case when status = 'Enrolled' then 1 end) as current_enrollments,
-         count(case when grade in {_in(B['excellent'])} then 1 end) as excellent_grades,
-         count(case when grade in {_in(B['good'])} then 1 end) as good_grades,
-         count(case when grade in {_in(B['average'])} then 1 end) as average_grades,
-         count(case when grade in {_in(B['poor'])} then 1 end) as poor_grades
+  select student_id, {_counters()}
   from enrollments group by student_id)""", """
 serving as (
   select s.student_id, coalesce(case when isnan(s.gpa) or isinf(s.gpa) then null else s.gpa end, 0.0) as gpa,

@@ -35,6 +35,12 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.feature_table(s, e, c)
 
 
+def engineered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature table without the encoded major: reports on it scan only what they read."""
+    s, c, e = _views(spark, sf_dir)
+    return X.engineered_table(s, e, c)
+
+
 # --- A10, X1-X10: the feature table ------------------------------------------
 
 @register("student_features_base", O.with_roles(O.FEATURES_BASE, body="select * from features_base"))
@@ -71,7 +77,7 @@ select avg(is_successful) as success_rate, cast(sum(is_successful) as bigint) as
        cast(count(is_successful) - sum(is_successful) as bigint) as failures
 from features_encoded"""))
 def q_target_summary(spark, sf_dir):
-    return X.target_summary(feature_table(spark, sf_dir))
+    return X.target_summary(engineered(spark, sf_dir))
 
 
 @register("major_encoded", O.with_roles(*FEATURE_CTES, body="""
@@ -336,7 +342,7 @@ def q_enrollment_navigation(spark, sf_dir):
 # --- F1-F7, S2: browsing -----------------------------------------------------
 
 @register("students_filtered", O.with_roles(body="""
-select student_id, first_name, last_name, major, year_level, gpa, is_active, enrollment_date
+select student_id, first_name, last_name, email, major, year_level, gpa, is_active, enrollment_date
 from students where major = 'BUILDING' and gpa >= 2.0
 order by student_id limit 1000 offset 10"""))
 def q_students_filtered(spark, sf_dir):
@@ -365,7 +371,7 @@ def q_enrollments_filtered(spark, sf_dir):
 
 @register("lookup_keys", O.with_roles("""
 k as (select distinct o_custkey as student_id from orders where o_orderpriority = '1-URGENT')""", body="""
-select k.student_id, s.first_name, s.last_name, s.major, s.year_level, s.gpa, s.enrollment_date,
+select k.student_id, s.first_name, s.last_name, s.email, s.major, s.year_level, s.gpa, s.enrollment_date,
        s.is_active, s.student_id is not null as found
 from k left join students s on k.student_id = s.student_id"""))
 def q_lookup_keys(spark, sf_dir):
@@ -433,20 +439,37 @@ def _student_rule_sql() -> list[tuple[str, str]]:
         ("student_id is not null", "student_id is required"),
         ("first_name is not null", "first_name is required"),
         ("last_name is not null", "last_name is required"),
+        ("email is not null", "email is required"),
         (f"year_level is null or (year_level >= {ylo} and year_level <= {yhi})",
          f"year_level must be between {ylo} and {yhi}"),
         (f"gpa is null or (gpa >= {glo} and gpa <= {ghi})", f"gpa must be between {glo} and {ghi}"),
     ]
 
 
-def _reason_sql() -> str:
-    arms = ", ".join(f"case when not coalesce({ok}, false) then '{msg}' end" for ok, msg in _student_rule_sql())
+def _request_rule_sql() -> list[tuple[str, str]]:
+    glo, ghi = fixed.GPA_BOUNDS
+    ylo, yhi = fixed.YEAR_LEVEL_RANGE
+    rlo, rhi = fixed.RATE_BOUNDS
+    counts = ("total_enrollments", "completed_courses", "dropped_courses")
+    return [
+        (f"gpa >= {glo} and gpa <= {ghi}", f"gpa must be between {glo} and {ghi}"),
+        (f"year_level >= {ylo} and year_level <= {yhi}", f"year_level must be between {ylo} and {yhi}"),
+        *[(f"{c} >= 0", f"{c} must be >= 0") for c in counts],
+        ("current_enrollments is null or current_enrollments >= 0", "current_enrollments must be >= 0"),
+        (f"completion_rate >= {rlo} and completion_rate <= {rhi}", f"completion_rate must be between {rlo} and {rhi}"),
+        (f"drop_rate is null or (drop_rate >= {rlo} and drop_rate <= {rhi})",
+         f"drop_rate must be between {rlo} and {rhi}"),
+    ]
+
+
+def _reason_sql(rules=None) -> str:
+    arms = ", ".join(f"case when not coalesce({ok}, false) then '{msg}' end" for ok, msg in rules or _student_rule_sql())
     return f"nullif(concat_ws('; ', {arms}), '')"
 
 
 @register("validate_rows", O.with_roles(O.REGISTRATIONS, f"""
 checked as (select *, {_reason_sql()} as reject_reason from registrations)""", body="""
-select student_id, first_name, last_name, major, year_level, gpa, is_active,
+select student_id, first_name, last_name, email, major, year_level, gpa, is_active,
        reject_reason is null as is_valid, reject_reason
 from checked"""))
 def q_validate_rows(spark, sf_dir):
@@ -459,17 +482,14 @@ CUTOFF = "2022-01-01 00:00:00"
 @register("append_new_keys", O.with_roles(O.REGISTRATIONS, f"""
 valid as (select * from registrations where {_reason_sql()} is null),
 target as (select student_id from students where enrollment_date < timestamp '{CUTOFF}')""", body=f"""
-select v.student_id, v.first_name, v.last_name, v.major, v.year_level, v.gpa, v.is_active,
+select v.student_id, v.first_name, v.last_name, v.email, v.major, v.year_level, v.gpa, v.is_active,
        case when t.student_id is null then timestamp '{O.AS_OF}' end as inserted_at,
        case when t.student_id is null then 'inserted' else 'refused' end as outcome
 from valid v left join target t on v.student_id = t.student_id"""))
 def q_append_new_keys(spark, sf_dir):
     valid, _ = Q.split_valid(roles.registrations(spark, sf_dir))
     target = roles.students(spark, sf_dir).filter(F.col("enrollment_date") < F.expr(f"TIMESTAMP_NTZ'{CUTOFF}'"))
-    new, refused = Q.append_new_keys(target, valid, "student_id", inserted_at=O.AS_OF)
-    return (new.withColumn("outcome", F.lit("inserted"))
-            .unionByName(refused.withColumn("inserted_at", F.lit(None).cast("timestamp_ntz"))
-                         .withColumn("outcome", F.lit("refused"))))
+    return Q.mark_new_keys(target, valid, "student_id", inserted_at=O.AS_OF)
 
 
 @register("dedupe_pairs", O.with_roles(body="""
@@ -503,7 +523,7 @@ def q_orphan_rows(spark, sf_dir):
 # --- P2, P5-P9: scoring rules on the heuristic score -------------------------
 
 def heuristic_frame(spark, sf_dir):
-    return S.heuristic_score(feature_table(spark, sf_dir))
+    return S.heuristic_score(engineered(spark, sf_dir))
 
 
 H_OFF = fixed.HEURISTIC_OFFSET
@@ -626,7 +646,7 @@ from (select sv.*, coalesce(mc.major_encoded, (select count(*) from major_classe
 @register("aligned_features", _aligned_sql())
 def q_aligned_features(spark, sf_dir):
     s, c, e = _views(spark, sf_dir)
-    classes = X.major_classes(feature_table(spark, sf_dir))
+    classes = X.major_classes(engineered(spark, sf_dir))
     serving = X.serving_features(s, e).join(
         s.select("student_id", null_label("major", fixed.UNDECLARED_MAJOR).alias("major")), "student_id")
     return S.align_features(serving, fixed.FEATURE_COLUMNS, classes)
@@ -635,11 +655,10 @@ def q_aligned_features(spark, sf_dir):
 # --- E1-E7: evaluation of (label, score) pairs --------------------------------
 
 def heuristic_predictions(spark, sf_dir):
-    h = heuristic_frame(spark, sf_dir)
-    a = E.long_predictions(h, "gpa_heuristic", "is_successful", "success_probability")
-    b = E.long_predictions(h.withColumn("_completion_score", F.col("completion_rate") / F.lit(100)),
-                           "completion_heuristic", "is_successful", "_completion_score")
-    return a.unionByName(b)
+    """Both heuristics' predictions from one pass over the students."""
+    scores = {"gpa_heuristic": F.col("success_probability"),
+              "completion_heuristic": F.col("completion_rate") / F.lit(100)}
+    return E.long_predictions(heuristic_frame(spark, sf_dir), scores, "is_successful")
 
 
 PREDS_CTES = (*FEATURE_CTES, HEURISTIC_CTE, """
@@ -700,12 +719,31 @@ def q_model_comparison(spark, sf_dir):
     return E.model_comparison(E.eval_metrics(heuristic_predictions(spark, sf_dir)))
 
 
-@register("best_model", O.with_roles(*PREDS_CTES, METRICS_CTE, body="""
-select model, roc_auc from metrics order by roc_auc desc, model limit 1"""))
+BEST_MODEL_SQL = O.with_roles(*PREDS_CTES, METRICS_CTE, body="""
+select model, roc_auc from metrics where roc_auc is not null order by roc_auc desc, model limit 1""")
+
+
+@register("best_model", BEST_MODEL_SQL)
 def q_best_model(spark, sf_dir):
     return E.best_model(E.eval_metrics(heuristic_predictions(spark, sf_dir)))
 
 
+@register("best_model_single_class", BEST_MODEL_SQL)
+def q_best_model_single_class(spark, sf_dir):
+    """E3 with a model that only saw one class: it has no AUC and cannot win."""
+    preds = heuristic_predictions(spark, sf_dir)
+    one = preds.filter((F.col("label") == 1) & (F.col("model") == "gpa_heuristic")).withColumn("model", F.lit("a_one_class"))
+    return E.best_model(E.eval_metrics(preds.unionByName(one)))
+
+
+@register("model_comparison_ranked", O.with_roles(*PREDS_CTES, METRICS_CTE, body="""
+select row_number() over (order by roc_auc desc nulls last, model) as position, model, roc_auc from metrics"""))
+def q_model_comparison_ranked(spark, sf_dir):
+    """E2 with its order as a column."""
+    table = E.model_comparison(E.eval_metrics(heuristic_predictions(spark, sf_dir))).select("model", "roc_auc")
+    return B.ranked(table, [F.desc_nulls_last("roc_auc"), F.col("model")])
+
+
 @register("classification_report", O.with_roles(*PREDS_CTES, f"""
 per as (
   select model,
@@ -736,7 +774,10 @@ def q_confusion_matrix(spark, sf_dir):
 select model, score as threshold, pos_total - pos_before as tp, neg_total - neg_before as fp,
        cast(pos_total - pos_before as double) / nullif(pos_total, 0) as tpr,
        cast(neg_total - neg_before as double) / nullif(neg_total, 0) as fpr
-from r"""))
+from r
+union all
+select model, null, 0, 0, cast(0 as double) / nullif(max(pos_total), 0), cast(0 as double) / nullif(max(neg_total), 0)
+from r group by model"""))
 def q_roc_points(spark, sf_dir):
     return E.roc_points(heuristic_predictions(spark, sf_dir))
 
@@ -746,7 +787,8 @@ select model, score as threshold,
        cast(pos_total - pos_before as double) / nullif(pos_total - pos_before + neg_total - neg_before, 0)
          as precision,
        cast(pos_total - pos_before as double) / nullif(pos_total, 0) as recall
-from r"""))
+from r
+union all select distinct model, null, cast(1 as double), cast(0 as double) from r"""))
 def q_pr_points(spark, sf_dir):
     return E.pr_points(heuristic_predictions(spark, sf_dir))
 
@@ -756,7 +798,7 @@ def q_pr_points(spark, sf_dir):
 _VAL_CUT = M.validation_cut(fixed.DEFAULT_TEST_SIZE, fixed.DEFAULT_VAL_SIZE)
 
 
-@register("split_summary", O.with_roles(*FEATURE_CTES, """
+SPLIT_CTES = (*FEATURE_CTES, """
 hb as (select *, cast(('0x' || substr(md5(cast(student_id as varchar)), 1, 8)) as bigint) % 10000 as bucket
        from features_encoded)""", """
 bc as (select is_successful, bucket, count(*) as c from hb group by 1, 2)""", """
@@ -770,18 +812,133 @@ sp as (
   select hb.is_successful,
          case when cut.frac < cast('{fixed.DEFAULT_TEST_SIZE!r}' as double) then 'test'
               when cut.frac < cast('{_VAL_CUT!r}' as double) then 'validation' else 'train' end as split
-  from hb join cut on hb.is_successful = cut.is_successful and hb.bucket = cut.bucket)""", body="""
+  from hb join cut on hb.is_successful = cut.is_successful and hb.bucket = cut.bucket)""")
+
+
+@register("split_summary", O.with_roles(*SPLIT_CTES, body="""
 select split, count(*) as rows, cast(count(*) as double) / (select count(*) from sp) as share,
        avg(is_successful) as positive_rate
 from sp group by split"""))
 def q_split_summary(spark, sf_dir):
-    return M.split_summary(M.stratified_split(feature_table(spark, sf_dir)))
+    members = engineered(spark, sf_dir).select("student_id", "is_successful")
+    return M.split_summary(M.stratified_split(members))
+
+
+# --- options and orders of the roll-ups and lists ------------------------------
+
+@register("students_by_major_top5", O.with_roles(body="""
+select row_number() over (order by student_count desc, major asc nulls last) as position, *
+from (select major, count(*) as student_count, avg(gpa) as avg_gpa from students where is_active group by major)
+qualify position <= 5"""))
+def q_students_by_major_top5(spark, sf_dir):
+    """A1 / O2 / O3: the first five majors by count, in order."""
+    top = A.students_by_major_active(roles.students(spark, sf_dir), top=5)
+    return B.ranked(top, [F.desc("student_count"), F.asc_nulls_last("major")], 5)
+
+
+@register("dept_enrollment_ranked", O.with_roles(body="""
+select row_number() over (order by total_enrollments desc, department asc nulls last) as position, *
+from (select c.department, count(e.enrollment_id) as total_enrollments
+      from courses c left join enrollments e on c.course_id = e.course_id group by c.department)
+qualify position <= 100"""))
+def q_dept_enrollment_ranked(spark, sf_dir):
+    """A2 / O2 with its order as a column."""
+    table = A.dept_enrollment(roles.courses(spark, sf_dir), roles.enrollments(spark, sf_dir)).drop("completed")
+    return B.ranked(table, [F.desc("total_enrollments"), F.asc_nulls_last("department")])
+
+
+@register("grade_distribution_ranked", O.with_roles(body="""
+select row_number() over (order by count desc, grade) as position, *
+from (select grade, count(*) as count from enrollments where grade is not null group by grade)"""))
+def q_grade_distribution_ranked(spark, sf_dir):
+    """A3 with its order as a column."""
+    return B.ranked(A.grade_distribution(roles.enrollments(spark, sf_dir)).drop("percentage"), [F.desc("count"), "grade"])
+
+
+@register("at_risk_page", O.with_roles(body=f"""
+select row_number() over (order by gpa, student_id) as position, student_id, gpa
+from students where gpa < {T} qualify position <= 100"""))
+def q_at_risk_page(spark, sf_dir):
+    """The first hundred at-risk students in order."""
+    return B.ranked(B.at_risk(roles.students(spark, sf_dir), T).select("student_id", "gpa"), ["gpa", "student_id"])
+
+
+@register("at_risk_active_page", O.with_roles(body=f"""
+select row_number() over (order by gpa, student_id) as position, student_id, gpa
+from students where gpa < {T} and is_active qualify position <= 100"""))
+def q_at_risk_active_page(spark, sf_dir):
+    """the first hundred active at-risk students in order."""
+    return B.ranked(B.at_risk_active(roles.students(spark, sf_dir), T).select("student_id", "gpa"), ["gpa", "student_id"])
+
+
+@register("course_table_page", O.with_roles(O.PER_COURSE, O.COURSE_ROLLUP, body="""
+select row_number() over (order by average_grade_point asc nulls last, course_id) as position, course_id, average_grade_point
+from course_rollup qualify position <= 100"""))
+def q_course_table_page(spark, sf_dir):
+    """The first hundred rows of the table in the chosen order."""
+    table = B.sort_table(course_rollup(spark, sf_dir), "average_grade_point", ascending=True)
+    return B.ranked(table.select("course_id", "average_grade_point"), [F.asc_nulls_last("average_grade_point"), "course_id"])
+
+
+@register("course_metrics_department", O.with_roles(O.PER_COURSE, O.COURSE_ROLLUP, body=f"""
+select count(*) as total_courses, {O.mean_of_rounded('completion_rate', 1)} as avg_completion_rate,
+       coalesce({O.mean_of_rounded('average_grade_point', 2)}, 0.0) as avg_grade_point,
+       cast(coalesce(sum(total_enrollments), 0) as bigint) as total_enrollments
+from course_rollup where department = 'Brand#13'"""))
+def q_course_metrics_department(spark, sf_dir):
+    """The indicators of one department."""
+    return A.course_metrics(course_rollup(spark, sf_dir), department="Brand#13")
+
+
+@register("table_listing", O.with_roles(body="""
+select 'students' as table_name, count(*) as row_count from students
+union all select 'courses', count(*) from courses
+union all select 'enrollments', count(*) from enrollments"""))
+def q_table_listing(spark, sf_dir):
+    """What the catalog lists, with counts."""
+    roles.register_views(spark, sf_dir)
+    return Q.listed_tables(spark, only=["students", "courses", "enrollments"])
+
+
+@register("request_validation", O.with_roles(O.REQUESTS, body=f"""
+select *, {_reason_sql(_request_rule_sql())} is null as is_valid, {_reason_sql(_request_rule_sql())} as reject_reason
+from requests"""))
+def q_request_validation(spark, sf_dir):
+    """Which scoring requests are refused, and why."""
+    requests = roles.prediction_requests(spark, sf_dir)
+    return Q.validate_rows(requests, Q.prediction_request_rules(requests.columns))
+
 
+LINEAR = {"gpa": 0.9, "completion_rate": 0.03, "drop_rate": -0.05}
+LINEAR_INTERCEPT = -4.5
+_Z = " + ".join([f"cast({LINEAR_INTERCEPT} as double)", *[f"cast({c} as double) * {n}" for n, c in LINEAR.items()]])
 
-# --- M2-M11, E8-E10, P1-P13: trained models (rows-only checks) ----------------
+
+@register("scored_linear", O.with_roles(*FEATURE_CTES, f"""
+scored as (select student_id, 1 / (1 + exp(-({_Z}))) as success_probability from features)""", body=f"""
+select student_id, round(success_probability, 9) as success_probability, {RISK_SQL['risk_level']} as risk_level
+from scored"""))
+def q_scored_linear(spark, sf_dir):
+    """P3 / P5 with a linear model given by its coefficients."""
+    scored = S.assess_risk(S.linear_probability(engineered(spark, sf_dir), LINEAR, LINEAR_INTERCEPT))
+    return scored.select("student_id", F.round("success_probability", 9).alias("success_probability"), "risk_level")
+
+
+# --- M2-M11, E8-E10, P1-P13: trained models ------------------------------------
+# The reports below hold fitted numbers, so SQL can only count their rows.  Each has
+# a ``*_checks`` query beside it that states what SQL can: keys, sizes, sums, and the
+# agreement of every derived column with the probability it came from.
 
 def _job(spark, sf_dir):
-    return J.train_job(spark, sf_dir)
+    """The reports search a smaller grid, given explicitly (the full one takes hours)."""
+    return J.train_job(spark, sf_dir, J.JobConfig(grids=M.SMALL_GRIDS))
+
+
+def _grid_size(axes: dict) -> int:
+    n = 1
+    for values in axes.values():
+        n *= len(values)
+    return n
 
 
 @register("cv_table")
@@ -789,6 +946,18 @@ def q_cv_table(spark, sf_dir):
     return M.cv_table(spark, _job(spark, sf_dir).trained)
 
 
+@register("cv_checks", "\nunion all\n".join(
+    f"select '{name}' as model, {_grid_size(axes)} as grid_size, {M.REFERENCE_GRID_SIZES[name]} as reference_grid_size, "
+    f"true as mean_in_range, true as params_from_grid" for name, axes in M.SMALL_GRIDS.items()))
+def q_cv_checks(spark, sf_dir):
+    trained = _job(spark, sf_dir).trained
+    chosen = {n: all(v in M.SMALL_GRIDS[n][axis] for axis, v in t.best_params.items()) for n, t in trained.items()}
+    params = F.coalesce(*[F.when(F.col("model") == n, F.lit(ok)) for n, ok in chosen.items()])
+    return M.cv_table(spark, trained).select(
+        "model", "grid_size", "reference_grid_size", F.col("cv_mean").between(0.0, 1.0).alias("mean_in_range"),
+        params.alias("params_from_grid"))
+
+
 @register("training_summary")
 def q_training_summary(spark, sf_dir):
     return M.training_summary(spark, _job(spark, sf_dir).trained)
@@ -800,54 +969,115 @@ def q_model_test_metrics(spark, sf_dir):
     return _job(spark, sf_dir).metrics
 
 
+_MODELS_SQL = ", ".join(f"('{m}')" for m in M.SMALL_GRIDS)
+
+
+@register("model_metrics_checks", O.with_roles(*SPLIT_CTES, body=f"""
+select m.model, split, count(*) as n, true as in_range
+from sp, (values {_MODELS_SQL}) as m(model) where split <> 'train' group by m.model, split"""))
+def q_model_metrics_checks(spark, sf_dir):
+    inside = F.lit(True)
+    for c in ("accuracy", "precision", "recall", "f1_score", "roc_auc"):
+        inside = inside & F.coalesce(F.col(c).between(0.0, 1.0), F.lit(True))
+    return _job(spark, sf_dir).metrics.select("model", "split", "n", inside.alias("in_range"))
+
+
 @register("tree_importance")
 def q_tree_importance(spark, sf_dir):
-    res = _job(spark, sf_dir)
-    frames = [E.tree_importance(spark, t.model, res.features, n) for n, t in res.trained.items()]
-    frames = [f for f in frames if f is not None]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    return (_job(spark, sf_dir).importance.filter(F.col("kind") == "importance").drop("kind"))
 
 
 @register("linear_importance")
 def q_linear_importance(spark, sf_dir):
-    res = _job(spark, sf_dir)
-    t = res.trained["logistic_regression"]
-    return E.linear_importance(spark, t.model, res.features, "logistic_regression")
+    rows = _job(spark, sf_dir).importance.filter(F.col("kind") == "coefficient")
+    return rows.select("model", "feature", F.col("importance").alias("coefficient"),
+                       F.abs("importance").alias("abs_coefficient"))
+
+
+_FEATURES_SQL = ", ".join(f"('{f}')" for f in fixed.FEATURE_COLUMNS)
+
+
+@register("importance_checks", f"""
+select m.model, case when m.model = 'logistic_regression' then 'coefficient' else 'importance' end as kind,
+       f.feature, true as sums_to_one
+from (values {_MODELS_SQL}) as m(model), (values {_FEATURES_SQL}) as f(feature)""")
+def q_importance_checks(spark, sf_dir):
+    """Every model lists every feature; tree importances sum to 1."""
+    rows = _job(spark, sf_dir).importance
+    total = rows.groupBy("model", "kind").agg(F.sum("importance").alias("s")).select(
+        F.col("model").alias("m"), ((F.col("kind") == "coefficient") | (F.abs(F.col("s") - 1) < 1e-6)).alias("sums_to_one"))
+    return rows.join(total, F.col("model") == F.col("m")).select("model", "kind", "feature", "sums_to_one")
 
 
 @register("run_summary")
 def q_run_summary(spark, sf_dir):
-    """Per model CV and test metrics, the chosen model, dataset size and
-    success rate, and the chosen model's top-5 features."""
+    """Per model CV and test metrics, its report and matrix on the test split, the
+    chosen model, dataset size, the test success rate, and the chosen model's top-5
+    features."""
     res = _job(spark, sf_dir)
     test = res.metrics.filter(F.col("split") == "test").drop("split")
     cv = M.cv_table(spark, res.trained).select("model", "cv_mean", "cv_std")
-    best = res.trained[res.best].model
-    top = (E.tree_importance(spark, best, res.features, res.best)
-           or E.linear_importance(spark, best, res.features, res.best).withColumnRenamed(
-               "abs_coefficient", "importance"))
-    top5 = top.orderBy(F.desc("importance"), "feature").limit(5).agg(
-        F.array_sort(F.collect_list("feature")).alias("top_features"))
-    return (cv.join(test, "model", "left")
+    held = res.predictions.filter(F.col("split") == "test")
+    report = E.classification_report(held).groupBy("model").agg(F.sort_array(F.collect_list(
+        F.struct("class_label", "precision", "recall", "f1_score", "support"))).alias("report"))
+    matrix = E.confusion_matrix(held).select("model", F.struct("tn", "fp", "fn", "tp").alias("matrix"))
+    top5 = (res.importance.filter(F.col("model") == res.best)
+            .orderBy(F.desc(F.abs("importance")), "feature").limit(5)
+            .agg(F.array_sort(F.collect_list("feature")).alias("top_features")))
+    return (cv.join(test, "model", "left").join(report, "model", "left").join(matrix, "model", "left")
             .withColumn("is_best", F.col("model") == F.lit(res.best))
             .withColumn("dataset_rows", F.lit(res.n_rows))
-            .withColumn("success_rate", F.lit(res.success_rate))
+            .withColumn("success_rate", F.lit(res.test_success_rate))
             .crossJoin(F.broadcast(top5)))
 
 
+@register("run_summary_checks", O.with_roles(*SPLIT_CTES, body=f"""
+select m.model, (select count(*) from sp) as dataset_rows, count(*) as n,
+       round(avg(is_successful), 9) as success_rate, 4 as report_rows, true as matrix_adds_up, 5 as top_features
+from sp, (values {_MODELS_SQL}) as m(model) where split = 'test' group by m.model"""))
+def q_run_summary_checks(spark, sf_dir):
+    cells = F.col("matrix.tn") + F.col("matrix.fp") + F.col("matrix.fn") + F.col("matrix.tp")
+    return q_run_summary(spark, sf_dir).select(
+        "model", "dataset_rows", "n", F.round("success_rate", 9).alias("success_rate"),
+        F.size("report").alias("report_rows"), (cells == F.col("n")).alias("matrix_adds_up"),
+        F.size("top_features").alias("top_features"))
+
+
+def _score_checks(scored: DataFrame) -> DataFrame:
+    """Per student: do the derived columns agree with the stored probability?"""
+    p = F.col("success_probability")
+    tier = S.risk_columns(p)
+    size = F.size("recommendations")
+    least = F.coalesce(*[F.when(F.col("risk_level") == t[1], F.lit(len(t[3]))) for t in fixed.RISK_TIERS])
+    return scored.select(
+        F.col("student_id").cast("long").alias("student_id"),
+        (F.abs(p + F.col("failure_probability") - 1) < 1e-9).alias("sums_to_one"),
+        (F.col("predicted_success") == (p > 0.5)).alias("class_agrees"),
+        ((F.col("risk_level") == tier["risk_level"]) & (F.col("confidence") == tier["confidence"])).alias("tier_agrees"),
+        size.between(least, least + 2).alias("list_agrees"))
+
+
 @register("scored")
 def q_scored(spark, sf_dir):
+    """P10: every stored student, scored."""
     return J.score_students(spark, sf_dir, _job(spark, sf_dir))
 
 
+@register("scored_coverage", O.with_roles(body="""
+select student_id, true as sums_to_one, true as class_agrees, true as tier_agrees, true as list_agrees from students"""))
+def q_scored_coverage(spark, sf_dir):
+    """P10: one row per stored student, whose columns agree with its probability."""
+    return _score_checks(q_scored(spark, sf_dir))
+
+
 @register("scored_external")
 def q_scored_external(spark, sf_dir):
-    res = _job(spark, sf_dir)
-    s, c, e = _views(spark, sf_dir)
-    requests = X.serving_features(s, e).join(
-        s.select("student_id", null_label("major", fixed.UNDECLARED_MAJOR).alias("major")), "student_id")
-    scored, _ = J.score_requests(spark, requests, res, X.major_classes(feature_table(spark, sf_dir)))
-    return scored
+    """The accepted scoring requests, scored (``request_validation`` has the refused)."""
+    return J.score_requests(spark, roles.prediction_requests(spark, sf_dir), _job(spark, sf_dir))[0]
+
+
+@register("scored_external_checks", O.with_roles(O.REQUESTS, body=f"""
+select student_id, true as sums_to_one, true as class_agrees, true as tier_agrees, true as list_agrees
+from requests where {_reason_sql(_request_rule_sql())} is null"""))
+def q_scored_external_checks(spark, sf_dir):
+    return _score_checks(q_scored_external(spark, sf_dir))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings we want on every session we build ourselves.  On a cluster the
 # deployment supplies master, memory and partition counts; AQE re-plans the
@@ -45,8 +47,9 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the deployment names a shared folder there; we only set our
-    own (a fresh temporary folder) when the session has none, as in tests.
+    On a cluster the deployment must name a shared folder there.  Only a local
+    session without one, as in tests, gets a folder of our own, which is deleted
+    when the process ends.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -55,7 +58,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="cohortkit-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -63,8 +69,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, *parts: str, unique: bool = False) -> str:
     """A path under the shared checkpoint folder for written tables and models."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(spark)
+    root = spark.conf.get("spark.checkpoint.dir")
     path = os.path.join(root, "cohortkit", *parts)
     if unique:
         path = os.path.join(path, uuid.uuid4().hex)
     return path
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage with a reliable ``checkpoint()``
+    into the shared folder.
+
+    The frame is persisted first, so that the checkpoint job writes the cached
+    blocks instead of computing the plan again; later readers (and tasks re-run
+    after an executor loss) read the checkpoint files.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist()
+    out = cached.checkpoint(eager=True)
+    cached.unpersist(blocking=False)
+    return out

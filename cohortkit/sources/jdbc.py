@@ -24,12 +24,3 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = No
         reader = (reader.option("partitionColumn", column).option("lowerBound", str(lower))
                   .option("upperBound", str(upper)).option("numPartitions", str(num_partitions)))
     return reader.load()
-
-
-def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append",
-               properties: dict | None = None, batch_size: int = 10000) -> None:
-    w = (df.write.format("jdbc").option("url", url).option("dbtable", table)
-         .option("batchsize", str(batch_size)).mode(mode))
-    for k, v in (properties or {}).items():
-        w = w.option(k, v)
-    w.save()

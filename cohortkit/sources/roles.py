@@ -25,6 +25,8 @@ NULL_MAJOR_MOD, NULL_MAJOR_REM = 50, 0
 NULL_GPA_MOD, NULL_GPA_REM = 100, 7
 NULL_YEAR_MOD, NULL_YEAR_REM = 75, 5
 NULL_DEPT_MOD, NULL_DEPT_REM = 50, 0
+NULL_EMAIL_MOD, NULL_EMAIL_REM = 60, 11
+EMAIL_DOMAIN = "@students.example"
 GRADE_CYCLE = 11  # ten letter grades and one NULL
 COMPLETION_BASE, COMPLETION_SPREAD = 45, 55
 
@@ -36,6 +38,7 @@ def students(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.alias("student_id"),
         F.col("c_name").alias("first_name"),
         F.lit("X").alias("last_name"),
+        F.concat(F.lower(F.col("c_name")), F.lit(EMAIL_DOMAIN)).alias("email"),
         F.when(key % NULL_MAJOR_MOD != NULL_MAJOR_REM, F.col("c_mktsegment")).alias("major"),
         F.when(key % NULL_YEAR_MOD != NULL_YEAR_REM,
                (F.col("c_nationkey") % 4 + 1).cast("int")).alias("year_level"),
@@ -105,6 +108,25 @@ def register_views(spark: SparkSession, sf_dir: str) -> None:
     e.createOrReplaceTempView("enrollments")
 
 
+def prediction_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Caller-supplied feature rows derived from ``customer``, unchecked: gpa,
+    year level, counts and rates break the declared ranges or are missing for
+    some keys."""
+    key = F.col("c_custkey")
+    count = (key % 12).cast("long")
+    return read_table(spark, sf_dir, "customer").select(
+        key.alias("student_id"), F.col("c_mktsegment").alias("major"),
+        F.when(key % 31 != 3, F.col("c_acctbal") / F.lit(2000.0)).alias("gpa"),
+        (F.col("c_nationkey") % 6).cast("int").alias("year_level"),
+        (count - F.lit(1)).alias("total_enrollments"),
+        F.when(key % 37 != 5, F.floor(count / 2).cast("long")).alias("completed_courses"),
+        F.floor(count / 4).cast("long").alias("dropped_courses"),
+        F.when(key % 41 == 1, F.lit(-2)).otherwise(key % 3).cast("long").alias("current_enrollments"),
+        ((key % 27) * F.lit(4.0)).alias("completion_rate"),
+        F.when(key % 5 != 0, (key % 22) * F.lit(5.0)).alias("drop_rate"),
+    )
+
+
 def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incoming student registrations derived from ``customer``: the batch
     that validation (S7) and insert-new-keys (S8) work on.  Its year level
@@ -115,6 +137,8 @@ def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_custkey").alias("student_id"),
         F.col("c_name").alias("first_name"),
         F.lit("X").alias("last_name"),
+        F.when(F.col("c_custkey") % NULL_EMAIL_MOD != NULL_EMAIL_REM,
+               F.concat(F.lower(F.col("c_name")), F.lit(EMAIL_DOMAIN))).alias("email"),
         F.col("c_mktsegment").alias("major"),
         (F.col("c_nationkey") % 6).cast("int").alias("year_level"),
         (F.col("c_acctbal") / F.lit(2500.0)).alias("gpa"),

@@ -17,6 +17,7 @@ STUDENT_SCHEMA = T.StructType([
     T.StructField("student_id", T.LongType(), False),
     T.StructField("first_name", T.StringType(), True),
     T.StructField("last_name", T.StringType(), True),
+    T.StructField("email", T.StringType(), True),
     T.StructField("major", T.StringType(), True),
     T.StructField("year_level", T.IntegerType(), True),
     T.StructField("gpa", T.DoubleType(), True),

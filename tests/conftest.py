@@ -17,7 +17,7 @@ def spark():
     s.stop()
 
 
-STUDENT_DDL = ("student_id long, first_name string, last_name string, major string, year_level int, "
+STUDENT_DDL = ("student_id long, first_name string, last_name string, email string, major string, year_level int, "
                "gpa double, enrollment_date timestamp_ntz, is_active boolean")
 COURSE_DDL = ("course_id long, course_name string, department string, credits int, course_type string, "
               "max_enrollment int, semester string, year int")
@@ -31,11 +31,11 @@ D0 = datetime(2024, 1, 1)
 def tiny(spark):
     """Three small entity tables with the edge cases the operators must handle."""
     students = spark.createDataFrame([
-        (1, "Ann", "Lee", "Math", 1, 3.6, D0, True),        # strong student
-        (2, "Bob", "Ray", None, 2, 2.2, D0, True),          # null major, low gpa
-        (3, "Cat", "Fox", "Art", None, None, D0, True),     # null year and gpa
-        (4, "Dan", "Oak", "Art", 4, 3.0, D0, False),        # inactive
-        (5, "Eve", "Elm", "Math", 3, 3.9, D0, True),        # no enrollments
+        (1, "Ann", "Lee", "a@x", "Math", 1, 3.6, D0, True),        # strong student
+        (2, "Bob", "Ray", "b@x", None, 2, 2.2, D0, True),          # null major, low gpa
+        (3, "Cat", "Fox", "c@x", "Art", None, None, D0, True),     # null year and gpa
+        (4, "Dan", "Oak", None, "Art", 4, 3.0, D0, False),        # inactive
+        (5, "Eve", "Elm", "e@x", "Math", 3, 3.9, D0, True),        # no enrollments
     ], STUDENT_DDL)
     courses = spark.createDataFrame([
         (10, "Algebra", "MATH", 4, "Lecture", 30, "Fall", 2024),

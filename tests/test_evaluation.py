@@ -74,3 +74,20 @@ def test_best_and_comparison(spark):
 
 def test_auc_null_when_single_class(spark):
     assert E.roc_auc(_preds(spark, [1, 1], [0.2, 0.3])).first().roc_auc is None
+
+
+def test_model_without_auc_never_wins_and_no_model_is_an_error(spark):
+    ddl = "model string, roc_auc double"
+    some = spark.createDataFrame([("a", 0.9), ("b", None), ("c", float("nan")), ("d", 0.9)], ddl)
+    assert tuple(E.best_model(some).first()) == ("a", 0.9)
+    for rows in ([], [("b", None)]):
+        with pytest.raises(Exception, match="no model has a roc_auc"):
+            E.best_model(spark.createDataFrame(rows, ddl)).collect()
+
+
+def test_curves_have_their_end_points(spark):
+    preds = _preds(spark, [1, 0, 1, 0], [0.9, 0.9, 0.4, 0.1])
+    start = [r for r in E.roc_points(preds).collect() if r.threshold is None]
+    assert [(r.tpr, r.fpr, r.tp, r.fp) for r in start] == [(0.0, 0.0, 0, 0)]
+    end = [r for r in E.pr_points(preds).collect() if r.threshold is None]
+    assert [(r.precision, r.recall) for r in end] == [(1.0, 0.0)]

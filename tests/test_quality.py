@@ -7,12 +7,13 @@ from cohortkit.operators import quality as Q
 
 
 def test_validate_rows(spark):
-    df = spark.createDataFrame([(1, "A", "B", 2, 3.0), (2, None, "B", 5, -1.0), (3, "C", "D", None, None)],
-                               "student_id long, first_name string, last_name string, year_level int, gpa double")
+    df = spark.createDataFrame([(1, "A", "B", "e", 2, 3.0), (2, None, "B", None, 5, -1.0), (3, "C", "D", "f", None, None)],
+                               "student_id long, first_name string, last_name string, email string, "
+                               "year_level int, gpa double")
     got = {r.student_id: r for r in Q.validate_rows(df).collect()}
     assert got[1].is_valid and got[1].reject_reason is None
     assert got[3].is_valid                                   # optional fields may be NULL
-    assert got[2].reject_reason == ("first_name is required; year_level must be between 1 and 4; "
+    assert got[2].reject_reason == ("first_name is required; email is required; year_level must be between 1 and 4; "
                                     "gpa must be between 0.0 and 4.0")
     valid, rejected = Q.split_valid(df)
     assert valid.count() == 2 and rejected.count() == 1 and "is_valid" not in valid.columns
@@ -63,7 +64,6 @@ def test_browse_filters_and_pages(spark, tiny):
     assert [r.student_id for r in B.students_filtered(students, min_gpa=3.6).collect()] == [1, 5]
     assert [r.course_id for r in B.courses_filtered(courses, semester="Spring").collect()] == [11]
     assert B.enrollments_filtered(enrollments, status="Dropped").count() == 2
-    assert [r.student_id for r in B.keyset_page(students, "student_id", after=3, limit=5).collect()] == [4, 5]
 
 
 def test_lookup_and_student_enrollments(spark, tiny):
@@ -79,7 +79,6 @@ def test_at_risk_lists(spark, tiny):
     students, _, _ = tiny
     r = B.at_risk(students).collect()
     assert [(x.student_id, x.name) for x in r] == [(2, "Bob Ray")]
-    assert B.at_risk_count(students).first()["count"] == 1
     a = B.at_risk_active(students, 3.7).collect()
     assert [x.student_id for x in a] == [2, 1]
     sql = B.sql_at_risk_active(spark, students, 3.7).collect()

@@ -46,15 +46,9 @@ def test_map_form(spark, tiny):
     assert m == {"Math": 2, "Art": 2}
 
 
-def test_unseen_categories(spark):
-    classes = spark.createDataFrame([("Art", 0)], "major string, major_encoded int")
-    df = spark.createDataFrame([(1, "Art"), (2, "Music")], "student_id long, major string")
-    assert [r.student_id for r in X.unseen_categories(df, classes).collect()] == [2]
-
-
 def test_score_unknown_model_is_an_error(spark):
     from cohortkit.plans import jobs
-    res = jobs.JobResult(features=[], trained={}, best="x", metrics=None, model_dir="", split_path="",
-                         n_rows=0, success_rate=0.0)
+    res = jobs.JobResult(features=[], trained={}, best="x", metrics=None, path="", n_rows=0, success_rate=0.0,
+                         test_success_rate=0.0, as_of="", classes=None)
     with pytest.raises(ValueError):
         jobs.score_students(spark, "/root/testdata/sf0.001", res, model_name="nope")
