@@ -196,11 +196,14 @@ def remainder(doc_id: Column) -> Column:
 def training_sample(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chars: int = WINDOW_CHARS) -> list[tuple[str, str]]:
     """At most about ``docs_per_lang`` windows per language of the documents that may be learned from."""
     learn = docs.filter((remainder(F.col("doc_id")) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # one number per language, as many as the model has outputs
+    counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return []
+    n = F.element_at(F.create_map(*[F.lit(x) for pair in counts.items() for x in pair]), F.col("lang"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1_000_000))
     start = 1 + F.pmod(F.xxhash64("doc_id", F.lit("start")), F.greatest(F.length("text") - chars, F.lit(0)) + 1)
-    picked = (learn.select("lang", "doc_id", "text", draw.alias("draw")).join(counts, "lang")
-              .filter(F.col("draw") * F.col("n") <= F.lit(1_000_000 * docs_per_lang))
+    picked = (learn.filter(draw * n <= F.lit(1_000_000 * docs_per_lang))
               .select("lang", "doc_id", F.substring("text", start.cast("int"), F.lit(chars)).alias("window")))
     return [(r["window"], r["lang"]) for r in picked.orderBy("lang", "doc_id", "window").collect()]
 
