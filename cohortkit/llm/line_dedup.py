@@ -32,6 +32,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import SPACE_CLASS, read_table, written
 from .components import components
@@ -89,9 +90,9 @@ def candidates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, chars: int
         F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(_masks(bands * rows))])
     banded = minima.select("k1", "k2", F.explode(F.array(*[
         F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)])).alias("band"))
-    banded = banded.repartition("band")
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    found = (banded.join(shared, "band").groupBy("k1", "k2").agg(F.collect_set("band").alias("bands")))
+    # one exchange by band; the window's frame is a count, so a band's rows stream through (and spill) unsorted
+    n = F.count(F.lit(1)).over(W.partitionBy("band"))
+    found = banded.withColumn("n", n).filter("n > 1").groupBy("k1", "k2").agg(F.collect_set("band").alias("bands"))
     return lines.join(found, ["k1", "k2"]).select(
         "k1", F.array_distinct(F.transform(shingles(F.col("line"), chars), lambda s: F.xxhash64(s))).alias("set"), "bands")
 
