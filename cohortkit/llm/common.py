@@ -16,6 +16,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and back-ticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """All columns (or ``columns``) as one struct: carried that way, no input column can
+    clash with those an operator adds."""
+    return F.struct(*[column(c).alias(c) for c in columns or df.columns])
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row.
 

@@ -11,11 +11,11 @@ component stays: its first occurrence by (doc_id, line number).
    first step made, reduced by 24 minima under XOR-permuted hashes; 8 bands of 3
    find a pair at the threshold with probability 1 - (1 - 0.8^3)^8 = 0.997.
 3. Only lines that share a band with another line go on, with their shingles.
-   In every band each line is first compared with the band's smallest; exact
+   In every band each line is first compared with three of its lines; exact
    Jaccard decides.  The links found make components, and only lines of one band
-   that are still in different components are then compared with each other.
-   So a group of thousands of near copies costs a comparison a line, not all
-   pairs, and no comparison between components is left out.
+   that are still in different components are then compared with each other, by
+   the same test inside the join.  So a large group of near copies costs three
+   comparisons a line, and no comparison between components is left out.
 4. Components come from alternating stars.
 
 The whole path is DataFrame functions.  Texts cross one shuffle (for step 1);
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import SPACE_CLASS, read_table, written
+from .common import SPACE_CLASS, read_table, whole_row, written
 from .components import components
 
 SHINGLE_CHARS = 9
@@ -97,15 +97,49 @@ def candidates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, chars: int
         "k1", F.array_distinct(F.transform(shingles(F.col("line"), chars), lambda s: F.xxhash64(s))).alias("set"), "bands")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The rows of ``pairs(a, b)`` whose lines are similar, by exact Jaccard."""
+def is_similar(a: str, b: str, threshold: float) -> Column:
+    """Exact Jaccard of two shingle sets: |A & B| / |A | B| >= t is |A & B| (1 + t) >= t (|A| + |B|).
+
+    The sizes alone rule many pairs out; they are compared first."""
+    n = F.size(a) + F.size(b)
+    possible = F.least(F.size(a), F.size(b)) * (1 + threshold) >= threshold * n
+    return F.when(possible, F.size(F.array_intersect(a, b)) * (1 + threshold) >= threshold * n).otherwise(False)
+
+
+def star_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the similar pairs of each band's lines with three of them: the smallest and
+    largest key and the smallest hash."""
+    some = members.groupBy("band").agg(F.min("k1").alias("x"), F.max("k1").alias("y"),
+                                       F.min(F.struct(F.xxhash64("k1").alias("h"), "k1")).alias("z"))
+    pairs = (members.join(some, "band")
+             .select(F.explode(F.array_distinct(F.array("x", "y", "z.k1"))).alias("a"), F.col("k1").alias("b"))
+             .filter("a <> b").distinct())
     both = (pairs.join(sets.select(F.col("k1").alias("a"), F.col("set").alias("set_a")), "a")
             .join(sets.select(F.col("k1").alias("b"), F.col("set").alias("set_b")), "b"))
-    n = F.size("set_a") + F.size("set_b")
-    # |A & B| / |A | B| >= t is |A & B| (1 + t) >= t (|A| + |B|); sizes alone rule many pairs out
-    possible = F.least(F.size("set_a"), F.size("set_b")) * (1 + threshold) >= threshold * n
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    return both.filter(possible).filter(common * (1 + threshold) >= threshold * n).select("a", "b")
+    return both.filter(is_similar("set_a", "set_b", threshold)).select("a", "b")
+
+
+def cross_links(members: DataFrame, sets: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the similar pairs of lines that share a band but not yet a component.
+
+    A line can only be similar to one of another component if its shingles that
+    occur in two components or more are at least ``threshold`` of all; the others
+    leave before any pair is looked at.  The Jaccard test is part of the join's
+    condition, so only links come out of it.
+    """
+    named = written(members.join(roots, F.col("k1") == F.col("node"), "left").select(
+        "band", "k1", F.coalesce("root", "k1").alias("root")), "line-members")
+    torn = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
+    apart = named.join(torn, "band")
+    lines = written(apart.select("k1", "root").distinct().join(sets.select("k1", "set"), "k1"), "line-apart")
+    shingle = lines.select("k1", "root", F.explode("set").alias("h"))
+    common = shingle.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
+    able = (shingle.join(common, "h").groupBy(F.col("k1").alias("able")).agg(F.count(F.lit(1)).alias("shared")))
+    able = lines.join(able, F.col("k1") == F.col("able")).filter(F.col("shared") >= threshold * F.size("set")).select("k1", "set")
+    rows = written(apart.join(able, "k1").select("band", "k1", "root", "set"), "line-cross")
+    a, b = rows.alias("a"), rows.alias("b")
+    return a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.root") < F.col("b.root"))
+                  & is_similar("a.set", "b.set", threshold)).select(F.col("a.k1").alias("a"), F.col("b.k1").alias("b"))
 
 
 def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS,
@@ -113,16 +147,9 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BA
     """(node, root) over the keys of different lines that are linked."""
     sets = written(candidates(docs, bands, rows, chars), "line-candidates")
     members = sets.select("k1", F.explode("bands").alias("band"))
-    first = members.groupBy("band").agg(F.min("k1").alias("a"))
-    stars = members.join(first, "band").filter("a <> k1").select("a", F.col("k1").alias("b")).distinct()
-    links = written(similar(stars, sets, threshold), "line-stars")
+    links = written(star_links(members, sets, threshold), "line-stars")
     roots = components(links, "line-stars")
-    named = written(members.join(roots, F.col("k1") == F.col("node"), "left").select(
-        "band", "k1", F.coalesce("root", "k1").alias("root")), "line-members")
-    left, right = (named.select("band", F.col("k1").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab")
-    apart = left.join(right, "band").filter("root_a < root_b").select("a", "b").distinct()
-    more = similar(apart, sets, threshold)
-    return components(links.unionAll(more), "line-links")
+    return components(links.unionAll(cross_links(members, sets, roots, threshold)), "line-links")
 
 
 def kept_lines(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS,
@@ -150,7 +177,7 @@ def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     plan = kept.filter(F.size("kept") < F.col("n_lines")).select(
         F.col("rid").alias("_rid"), F.sort_array(F.array_union(F.array_except(
             F.sequence(F.lit(0), F.col("n_all") - 1), "compared"), "kept")).alias("_stay")).dropDuplicates(["_rid"])
-    rows_in = with_row_key(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")).select("_row", "rid")
+    rows_in = with_row_key(docs.select(whole_row(docs).alias("_row"), "doc_id", "text")).select("_row", "rid")
     out = rows_in.join(written(plan, "line-plan"), F.col("rid") == F.col("_rid"), "left")
     lines = F.split(F.col("_row.text"), "\n")
     text = F.when(F.col("_stay").isNull(), F.col("_row.text")).otherwise(F.transform(
