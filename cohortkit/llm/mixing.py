@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import read_table, word_count, words, written
+from .common import read_table, whole_row, word_count, words, written
 
 BLOCK_WORDS = 32
 SHARD_WORDS = 2_000_000
@@ -193,7 +193,7 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, ma
     joined by one space.  Documents of which nothing is taken are left out; so are
     those without words, which no block holds."""
     columns = docs.columns
-    row = F.struct(*[F.col(c) for c in columns]).alias("row")
+    row = whole_row(docs).alias("row")
     rows = sized(docs.select(row, "doc_id", "text", "source"), seed)
     sources, shards = shard_quotas(rows.select("source", "size", "digest"), weights, budget, max_repeat,
                                    block_words, shard_words, seed)

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import SPACE_CHARS, let, read_table, words, written
+from .common import SPACE_CHARS, let, read_table, whole_row, words, written
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 10
@@ -210,7 +210,7 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = STRATUM, alpha: flo
     Documents are measured once; clashing column names are kept apart by
     carrying the input row as one struct.
     """
-    row = F.struct(*[F.col(c) for c in carry or docs.columns]).alias("_row")
+    row = whole_row(docs, carry).alias("_row")
     measured = written(measure(docs.select(row, "doc_id", "text", stratum)).drop("text"), "quality-measured")
     used = thresholds(measured.drop("_row"), labels, stratum, alpha, delta, levels).filter("used").select(
         F.col("stratum").alias("_stratum"), F.col("level").alias("_level"), *SCORES)

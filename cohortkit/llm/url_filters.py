@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import read_table, written
+from .common import read_table, whole_row, written
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
@@ -66,7 +66,7 @@ def intervals(changes: DataFrame) -> DataFrame:
 
 def decide(captures: DataFrame, changes: DataFrame) -> DataFrame:
     """``_row`` (the capture), host, and the entry that decided: list, pattern, valid_from, kept."""
-    base = captures.select(F.struct(*captures.columns).alias("_row"), F.col("url").alias("u"), F.col("fetched").alias("f"),
+    base = captures.select(whole_row(captures).alias("_row"), F.col("url").alias("u"), F.col("fetched").alias("f"),
                            F.monotonically_increasing_id().alias("rid"))
     base = written(base.withColumn("host", host_of(F.col("u"))), "url-captures")
     probes = base.select("rid", F.col("f").alias("day"), F.explode(url_keys(F.col("u"))).alias("key"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from cohortkit.llm import line_dedup, mixing, packing, quality_rules, simhash  # noqa: E402
-from cohortkit.llm.common import read_table, written  # noqa: E402
+from cohortkit.llm.common import column, read_table, written  # noqa: E402
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -44,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keep the document that names its group."""
     groups = simhash.near_duplicates(docs)
     gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[column(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

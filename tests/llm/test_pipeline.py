@@ -70,3 +70,22 @@ def test_run_and_empty_input(spark):
     for _, stage in CP.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_edge_rows_pass_every_stage(spark, tmp_path):
+    ten = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, ten, "en", "a"), (2, ten, "en", "a"), (2, ten, "en", "a"), (None, ten + " own", None, None), (None, None, None, None),
+            (4, None, "en", "b"), (5, "", "de", "b"), (6, "long " + " ".join(f"x{i}" for i in range(60_000)), None, "c"),
+            (7, " ".join(f"q{i}" for i in range(40)), "fr", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for name in ("rid", "row", "_row", "size", "level", "k1", "component_id", "a.b", "seq"):
+        docs = docs.selectExpr("*", f"'kept' as `{name}`")
+    names = docs.columns
+    for i, (name, stage) in enumerate(CP.STAGES):
+        docs = stage(spark, docs, SF)
+        docs.write.parquet(str(tmp_path / str(i)))
+        docs = spark.read.parquet(str(tmp_path / str(i)))
+        if name != "packing":
+            assert docs.columns == names
+            assert all(r["rid"] == "kept" and r["a.b"] == "kept" for r in docs.collect())
+    assert {r["doc_id"] for r in docs.collect()} == {1, 6, 7}      # the others had no words, or only equal lines
