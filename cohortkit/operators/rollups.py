@@ -93,9 +93,13 @@ def students_by_major(students: DataFrame) -> DataFrame:
             .groupBy("major").agg(F.count("student_id").alias("count")))
 
 
-def as_map(df: DataFrame, key: str, value: str = "count") -> DataFrame:
-    """One-row map form of a small grouped result (key -> value)."""
-    return df.agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias(f"{key}_map"))
+def as_map(df: DataFrame, key: str, value: str = "count", most: int = 10_000) -> DataFrame:
+    """One-row map form of a small grouped result (key -> value); more than ``most``
+    keys are an error when the result is read, and never reach the one row."""
+    entries = df.limit(most + 1).agg(F.collect_list(F.struct(key, value)).alias("e"))
+    error = F.raise_error(F.lit(f"more than {most} values of {key}")).cast(entries.schema["e"].dataType)
+    return entries.select(F.map_from_entries(
+        F.when(F.size("e") > most, error).otherwise(F.col("e"))).alias(f"{key}_map"))
 
 
 def student_analytics_major(students: DataFrame) -> DataFrame:

@@ -69,8 +69,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, *parts: str, unique: bool = False) -> str:
     """A path under the shared checkpoint folder for written tables and models."""
-    ensure_checkpoint_dir(spark)
-    root = spark.conf.get("spark.checkpoint.dir")
+    own = ensure_checkpoint_dir(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None) or own
     path = os.path.join(root, "cohortkit", *parts)
     if unique:
         path = os.path.join(path, uuid.uuid4().hex)

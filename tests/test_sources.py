@@ -44,6 +44,8 @@ def test_map_form(spark, tiny):
     students, _, _ = tiny
     m = A.as_map(A.students_by_major(students), "major").first()["major_map"]
     assert m == {"Math": 2, "Art": 2}
+    with pytest.raises(Exception, match="more than 1 values"):
+        A.as_map(A.students_by_major(students), "major", most=1).collect()
 
 
 def test_score_unknown_model_is_an_error(spark):
