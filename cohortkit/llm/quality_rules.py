@@ -214,6 +214,7 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = STRATUM, alpha: flo
     measured = written(measure(docs.select(row, "doc_id", "text", stratum)).drop("text"), "quality-measured")
     used = thresholds(measured.drop("_row"), labels, stratum, alpha, delta, levels).filter("used").select(
         F.col("stratum").alias("_stratum"), F.col("level").alias("_level"), *SCORES)
+    used = written(used, "quality-used")     # its true size lets the planner send it to the documents
     fails = F.lit(False)
     for r, parts in SCORES.items():
         fails = fails | (_permille(*parts) > F.col(r))
