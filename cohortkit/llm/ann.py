@@ -186,8 +186,10 @@ def vectors(column, dimensions: int) -> np.ndarray:
 
 def usable(table: DataFrame) -> tuple[DataFrame, int, int]:
     """(rows that take part, their number, their dimensions)."""
+    kind = table.schema["embedding"].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"       # single precision stays as compact as it came
     ok = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")
+    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding")
                         ).filter(F.col("vec_id").isNotNull() & ok & F.exists("embedding", lambda x: x != 0))
     usual = rows.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(
         F.desc("n"), "d").limit(1).collect()
@@ -202,7 +204,7 @@ def in_leaves(rows: DataFrame, tree: Tree, d: int) -> DataFrame:
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(assign(tree, vectors(b.column(1), d)))],
                                                  names=["vec_id", "embedding", "leaf"])
-    return rows.mapInArrow(run, "vec_id long, embedding array<float>, leaf long")
+    return rows.mapInArrow(run, f"vec_id long, embedding {rows.schema['embedding'].dataType.simpleString()}, leaf long")
 
 
 def exact_leaves(rows: DataFrame, queries: np.ndarray, query_ids: np.ndarray, k: int, d: int) -> DataFrame:
@@ -282,7 +284,8 @@ def search(table: DataFrame, every: int = 20, k: int = K, target: float = RECALL
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)),
                                               pa.array(np.concatenate(where).astype(np.int64))],
                                              names=["query_id", "query", "leaf"])
-    sent = written(queries.mapInArrow(send, "query_id long, query array<float>, leaf long"), "ann-visits")
+    kind = rows.schema["embedding"].dataType.simpleString()
+    sent = written(queries.mapInArrow(send, f"query_id long, query {kind}, leaf long"), "ann-visits")
     q_counts = {r["leaf"]: r["n"] for r in sent.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
     blocks = spark.createDataFrame(
         [(leaf, -(-int(counts[leaf]) // row_block), -(-n // query_block)) for leaf, n in q_counts.items()],

@@ -66,3 +66,10 @@ def test_recall_against_brute_force(spark, sf):
     hits = sum(len({v for v, _ in got[q]} & {v for v, _ in w}) for q, w in want.items())
     assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
     assert hits >= 0.9 * sum(map(len, want.values())), hits / sum(map(len, want.values()))
+
+
+def test_double_vectors_keep_their_precision(spark):
+    rng = np.random.default_rng(4)
+    vecs = rng.normal(size=(60, 5))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+    assert collect(A.search(df, target=1.0)) == brute(list(range(60)), vecs)
