@@ -34,7 +34,7 @@ from pyspark.sql.window import Window as W
 from .common import read_table, whole_row, word_count, words, written
 
 BLOCK_WORDS = 32
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 500_000
 SEED = 7
 BUDGET = 1.5
 MAX_REPEAT = 2
