@@ -1,16 +1,18 @@
 """Fuzzy line de-duplication by MinHash.
 
 A line is a part of a text between line feeds that has a word.  Its shingles are
-the runs of ``SHINGLE_CHARS`` characters that begin at its words (at every
-character, if the line is one unbroken run).  Lines whose shingle sets have a
+the runs of ``SHINGLE_CHARS`` characters that begin at each of its characters (the
+line itself, if it is shorter).  Lines whose shingle sets have a
 Jaccard similarity of ``THRESHOLD`` or more are linked; one line of each
 component stays: its first occurrence by (doc_id, line number).
 
 1. Equal lines collapse to one (128 bits of hash) before anything else.
-2. Signatures: the shingles are exploded and, inside the partitions that the
-   first step made, reduced by 24 minima under XOR-permuted hashes; 8 bands of 3
-   find a pair at the threshold with probability 1 - (1 - 0.8^3)^8 = 0.997.
-3. Only lines that share a band with another line go on, with their shingles.
+2. Signatures: the shingles are exploded (a line is cut into overlapping chunks
+   first, so that taking them is linear in its length) and, inside the partitions
+   that the first step made, reduced by 24 minima under XOR-permuted hashes; 8 bands
+   of 3 find a pair at the threshold with probability 1 - (1 - 0.8^3)^8 = 0.997.
+3. Only lines that share a band with another line go on, with their text, which is
+   smaller than its shingles.
    In every band each line is first compared with three of its lines; exact
    Jaccard decides.  The links found make components, and only lines of one band
    that are still in different components are then compared with each other, by
@@ -19,7 +21,7 @@ component stays: its first occurrence by (doc_id, line number).
 4. Components come from alternating stars.
 
 The whole path is DataFrame functions.  Texts cross one shuffle (for step 1);
-everything later is hashes, line numbers and the shingles of candidates.
+everything later is hashes, line numbers and the candidates.
 
 Defined cases: a NULL or empty text has no lines and nothing to remove; lines
 without a word are not compared and always stay; rows equal in ``doc_id`` and
@@ -34,10 +36,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import SPACE_CLASS, read_table, whole_row, written
+from .common import let, read_table, whole_row, written
 from .components import components
 
 SHINGLE_CHARS = 9
+CHUNK_CHARS = 64        # shingles that begin in one chunk of a line
 THRESHOLD = 0.8
 BANDS = 8
 ROWS = 3
@@ -48,11 +51,21 @@ def _has_word(line: Column) -> Column:
     return line.rlike(r"[^\x20\x09-\x0D]")
 
 
-def shingles(line: Column, chars: int = SHINGLE_CHARS) -> Column:
-    """The character shingles of a line, repeats included."""
-    at_words = F.regexp_extract_all(line, F.lit(rf"(?s)(?=([^\x20\x09-\x0D].{{0,{chars - 1}}}))[^\x20\x09-\x0D]+"), F.lit(1))
-    at_each = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{chars}}}))"), F.lit(1))
-    return F.when(~line.rlike(SPACE_CLASS) & (F.length(line) > chars), at_each).otherwise(at_words)
+def chunks(line: Column, chars: int = SHINGLE_CHARS) -> Column:
+    """A line in chunks that overlap by ``chars - 1``: every shingle lies in one of them."""
+    parts = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{1,{CHUNK_CHARS + chars - 1}}})).{{1,{CHUNK_CHARS}}}"), F.lit(1))
+    return F.when(F.length(line) <= chars, F.array(line)).otherwise(F.filter(parts, lambda c: F.length(c) >= chars))
+
+
+def starts(chunk: Column, chars: int = SHINGLE_CHARS) -> Column:
+    """Where the shingles of a chunk begin, from 1."""
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(chunk) - (chars - 1)))
+
+
+def shingle_set(line: Column, chars: int = SHINGLE_CHARS) -> Column:
+    """The hashes of the different character shingles of a line."""
+    return F.array_distinct(F.flatten(F.transform(chunks(line, chars), lambda c: F.transform(
+        starts(c, chars), lambda i: F.xxhash64(F.substring(c, i, chars))))))
 
 
 def with_row_key(docs: DataFrame) -> DataFrame:
@@ -82,10 +95,11 @@ def _masks(n: int) -> list[int]:
 
 
 def candidates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, chars: int = SHINGLE_CHARS) -> DataFrame:
-    """(k1, shingle hashes, bands shared with another line) of the lines that share any."""
+    """(k1, line, size of its shingle set, bands shared with another line) of the lines that share any."""
     lines = distinct_lines(docs)
-    hashed = lines.select("k1", "k2", F.explode(shingles(F.col("line"), chars)).alias("s")).select(
-        "k1", "k2", F.xxhash64("s").alias("h"))
+    hashed = (lines.select("k1", "k2", F.explode(chunks(F.col("line"), chars)).alias("c"))
+              .select("k1", "k2", "c", F.explode(starts(F.col("c"), chars)).alias("i"))
+              .select("k1", "k2", F.xxhash64(F.substring("c", F.col("i"), chars)).alias("h")))
     minima = hashed.groupBy("k1", "k2").agg(*[
         F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(_masks(bands * rows))])
     banded = minima.select("k1", "k2", F.explode(F.array(*[
@@ -94,10 +108,15 @@ def candidates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, chars: int
     n = F.count(F.lit(1)).over(W.partitionBy("band"))
     found = banded.withColumn("n", n).filter("n > 1").groupBy("k1", "k2").agg(F.collect_set("band").alias("bands"))
     return lines.join(found, ["k1", "k2"]).select(
-        "k1", F.array_distinct(F.transform(shingles(F.col("line"), chars), lambda s: F.xxhash64(s))).alias("set"), "bands")
+        "k1", "line", F.size(shingle_set(F.col("line"), chars)).alias("size"), "bands")
+
+
+def sizes_allow(a, b, threshold: float) -> Column:
+    """Can sets of these sizes reach the threshold?"""
+    return F.least(a, b) * (1 + threshold) >= threshold * (F.col(a) + F.col(b))
 
 
-def is_similar(a: str, b: str, threshold: float) -> Column:
+def is_similar(a, b, threshold: float) -> Column:
     """Exact Jaccard of two shingle sets: |A & B| / |A | B| >= t is |A & B| (1 + t) >= t (|A| + |B|).
 
     The sizes alone rule many pairs out; they are compared first."""
@@ -106,7 +125,7 @@ def is_similar(a: str, b: str, threshold: float) -> Column:
     return F.when(possible, F.size(F.array_intersect(a, b)) * (1 + threshold) >= threshold * n).otherwise(False)
 
 
-def star_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def star_links(members: DataFrame, lines: DataFrame, threshold: float, chars: int = SHINGLE_CHARS) -> DataFrame:
     """(a, b): the similar pairs of each band's lines with three of them: the smallest and
     largest key and the smallest hash."""
     some = members.groupBy("band").agg(F.min("k1").alias("x"), F.max("k1").alias("y"),
@@ -114,12 +133,15 @@ def star_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFra
     pairs = (members.join(some, "band")
              .select(F.explode(F.array_distinct(F.array("x", "y", "z.k1"))).alias("a"), F.col("k1").alias("b"))
              .filter("a <> b").distinct())
-    both = (pairs.join(sets.select(F.col("k1").alias("a"), F.col("set").alias("set_a")), "a")
-            .join(sets.select(F.col("k1").alias("b"), F.col("set").alias("set_b")), "b"))
-    return both.filter(is_similar("set_a", "set_b", threshold)).select("a", "b")
+    side = lambda x: lines.select(F.col("k1").alias(x), F.col("line").alias(f"line_{x}"), F.col("size").alias(f"n_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(sizes_allow("n_a", "n_b", threshold))
+    similar = let(F.struct(shingle_set(F.col("line_a"), chars).alias("a"), shingle_set(F.col("line_b"), chars).alias("b")),
+                  lambda s: is_similar(s["a"], s["b"], threshold))
+    return both.filter(similar).select("a", "b")
 
 
-def cross_links(members: DataFrame, sets: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+def cross_links(members: DataFrame, texts: DataFrame, roots: DataFrame, threshold: float,
+                chars: int = SHINGLE_CHARS) -> DataFrame:
     """(a, b): the similar pairs of lines that share a band but not yet a component.
 
     A line can only be similar to one of another component if its shingles that
@@ -131,7 +153,8 @@ def cross_links(members: DataFrame, sets: DataFrame, roots: DataFrame, threshold
         "band", "k1", F.coalesce("root", "k1").alias("root")), "line-members")
     torn = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
     apart = named.join(torn, "band")
-    lines = written(apart.select("k1", "root").distinct().join(sets.select("k1", "set"), "k1"), "line-apart")
+    lines = written(apart.select("k1", "root").distinct().join(texts.select("k1", "line"), "k1").select(
+        "k1", "root", shingle_set(F.col("line"), chars).alias("set")), "line-apart")
     shingle = lines.select("k1", "root", F.explode("set").alias("h"))
     common = shingle.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
     able = (shingle.join(common, "h").groupBy(F.col("k1").alias("able")).agg(F.count(F.lit(1)).alias("shared")))
@@ -145,11 +168,11 @@ def cross_links(members: DataFrame, sets: DataFrame, roots: DataFrame, threshold
 def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS,
                   chars: int = SHINGLE_CHARS) -> DataFrame:
     """(node, root) over the keys of different lines that are linked."""
-    sets = written(candidates(docs, bands, rows, chars), "line-candidates")
-    members = sets.select("k1", F.explode("bands").alias("band"))
-    links = written(star_links(members, sets, threshold), "line-stars")
+    lines = written(candidates(docs, bands, rows, chars), "line-candidates")
+    members = lines.select("k1", F.explode("bands").alias("band"))
+    links = written(star_links(members, lines, threshold, chars), "line-stars")
     roots = components(links, "line-stars")
-    return components(links.unionAll(cross_links(members, sets, roots, threshold)), "line-links")
+    return components(links.unionAll(cross_links(members, lines, roots, threshold, chars)), "line-links")
 
 
 def kept_lines(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS,
