@@ -32,6 +32,8 @@ read (``deduplicated`` passes them on).
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -111,18 +113,29 @@ def candidates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, chars: int
         "k1", "line", F.size(shingle_set(F.col("line"), chars)).alias("size"), "bands")
 
 
+def ratio(threshold: float) -> tuple[int, int]:
+    """The threshold as a ratio of whole numbers, as it is written: 0.8 is 4 / 5."""
+    return Fraction(str(threshold)).as_integer_ratio()
+
+
+def reaches(common: Column, n: Column, threshold: float) -> Column:
+    """Is the Jaccard of two sets with ``n`` elements in all and ``common`` of them shared at
+    least the threshold?  |A & B| / |A | B| >= p / q is |A & B| (p + q) >= p (|A| + |B|), in
+    whole numbers."""
+    p, q = ratio(threshold)
+    return common.cast("long") * F.lit(p + q).cast("long") >= n.cast("long") * F.lit(p).cast("long")
+
+
 def sizes_allow(a, b, threshold: float) -> Column:
     """Can sets of these sizes reach the threshold?"""
-    return F.least(a, b) * (1 + threshold) >= threshold * (F.col(a) + F.col(b))
+    return reaches(F.least(a, b), F.col(a) + F.col(b), threshold)
 
 
 def is_similar(a, b, threshold: float) -> Column:
-    """Exact Jaccard of two shingle sets: |A & B| / |A | B| >= t is |A & B| (1 + t) >= t (|A| + |B|).
-
-    The sizes alone rule many pairs out; they are compared first."""
+    """Exact Jaccard of two shingle sets; the sizes alone rule many pairs out and are compared first."""
     n = F.size(a) + F.size(b)
-    possible = F.least(F.size(a), F.size(b)) * (1 + threshold) >= threshold * n
-    return F.when(possible, F.size(F.array_intersect(a, b)) * (1 + threshold) >= threshold * n).otherwise(False)
+    possible = reaches(F.least(F.size(a), F.size(b)), n, threshold)
+    return F.when(possible, reaches(F.size(F.array_intersect(a, b)), n, threshold)).otherwise(False)
 
 
 def star_links(members: DataFrame, lines: DataFrame, threshold: float, chars: int = SHINGLE_CHARS) -> DataFrame:
@@ -149,6 +162,7 @@ def cross_links(members: DataFrame, texts: DataFrame, roots: DataFrame, threshol
     leave before any pair is looked at.  The Jaccard test is part of the join's
     condition, so only links come out of it.
     """
+    p, q = ratio(threshold)
     named = written(members.join(roots, F.col("k1") == F.col("node"), "left").select(
         "band", "k1", F.coalesce("root", "k1").alias("root")), "line-members")
     torn = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
@@ -158,7 +172,8 @@ def cross_links(members: DataFrame, texts: DataFrame, roots: DataFrame, threshol
     shingle = lines.select("k1", "root", F.explode("set").alias("h"))
     common = shingle.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
     able = (shingle.join(common, "h").groupBy(F.col("k1").alias("able")).agg(F.count(F.lit(1)).alias("shared")))
-    able = lines.join(able, F.col("k1") == F.col("able")).filter(F.col("shared") >= threshold * F.size("set")).select("k1", "set")
+    able = lines.join(able, F.col("k1") == F.col("able")).filter(
+        F.col("shared") * F.lit(q).cast("long") >= F.size("set").cast("long") * F.lit(p).cast("long")).select("k1", "set")
     rows = written(apart.join(able, "k1").select("band", "k1", "root", "set"), "line-cross")
     a, b = rows.alias("a"), rows.alias("b")
     return a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.root") < F.col("b.root"))

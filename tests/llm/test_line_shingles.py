@@ -62,3 +62,25 @@ def test_near_copies_match_brute_force_on_full_shingles(spark):
             copy[rng.randrange(40)] = rng.choice(vocab)
         rows.append((d, "\n".join([" ".join(copy), " ".join(rng.choice(vocab) for _ in range(15)), "hot line of every text"])))
     assert kept(spark, rows) == brute_kept(rows)
+
+
+def test_similarity_of_exactly_the_threshold_links(spark):
+    """Whole numbers decide: 28 of 35 common shingles are 0.8, 27 of 35 are not."""
+    rows = [(common, a, b) for union in range(5, 400, 5) for common in (union * 4 // 5, union * 4 // 5 - 1)
+            for a in (common, common + (union - common) // 2) for b in (union + common - a,)]
+    sets = spark.createDataFrame(rows, "common int, a int, b int").select(
+        "*", F.expr("sequence(1, a)").alias("x"), F.expr("sequence(a - common + 1, a - common + b)").alias("y"))
+    got = sets.select("common", "a", "b", L.is_similar("x", "y", 0.8).alias("is"), L.sizes_allow("a", "b", 0.8).alias("may"))
+    for r in got.collect():
+        want = 10 * r["common"] >= 8 * (r["a"] + r["b"] - r["common"])
+        assert r["is"] == want and (r["may"] or not want), r
+
+
+def test_lines_at_exactly_the_threshold_across_components_link(spark):
+    """28 of 35 shingles in common; a and b share a band but no component yet."""
+    text = "".join(map(chr, range(0x4E00, 0x4E00 + 43)))
+    lines = spark.createDataFrame([(1, text[:40]), (2, text[4:])], "k1 long, line string")
+    members = spark.createDataFrame([(1, 7), (2, 7)], "k1 long, band long")
+    roots = spark.createDataFrame([], "node long, root long")
+    assert len(full_shingles(text[:40]) & full_shingles(text[4:])) == 28
+    assert [tuple(r) for r in L.cross_links(members, lines, roots, 0.8).collect()] == [(1, 2)]
