@@ -176,8 +176,10 @@ def scan(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def digest(kinds: list[str]) -> Column:
     """kind:start:end of all spans of the kinds, by start, then kind as listed, comma-joined."""
-    spans = F.concat(*[F.transform(F.col(k), lambda s, i=KINDS.index(k): F.struct(
-        s["start"].alias("start"), F.lit(i).alias("nth"), s["end"].alias("end"))) for k in kinds])
+    def of(kind):
+        return F.transform(F.col(kind), lambda s: F.struct(
+            s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("nth"), s["end"].alias("end")))
+    spans = F.concat(*[of(k) for k in kinds])
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s["nth"]), s["start"], s["end"])), ",")
 

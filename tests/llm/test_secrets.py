@@ -97,4 +97,4 @@ def test_registered_query_matches_its_sql_and_the_plain_scan(spark):
         all_spans = plain(texts[doc_id])
         assert spans == ",".join(map(name, all_spans))
         assert sha == hashlib.sha256(",".join(name(x) for x in all_spans if x[1] < 3).encode()).hexdigest()
-    assert sum(r[1] for r in rows) and sum(r[2] for r in rows) and sum(r[3] for r in rows)
+    assert sum(r[1] for r in rows) and sum(r[3] for r in rows)
