@@ -57,3 +57,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, "llm", name, unique=True)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sql_crc32(bits: str) -> str:
+    """DuckDB SQL of the CRC-32 of a message given as a list of its bits, each byte's lowest bit first.
+    Fixed value: the reversed polynomial 0xEDB88320."""
+    step = f"xor(a >> 1, {0xEDB88320}::BIGINT * ((a + b) % 2))"
+    return f"xor(list_reduce(list_prepend({2**32 - 1}::BIGINT, {bits}), lambda a, b: {step}), {2**32 - 1}::BIGINT)"
+
+
+def sql_bits(text: str) -> str:
+    """DuckDB SQL of the bits of the UTF-8 form of ``text``, in the order that ``sql_crc32`` takes."""
+    digits = f"hex(encode({text}))"
+    nibble = f"(strpos('0123456789ABCDEF', substr({digits}, (2 - (i // 4) % 2 + (i // 8) * 2)::INT, 1)) - 1)"
+    return f"list_transform(range(length({digits}) * 4), lambda i: (({nibble} >> (i % 4)::INT) & 1)::BIGINT)"
