@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat_repair, language_id, line_dedup, mixing, packing, quality_rules, secrets, simhash, structure_repair, substring_dedup, url_filters
+from . import ann, chat_repair, language_id, line_dedup, mixing, packing, quality_rules, secrets, simhash, spelling, structure_repair, substring_dedup, url_filters
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_mixing": mixing.op9_mixing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_spelling": spelling.op11_spelling,
     "op12_structure_repair": structure_repair.op12_structure_repair,
     "op13_secrets": secrets.op13_secrets,
 }
@@ -22,6 +23,7 @@ ORACLES = {
     "op2_quality_rules": quality_rules.OP2_SQL,
     "op6_url_filters": url_filters.OP6_SQL,
     "op9_mixing": mixing.OP9_SQL,
+    "op11_spelling": spelling.OP11_SQL,
     "op12_structure_repair": structure_repair.OP12_SQL,
     "op13_secrets": secrets.OP13_SQL,
 }
