@@ -56,7 +56,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, "llm", name, unique=True)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def freed(*frames: DataFrame) -> None:
+    """Delete the files of frames that ``written`` gave, once everything made from them is written too."""
+    for df in frames:
+        path = getattr(df, "written_path", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def sql_crc32(bits: str) -> str:

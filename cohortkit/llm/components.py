@@ -4,8 +4,8 @@ Each round points every node at the smallest node it can see: the large star
 does so for a node's larger neighbours, the small star for its smaller ones.
 Both are a grouped minimum and a join on the node, so a node of very high degree
 is summed map-side and its joined rows are split by the adaptive skew join.
-Every round is written to the shared folder; the driver sees two numbers a
-round.  The edges end as stars around each component's smallest node.
+Every round is written to the shared folder, and the one before it deleted; the
+driver sees two numbers a round.  The edges end as stars around each component's smallest node.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import freed, written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -40,11 +40,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
                  .select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")),
                                            F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
                  .select("e.hi", "e.lo").filter("hi <> lo").distinct())
-        cur = written(small, name)
+        before, cur = cur, written(small, name)
+        freed(before)
         now = _mark(cur)
         if now == seen:
             break
         seen = now
     roots = cur.select(F.col("lo").alias("node")).distinct()
-    return cur.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionAll(
+    out = cur.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionAll(
         roots.select("node", F.col("node").alias("root")))
+    out.written_path = cur.written_path        # the files it reads, for ``freed``
+    return out

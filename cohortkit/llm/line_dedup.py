@@ -7,23 +7,29 @@ Jaccard similarity of ``THRESHOLD`` or more are linked; one line of each
 component stays: its first occurrence by (doc_id, line number).
 
 1. Equal lines collapse to one (128 bits of hash) before anything else.
-2. Signatures: the shingles are exploded (a line is cut into overlapping chunks
-   first, so that taking them is linear in its length) and, inside the partitions
-   that the first step made, reduced by 24 minima under XOR-permuted hashes; 8 bands
-   of 3 find a pair at the threshold with probability 1 - (1 - 0.8^3)^8 = 0.997.
+2. Signatures by one permutation: every shingle is hashed once, the hashes' range is
+   cut into ``BANDS`` x ``ROWS`` parts, and the least hash in a part is that part's
+   minimum.  A band is the hash of ``ROWS`` neighbouring minima; with 8 bands of 3 a pair
+   at the threshold shares one with probability 1 - (1 - 0.8^3)^8 = 0.997 or more.
+   Lines are sliced in UTF-32, where a character has a fixed width, so a shingle costs the
+   same wherever it begins; the minima stay in the partitions that the first step made.
 3. Only lines that share a band with another line go on, with their text, which is
    smaller than its shingles.
-   In every band each line is first compared with three of its lines; exact
-   Jaccard decides.  The links found make components, and only lines of one band
-   that are still in different components are then compared with each other, by
-   the same test inside the join.  So a large group of near copies costs three
-   comparisons a line, and no comparison between components is left out.
-4. Components come from alternating stars.
+4. Links are searched in rounds.  In a band with lines of different components some
+   lines, four at first and four times as many each round, are hubs: they are compared
+   with the lines of other components, in the first band that both share.  Exact Jaccard
+   decides, the links join components, and a band that is whole is done.  Every pair of a
+   band is compared, or is found connected before its turn, so no link is lost; a large
+   group of near copies is connected after a few rounds, at a cost linear in its size.
+   Which lines are hubs in a round follows from a hash and the band's count, so nothing is
+   sorted or numbered within a band.
+5. Components come from alternating stars.
 
 The whole path is DataFrame functions.  Texts cross one shuffle (for step 1);
-everything later is hashes, line numbers and the candidates.
+everything later is hashes, line numbers and the candidates.  Intermediate files are
+deleted as soon as they are superseded.
 
-Defined cases: a NULL or empty text has no lines and nothing to remove; lines
+Defined cases: a line of any length is one row and its shingles are whole; a NULL or empty text has no lines and nothing to remove; lines
 without a word are not compared and always stay; rows equal in ``doc_id`` and
 ``text`` are one document and get the same result; a NULL ``doc_id`` comes last
 in the order of occurrences; an empty table gives no rows; other columns are not
@@ -38,36 +44,38 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import let, read_table, whole_row, written
+from .common import freed, let, read_table, whole_row, written
 from .components import components
 
 SHINGLE_CHARS = 9
-CHUNK_CHARS = 64        # shingles that begin in one chunk of a line
 THRESHOLD = 0.8
 BANDS = 8
 ROWS = 3
 SEED = 11
+FIRST_HUBS, MORE_HUBS = 4, 4      # hubs of a band in the first round, and how many times as many in each later one
 
 
 def _has_word(line: Column) -> Column:
     return line.rlike(r"[^\x20\x09-\x0D]")
 
 
-def chunks(line: Column, chars: int = SHINGLE_CHARS) -> Column:
-    """A line in chunks that overlap by ``chars - 1``: every shingle lies in one of them."""
-    parts = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{1,{CHUNK_CHARS + chars - 1}}})).{{1,{CHUNK_CHARS}}}"), F.lit(1))
-    return F.when(F.length(line) <= chars, F.array(line)).otherwise(F.filter(parts, lambda c: F.length(c) >= chars))
+def wide(line: Column) -> Column:
+    """The line in UTF-32: four bytes a character."""
+    return F.encode(line, "UTF-32")
 
 
-def starts(chunk: Column, chars: int = SHINGLE_CHARS) -> Column:
-    """Where the shingles of a chunk begin, from 1."""
-    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(chunk) - (chars - 1)))
+def starts(data: Column, chars: int = SHINGLE_CHARS) -> Column:
+    """The bytes of a wide line where its shingles begin, from 1."""
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(data) - (4 * chars - 1)), F.lit(4))
+
+
+def shingle_hash(data: Column, start: Column, chars: int = SHINGLE_CHARS) -> Column:
+    return F.xxhash64(F.substring(data, start, F.lit(4 * chars)))
 
 
 def shingle_set(line: Column, chars: int = SHINGLE_CHARS) -> Column:
     """The hashes of the different character shingles of a line."""
-    return F.array_distinct(F.flatten(F.transform(chunks(line, chars), lambda c: F.transform(
-        starts(c, chars), lambda i: F.xxhash64(F.substring(c, i, chars))))))
+    return let(wide(line), lambda b: F.array_distinct(F.transform(starts(b, chars), lambda i: shingle_hash(b, i, chars))))
 
 
 def with_row_key(docs: DataFrame) -> DataFrame:
@@ -90,27 +98,33 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
             .dropDuplicates(["k1", "k2"]))
 
 
-def _masks(n: int) -> list[int]:
-    import random
-    rng = random.Random(SEED)
-    return [rng.getrandbits(64) - 2**63 for _ in range(n)]
+def part_of(h: Column, parts: int) -> Column:
+    """Which of ``parts`` equal ranges of 64-bit numbers a hash lies in."""
+    upper = F.shiftright(h, 32) + F.lit(2**31).cast("long")
+    return F.shiftright(upper * F.lit(parts).cast("long"), 32).cast("int")
+
 
+def banded(lines: DataFrame, bands: int = BANDS, rows: int = ROWS, chars: int = SHINGLE_CHARS) -> DataFrame:
+    """(k1, band) for the lines of ``lines(k1, k2, line)``; a band without a minimum gives no row."""
+    data = lines.select("k1", "k2", wide(F.col("line")).alias("data"))
+    hashed = (data.select("k1", "k2", "data", F.explode(starts(F.col("data"), chars)).alias("i"))
+              .select("k1", "k2", shingle_hash(F.col("data"), F.col("i"), chars).alias("h")))
+    minima = hashed.groupBy("k1", "k2", part_of(F.col("h"), bands * rows).alias("part")).agg(F.min("h").alias("m"))
+    own = lambda r: F.coalesce(F.max(F.when(F.col("part") % rows == r, F.col("m"))), F.lit(r).cast("long"))
+    of_band = minima.groupBy("k1", "k2", F.floor(F.col("part") / rows).alias("b")).agg(*[own(r).alias(f"m{r}") for r in range(rows)])
+    return of_band.select("k1", F.xxhash64("b", *[f"m{r}" for r in range(rows)]).alias("band"))
 
-def candidates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, chars: int = SHINGLE_CHARS) -> DataFrame:
-    """(k1, line, size of its shingle set, bands shared with another line) of the lines that share any."""
+
+def candidates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, chars: int = SHINGLE_CHARS) -> tuple[DataFrame, DataFrame]:
+    """(members, lines): the bands that lines share as (band, k1, n), and those lines as (k1, line, size of
+    the shingle set, bands)."""
     lines = distinct_lines(docs)
-    hashed = (lines.select("k1", "k2", F.explode(chunks(F.col("line"), chars)).alias("c"))
-              .select("k1", "k2", "c", F.explode(starts(F.col("c"), chars)).alias("i"))
-              .select("k1", "k2", F.xxhash64(F.substring("c", F.col("i"), chars)).alias("h")))
-    minima = hashed.groupBy("k1", "k2").agg(*[
-        F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(_masks(bands * rows))])
-    banded = minima.select("k1", "k2", F.explode(F.array(*[
-        F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)])).alias("band"))
     # one exchange by band; the window's frame is a count, so a band's rows stream through (and spill) unsorted
     n = F.count(F.lit(1)).over(W.partitionBy("band"))
-    found = banded.withColumn("n", n).filter("n > 1").groupBy("k1", "k2").agg(F.collect_set("band").alias("bands"))
-    return lines.join(found, ["k1", "k2"]).select(
-        "k1", "line", F.size(shingle_set(F.col("line"), chars)).alias("size"), "bands")
+    members = written(banded(lines, bands, rows, chars).withColumn("n", n).filter("n > 1"), "line-members")
+    found = members.groupBy("k1").agg(F.sort_array(F.collect_set("band")).alias("bands"))
+    return members, written(lines.join(found, "k1").select(
+        "k1", "line", F.size(shingle_set(F.col("line"), chars)).alias("size"), "bands"), "line-candidates")
 
 
 def ratio(threshold: float) -> tuple[int, int]:
@@ -138,56 +152,60 @@ def is_similar(a, b, threshold: float) -> Column:
     return F.when(possible, reaches(F.size(F.array_intersect(a, b)), n, threshold)).otherwise(False)
 
 
-def star_links(members: DataFrame, lines: DataFrame, threshold: float, chars: int = SHINGLE_CHARS) -> DataFrame:
-    """(a, b): the similar pairs of each band's lines with three of them: the smallest and
-    largest key and the smallest hash."""
-    some = members.groupBy("band").agg(F.min("k1").alias("x"), F.max("k1").alias("y"),
-                                       F.min(F.struct(F.xxhash64("k1").alias("h"), "k1")).alias("z"))
-    pairs = (members.join(some, "band")
-             .select(F.explode(F.array_distinct(F.array("x", "y", "z.k1"))).alias("a"), F.col("k1").alias("b"))
-             .filter("a <> b").distinct())
-    side = lambda x: lines.select(F.col("k1").alias(x), F.col("line").alias(f"line_{x}"), F.col("size").alias(f"n_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(sizes_allow("n_a", "n_b", threshold))
+def links_of(pairs: DataFrame, lines: DataFrame, threshold: float, chars: int = SHINGLE_CHARS) -> DataFrame:
+    """(a, b): the pairs of line keys whose shingle sets are similar."""
+    side = lambda x: lines.select(F.col("k1").alias(x), F.col("line").alias(f"line_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     similar = let(F.struct(shingle_set(F.col("line_a"), chars).alias("a"), shingle_set(F.col("line_b"), chars).alias("b")),
                   lambda s: is_similar(s["a"], s["b"], threshold))
     return both.filter(similar).select("a", "b")
 
 
-def cross_links(members: DataFrame, texts: DataFrame, roots: DataFrame, threshold: float,
-                chars: int = SHINGLE_CHARS) -> DataFrame:
-    """(a, b): the similar pairs of lines that share a band but not yet a component.
+def hub_pairs(live: DataFrame, low: int, high: int, threshold: float) -> DataFrame:
+    """(a, b): the lines whose turn as a hub comes in this round, with the lines of their bands that they
+    may be similar to and are not yet connected with."""
+    hubs = live.filter((F.col("turn") >= low) & (F.col("turn") < high)).alias("h")
+    first = F.array_min(F.array_intersect("h.bands", "x.bands"))
+    return hubs.join(live.alias("x"), (F.col("h.band") == F.col("x.band")) & (F.col("h.root") != F.col("x.root"))
+                     & (F.struct("h.turn", "h.k1") < F.struct("x.turn", "x.k1")) & sizes_allow("h.size", "x.size", threshold)
+                     & (first == F.col("h.band"))).select(F.col("h.k1").alias("a"), F.col("x.k1").alias("b"))
 
-    A line can only be similar to one of another component if its shingles that
-    occur in two components or more are at least ``threshold`` of all; the others
-    leave before any pair is looked at.  The Jaccard test is part of the join's
-    condition, so only links come out of it.
-    """
-    p, q = ratio(threshold)
-    named = written(members.join(roots, F.col("k1") == F.col("node"), "left").select(
-        "band", "k1", F.coalesce("root", "k1").alias("root")), "line-members")
-    torn = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
-    apart = named.join(torn, "band")
-    lines = written(apart.select("k1", "root").distinct().join(texts.select("k1", "line"), "k1").select(
-        "k1", "root", shingle_set(F.col("line"), chars).alias("set")), "line-apart")
-    shingle = lines.select("k1", "root", F.explode("set").alias("h"))
-    common = shingle.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
-    able = (shingle.join(common, "h").groupBy(F.col("k1").alias("able")).agg(F.count(F.lit(1)).alias("shared")))
-    able = lines.join(able, F.col("k1") == F.col("able")).filter(
-        F.col("shared") * F.lit(q).cast("long") >= F.size("set").cast("long") * F.lit(p).cast("long")).select("k1", "set")
-    rows = written(apart.join(able, "k1").select("band", "k1", "root", "set"), "line-cross")
-    a, b = rows.alias("a"), rows.alias("b")
-    return a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.root") < F.col("b.root"))
-                  & is_similar("a.set", "b.set", threshold)).select(F.col("a.k1").alias("a"), F.col("b.k1").alias("b"))
+
+def torn_members(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The rows of ``members`` with their present roots, of the bands that hold more than one component."""
+    if roots is not None:
+        members = members.drop("root").join(roots, F.col("k1") == F.col("node"), "left").withColumn("root", F.coalesce("root", "k1")).drop("node")
+    torn = members.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
+    return members.join(torn, "band", "left_semi")
 
 
 def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS,
                   chars: int = SHINGLE_CHARS) -> DataFrame:
     """(node, root) over the keys of different lines that are linked."""
-    lines = written(candidates(docs, bands, rows, chars), "line-candidates")
-    members = lines.select("k1", F.explode("bands").alias("band"))
-    links = written(star_links(members, lines, threshold, chars), "line-stars")
-    roots = components(links, "line-stars")
-    return components(links.unionAll(cross_links(members, lines, roots, threshold, chars)), "line-links")
+    members, lines = candidates(docs, bands, rows, chars)
+    # a line's turn in a band of n lines is even over 0 .. n, by hash
+    turn = (F.xxhash64("band", "k1").cast("double") / 2.0 ** 64 + 0.5) * F.col("n")
+    live = written(members.join(lines.select("k1", "size", "bands"), "k1").select(
+        "band", "k1", "size", "bands", turn.alias("turn"), F.col("k1").alias("root"), "n"), "line-live")
+    freed(members)
+    links, roots, low, hubs = None, None, 0, FIRST_HUBS
+    while True:
+        most = live.agg(F.max("n").alias("n")).first()["n"] or 0
+        if low >= most:
+            break
+        found = written(links_of(hub_pairs(live, low, low + hubs, threshold), lines, threshold, chars), "line-links")
+        done = [live]
+        if links is not None:
+            done += [links, found, roots]
+            found = written(links.unionAll(found), "line-links")
+        links, joined = found, components(found, "line-roots")
+        roots = written(joined, "line-roots")
+        live = written(torn_members(live, roots), "line-live")
+        freed(joined, *done)
+        low, hubs = low + hubs, hubs * MORE_HUBS
+    if roots is None:
+        roots = lines.select(F.col("k1").alias("node"), F.col("k1").alias("root")).limit(0)
+    return roots
 
 
 def kept_lines(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS,

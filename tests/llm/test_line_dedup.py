@@ -10,9 +10,7 @@ from .test_simhash import brute
 
 
 def shingle_set(line, chars=9):
-    if not re.search("[\x20\x09-\x0D]", line) and len(line) > chars:
-        return {line[i:i + chars] for i in range(len(line) - chars + 1)}
-    return {line[m.start():m.start() + chars] for m in re.finditer("[^\x20\x09-\x0D]+", line)}
+    return {line[i:i + chars] for i in range(max(1, len(line) - chars + 1))}
 
 
 def brute_kept(rows):
@@ -89,5 +87,4 @@ def test_registered_query_matches_brute_force(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{path}/documents.parquet").collect()]
     want = {d: k for (d, _), k in brute_kept(rows).items()}
     got = {r["doc_id"]: r["kept"] for r in L.op10_line_dedup(spark, path).collect()}
-    wrong = [d for d in want if want[d] != got[d]]
-    assert len(got) == len(want) and len(wrong) <= 0.003 * sum(map(len, want.values())), wrong
+    assert got == want

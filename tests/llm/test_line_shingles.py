@@ -48,7 +48,7 @@ def test_lines_that_differ_past_the_start_of_their_words_stay(spark):
                                   "".join(map(chr, range(0x4E00, 0x4E00 + 1000)))])
 def test_shingles_are_taken_at_every_character(spark, line):
     row = spark.createDataFrame([(line,)], "line string").select(L.shingle_set(F.col("line")).alias("s")).first()
-    want = spark.createDataFrame([(s,) for s in full_shingles(line)], "s string").select(F.xxhash64("s").alias("h"))
+    want = spark.createDataFrame([(s,) for s in full_shingles(line)], "s string").select(F.xxhash64(F.encode("s", "UTF-32")).alias("h"))
     assert sorted(row["s"]) == sorted(r["h"] for r in want.collect())
 
 
@@ -80,7 +80,36 @@ def test_lines_at_exactly_the_threshold_across_components_link(spark):
     """28 of 35 shingles in common; a and b share a band but no component yet."""
     text = "".join(map(chr, range(0x4E00, 0x4E00 + 43)))
     lines = spark.createDataFrame([(1, text[:40]), (2, text[4:])], "k1 long, line string")
-    members = spark.createDataFrame([(1, 7), (2, 7)], "k1 long, band long")
-    roots = spark.createDataFrame([], "node long, root long")
+    live = spark.createDataFrame([(7, 1, 32, [7], 0.5, 1), (7, 2, 31, [7], 1.5, 2)],
+                                 "band long, k1 long, size int, bands array<long>, turn double, root long")
     assert len(full_shingles(text[:40]) & full_shingles(text[4:])) == 28
-    assert [tuple(r) for r in L.cross_links(members, lines, roots, 0.8).collect()] == [(1, 2)]
+    pairs = L.hub_pairs(live, 0, 4, 0.8)
+    assert [tuple(r) for r in pairs.collect()] == [tuple(r) for r in L.links_of(pairs, lines, 0.8).collect()] == [(1, 2)]
+    assert L.hub_pairs(live, 1, 4, 0.8).collect() == []            # the second line's turn: its pair is done
+    assert L.hub_pairs(live.withColumn("root", F.lit(1)), 0, 4, 0.8).collect() == []
+
+
+def test_a_pair_is_compared_in_its_first_band_only(spark):
+    rows = [(b, k, 30, [3, 5], k + 0.1 * b, k) for b in (3, 5) for k in (1, 2, 3)]
+    live = spark.createDataFrame(rows, "band long, k1 long, size int, bands array<long>, turn double, root long")
+    assert sorted(map(tuple, L.hub_pairs(live, 0, 9, 0.8).collect())) == [(1, 2), (1, 3), (2, 3)]
+
+
+def test_bands_find_pairs_at_the_threshold(spark):
+    """Recall of the signatures alone over pairs with a similarity of 0.8 to 0.81, of many sizes."""
+    rng, rows = random.Random(12), []
+    letters = "abcdefghijklmnopqrstuvwxyz  "
+    while len(rows) < 1200:
+        n = rng.choice([12, 25, 60, 150, 400])
+        a = "".join(rng.choice(letters) for _ in range(n))
+        cut = rng.randrange(1, n)
+        b = a[:cut] + rng.choice(letters) * rng.randrange(0, 1 + n // 6) + a[cut + rng.randrange(0, 2):]
+        sa, sb = full_shingles(a), full_shingles(b)
+        if 0.8 <= len(sa & sb) / len(sa | sb) <= 0.83:
+            rows += [(2 * len(rows), a), (2 * len(rows) + 1, b)]
+    df = spark.createDataFrame([(k, k, t) for k, t in rows], "k1 long, k2 long, line string")
+    bands = {}
+    for r in L.banded(df).collect():
+        bands.setdefault(r["k1"], set()).add(r["band"])
+    missed = sum(not bands[k] & bands[k + 1] for k, _ in rows[::2])
+    assert missed <= 0.012 * len(rows) / 2, missed
