@@ -16,7 +16,7 @@ component stays: its first occurrence by (doc_id, line number).
 3. Only lines that share a band with another line go on, with their text, which is
    smaller than its shingles.
 4. Links are searched in rounds.  In a band with lines of different components some
-   lines, four at first and four times as many each round, are hubs: they are compared
+   lines, eight at first and four times as many each round, are hubs: they are compared
    with the lines of other components, in the first band that both share.  Exact Jaccard
    decides, the links join components, and a band that is whole is done.  Every pair of a
    band is compared, or is found connected before its turn, so no link is lost; a large
@@ -52,7 +52,7 @@ THRESHOLD = 0.8
 BANDS = 8
 ROWS = 3
 SEED = 11
-FIRST_HUBS, MORE_HUBS = 4, 4      # hubs of a band in the first round, and how many times as many in each later one
+FIRST_HUBS, MORE_HUBS = 8, 4      # hubs of a band in the first round, and how many times as many in each later one
 
 
 def _has_word(line: Column) -> Column:
@@ -73,9 +73,14 @@ def shingle_hash(data: Column, start: Column, chars: int = SHINGLE_CHARS) -> Col
     return F.xxhash64(F.substring(data, start, F.lit(4 * chars)))
 
 
+def shingles(line: Column, chars: int = SHINGLE_CHARS) -> Column:
+    """The hashes of a line's character shingles, in their order."""
+    return let(wide(line), lambda b: F.transform(starts(b, chars), lambda i: shingle_hash(b, i, chars)))
+
+
 def shingle_set(line: Column, chars: int = SHINGLE_CHARS) -> Column:
     """The hashes of the different character shingles of a line."""
-    return let(wide(line), lambda b: F.array_distinct(F.transform(starts(b, chars), lambda i: shingle_hash(b, i, chars))))
+    return F.array_distinct(shingles(line, chars))
 
 
 def with_row_key(docs: DataFrame) -> DataFrame:
@@ -105,28 +110,37 @@ def part_of(h: Column, parts: int) -> Column:
 
 
 def banded(lines: DataFrame, bands: int = BANDS, rows: int = ROWS, chars: int = SHINGLE_CHARS) -> DataFrame:
-    """(k1, band) for the lines of ``lines(k1, k2, line)``; a band without a minimum gives no row."""
+    """(k1, k2, band) for the lines of ``lines(k1, k2, line)``; a band without a minimum gives no row."""
     data = lines.select("k1", "k2", wide(F.col("line")).alias("data"))
     hashed = (data.select("k1", "k2", "data", F.explode(starts(F.col("data"), chars)).alias("i"))
               .select("k1", "k2", shingle_hash(F.col("data"), F.col("i"), chars).alias("h")))
     minima = hashed.groupBy("k1", "k2", part_of(F.col("h"), bands * rows).alias("part")).agg(F.min("h").alias("m"))
     own = lambda r: F.coalesce(F.max(F.when(F.col("part") % rows == r, F.col("m"))), F.lit(r).cast("long"))
     of_band = minima.groupBy("k1", "k2", F.floor(F.col("part") / rows).alias("b")).agg(*[own(r).alias(f"m{r}") for r in range(rows)])
-    return of_band.select("k1", F.xxhash64("b", *[f"m{r}" for r in range(rows)]).alias("band"))
+    return of_band.select("k1", "k2", F.xxhash64("b", *[f"m{r}" for r in range(rows)]).alias("band"))
 
 
-def candidates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, chars: int = SHINGLE_CHARS) -> tuple[DataFrame, DataFrame]:
-    """(members, lines): the bands that lines share as (band, k1, n), and those lines as (k1, line, size of
-    the shingle set, bands)."""
+def candidates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, chars: int = SHINGLE_CHARS) -> DataFrame:
+    """(k1, line, size of the shingle set, bands shared with another line) of the lines that share any."""
     lines = distinct_lines(docs)
     # one exchange by band; the window's frame is a count, so a band's rows stream through (and spill) unsorted
     n = F.count(F.lit(1)).over(W.partitionBy("band"))
-    members = written(banded(lines, bands, rows, chars).withColumn("n", n).filter("n > 1"), "line-members")
-    found = members.groupBy("k1").agg(F.sort_array(F.collect_set("band")).alias("bands"))
-    return members, written(lines.join(found, "k1").select(
+    found = (banded(lines, bands, rows, chars).withColumn("n", n).filter("n > 1").groupBy("k1", "k2")
+             .agg(F.sort_array(F.collect_set("band")).alias("bands")))
+    # both sides are dealt by the keys that the exchange of the distinct lines made, and share it
+    return written(lines.join(found, ["k1", "k2"]).select(
         "k1", "line", F.size(shingle_set(F.col("line"), chars)).alias("size"), "bands"), "line-candidates")
 
 
+def members_of(lines: DataFrame) -> DataFrame:
+    """(band, k1, size, bands, n, turn, root) of the candidates; a line's turn in a band of n lines is even over
+    0 .. n, by hash."""
+    each = lines.select(F.explode("bands").alias("band"), "k1", "size", "bands")
+    counts = lines.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    turn = (F.xxhash64("band", "k1").cast("double") / 2.0 ** 64 + 0.5) * F.col("n")
+    return each.join(counts, "band").select("band", "k1", "size", "bands", "n", turn.alias("turn"), F.col("k1").alias("root"))
+
+
 def ratio(threshold: float) -> tuple[int, int]:
     """The threshold as a ratio of whole numbers, as it is written: 0.8 is 4 / 5."""
     return Fraction(str(threshold)).as_integer_ratio()
@@ -145,20 +159,16 @@ def sizes_allow(a, b, threshold: float) -> Column:
     return reaches(F.least(a, b), F.col(a) + F.col(b), threshold)
 
 
-def is_similar(a, b, threshold: float) -> Column:
-    """Exact Jaccard of two shingle sets; the sizes alone rule many pairs out and are compared first."""
-    n = F.size(a) + F.size(b)
-    possible = reaches(F.least(F.size(a), F.size(b)), n, threshold)
-    return F.when(possible, reaches(F.size(F.array_intersect(a, b)), n, threshold)).otherwise(False)
+def is_similar(a: Column, b: Column, size_a, size_b, threshold: float) -> Column:
+    """Exact Jaccard of the different elements of two arrays, whose numbers are known."""
+    return reaches(F.size(F.array_intersect(a, b)), F.col(size_a) + F.col(size_b), threshold)
 
 
 def links_of(pairs: DataFrame, lines: DataFrame, threshold: float, chars: int = SHINGLE_CHARS) -> DataFrame:
     """(a, b): the pairs of line keys whose shingle sets are similar."""
-    side = lambda x: lines.select(F.col("k1").alias(x), F.col("line").alias(f"line_{x}"))
+    side = lambda x: lines.select(F.col("k1").alias(x), F.col("line").alias(f"line_{x}"), F.col("size").alias(f"n_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    similar = let(F.struct(shingle_set(F.col("line_a"), chars).alias("a"), shingle_set(F.col("line_b"), chars).alias("b")),
-                  lambda s: is_similar(s["a"], s["b"], threshold))
-    return both.filter(similar).select("a", "b")
+    return both.filter(is_similar(shingles(F.col("line_a"), chars), shingles(F.col("line_b"), chars), "n_a", "n_b", threshold)).select("a", "b")
 
 
 def hub_pairs(live: DataFrame, low: int, high: int, threshold: float) -> DataFrame:
@@ -182,12 +192,8 @@ def torn_members(members: DataFrame, roots: DataFrame | None) -> DataFrame:
 def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS,
                   chars: int = SHINGLE_CHARS) -> DataFrame:
     """(node, root) over the keys of different lines that are linked."""
-    members, lines = candidates(docs, bands, rows, chars)
-    # a line's turn in a band of n lines is even over 0 .. n, by hash
-    turn = (F.xxhash64("band", "k1").cast("double") / 2.0 ** 64 + 0.5) * F.col("n")
-    live = written(members.join(lines.select("k1", "size", "bands"), "k1").select(
-        "band", "k1", "size", "bands", turn.alias("turn"), F.col("k1").alias("root"), "n"), "line-live")
-    freed(members)
+    lines = candidates(docs, bands, rows, chars)
+    live = written(members_of(lines), "line-live")
     links, roots, low, hubs = None, None, 0, FIRST_HUBS
     while True:
         most = live.agg(F.max("n").alias("n")).first()["n"] or 0

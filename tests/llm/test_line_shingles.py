@@ -70,7 +70,7 @@ def test_similarity_of_exactly_the_threshold_links(spark):
             for a in (common, common + (union - common) // 2) for b in (union + common - a,)]
     sets = spark.createDataFrame(rows, "common int, a int, b int").select(
         "*", F.expr("sequence(1, a)").alias("x"), F.expr("sequence(a - common + 1, a - common + b)").alias("y"))
-    got = sets.select("common", "a", "b", L.is_similar("x", "y", 0.8).alias("is"), L.sizes_allow("a", "b", 0.8).alias("may"))
+    got = sets.select("common", "a", "b", L.is_similar(F.col("x"), F.col("y"), "a", "b", 0.8).alias("is"), L.sizes_allow("a", "b", 0.8).alias("may"))
     for r in got.collect():
         want = 10 * r["common"] >= 8 * (r["a"] + r["b"] - r["common"])
         assert r["is"] == want and (r["may"] or not want), r
@@ -79,7 +79,7 @@ def test_similarity_of_exactly_the_threshold_links(spark):
 def test_lines_at_exactly_the_threshold_across_components_link(spark):
     """28 of 35 shingles in common; a and b share a band but no component yet."""
     text = "".join(map(chr, range(0x4E00, 0x4E00 + 43)))
-    lines = spark.createDataFrame([(1, text[:40]), (2, text[4:])], "k1 long, line string")
+    lines = spark.createDataFrame([(1, text[:40], 32), (2, text[4:], 31)], "k1 long, line string, size int")
     live = spark.createDataFrame([(7, 1, 32, [7], 0.5, 1), (7, 2, 31, [7], 1.5, 2)],
                                  "band long, k1 long, size int, bands array<long>, turn double, root long")
     assert len(full_shingles(text[:40]) & full_shingles(text[4:])) == 28
