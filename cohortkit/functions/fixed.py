@@ -192,21 +192,21 @@ DEFAULT_VAL_SIZE = 0.2
 DEFAULT_CV_FOLDS = 5
 DEFAULT_RANDOM_STATE = 42
 
-# Parameter grids of the model search (4 / 162 / 72 points there).  Spark has no
-# min_samples_split, so that axis is left out (54 and 36 points); an unlimited
-# depth is 30, Spark's maximum.
+# Parameter grids of the model search (4 / 162 / 72 points); an unlimited depth is 30.
 FULL_GRIDS = {
     "logistic_regression": {"C": [0.01, 0.1, 1, 10]},
     "random_forest": {
         "numTrees": [100, 200, 300],
         "maxDepth": [10, 20, 30],
         "minInstancesPerNode": [1, 2, 4],
+        "minSamplesSplit": [2, 5, 10],
         "featureSubsetStrategy": ["sqrt", "log2"],
     },
     "gradient_boosting": {
         "maxIter": [100, 200],
         "stepSize": [0.01, 0.1, 0.2],
         "maxDepth": [3, 5, 7],
+        "minSamplesSplit": [2, 5],
         "subsamplingRate": [0.8, 1.0],
     },
 }

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import safe_div
 from ..functions.stats import running_sums
 from ..session import checkpointed
+from . import logistic, trees
 
 
 def long_predictions(df: DataFrame, scores: dict[str, Column], label: str,
@@ -179,12 +180,10 @@ def tree_importance(spark, model, feature_names: list[str], model_name: str,
                     top_n: int | None = None) -> DataFrame | None:
     """A fitted tree ensemble's importances by feature, largest first;
     None when the model has no importances."""
-    stage = model.stages[-1] if hasattr(model, "stages") else model
-    if not hasattr(stage, "featureImportances"):
+    if not isinstance(model, trees.TreeModel):
         return None
-    imp = stage.featureImportances.toArray().tolist()
-    rows = [(model_name, f, float(v)) for f, v in zip(feature_names, imp)]
-    df = spark.createDataFrame(rows, "model string, feature string, importance double")
+    df = trees.importances(model.table(spark), feature_names, per_tree=model.kind == "forest").select(
+        F.lit(model_name).alias("model"), "feature", "importance")
     df = df.orderBy(F.desc("importance"), "feature")
     return df.limit(top_n) if top_n else df
 
@@ -192,11 +191,9 @@ def tree_importance(spark, model, feature_names: list[str], model_name: str,
 def linear_importance(spark, model, feature_names: list[str], model_name: str,
                       top_n: int | None = None) -> DataFrame | None:
     """A fitted linear model's coefficients and absolute values, largest first."""
-    stage = model.stages[-1] if hasattr(model, "stages") else model
-    if not hasattr(stage, "coefficients"):
+    if not isinstance(model, logistic.LinearModel):
         return None
-    coef = stage.coefficients.toArray().tolist()
-    rows = [(model_name, f, float(v), abs(float(v))) for f, v in zip(feature_names, coef)]
+    rows = [(model_name, f, float(v), abs(float(v))) for f, v in zip(feature_names, model.coefficients)]
     df = spark.createDataFrame(rows, "model string, feature string, coefficient double, abs_coefficient double")
     df = df.orderBy(F.desc("abs_coefficient"), "feature")
     return df.limit(top_n) if top_n else df

@@ -8,7 +8,9 @@ means a lost executor re-reads files instead of recomputing the joins.
 A finished run is found again by what it was made from: its folder is named by a
 hash of the input files (path, length, modification time) and the configuration.
 So several reports of one run train once, also across sessions, and changed files
-or another configuration train anew.
+or another configuration train anew.  A run writes to a folder of its own and is
+published by one last file that names it, so two drivers that train the same run at
+once never write, or read, each other's half.
 """
 
 from __future__ import annotations
@@ -38,8 +40,8 @@ class JobConfig:
     grids: dict = field(default_factory=lambda: M.FULL_GRIDS)
     model_names: list | None = None
     folds: int = fixed.DEFAULT_CV_FOLDS
-    parallelism: int = 4
     partitions: int = M.PARTITIONS
+    max_rows: int = M.TRAIN_ROWS   # labelled rows that the tree ensembles are searched and fitted with
     seed: int = fixed.DEFAULT_RANDOM_STATE
     test_size: float = fixed.DEFAULT_TEST_SIZE
     val_size: float = fixed.DEFAULT_VAL_SIZE
@@ -62,6 +64,7 @@ class JobResult:
     classes: DataFrame | None       # the fitted class table
     predictions: DataFrame | None = None    # held-out (model, key, label, score, prediction, split)
     importance: DataFrame | None = None     # (model, kind, feature, importance)
+    grid: DataFrame | None = None           # every grid point with its CV mean
 
 
 def feature_frame(spark: SparkSession, sf_dir: str, as_of: str = X.DEFAULT_AS_OF, everyone: bool = False) -> DataFrame:
@@ -85,11 +88,12 @@ def train_job(spark: SparkSession, sf_dir: str, cfg: JobConfig | None = None) ->
     Each new run's metrics are also appended to the history table (E11)."""
     cfg = cfg or JobConfig()
     run = run_id(spark, sf_dir, cfg)
-    path = shared_path(spark, "runs", run)
+    published = shared_path(spark, "published-runs", run)
     try:
-        return load_run(spark, path)
-    except FileNotFoundError:
+        return load_run(spark, spark.read.text(published).orderBy("value").first()["value"])
+    except (AnalysisException, FileNotFoundError):
         pass
+    path = shared_path(spark, "runs", run, unique=True)
     engineered = checkpointed(feature_frame(spark, sf_dir, cfg.as_of))
     classes = checkpointed(X.major_classes(engineered))
     ft = X.encode_major(engineered, classes=classes)
@@ -102,8 +106,8 @@ def train_job(spark: SparkSession, sf_dir: str, cfg: JobConfig | None = None) ->
                       F.avg(in_test).alias("test_rate")).first()
 
     trained = M.train_models(split.filter(F.col("split") == "train"), feats, grids=cfg.grids,
-                             model_names=cfg.model_names, folds=cfg.folds, parallelism=cfg.parallelism,
-                             seed=cfg.seed, partitions=cfg.partitions)
+                             model_names=cfg.model_names, folds=cfg.folds, seed=cfg.seed,
+                             partitions=cfg.partitions, max_rows=cfg.max_rows)
     held_out = split.filter(F.col("split").isin("validation", "test"))
     preds = None
     for name, t in trained.items():
@@ -124,6 +128,7 @@ def train_job(spark: SparkSession, sf_dir: str, cfg: JobConfig | None = None) ->
         [(best, int(stats["n"]), float(stats["rate"] or 0.0), float(stats["test_rate"] or 0.0))],
         "best string, n_rows long, success_rate double, test_success_rate double"
     ).write.mode("overwrite").parquet(f"{path}/run")            # written last: it marks the run as finished
+    spark.createDataFrame([(path,)], "value string").coalesce(1).write.mode("append").text(published)
     return load_run(spark, path)
 
 
@@ -157,7 +162,7 @@ def load_run(spark: SparkSession, path: str) -> JobResult:
     return JobResult(features=list(rows[0]["features"]), trained=trained, best=run["best"], metrics=read("metrics"),
                      path=path, n_rows=run["n_rows"], success_rate=run["success_rate"],
                      test_success_rate=run["test_success_rate"], as_of=saved.as_of, classes=saved.classes,
-                     predictions=read("predictions"), importance=read("importance"))
+                     predictions=read("predictions"), importance=read("importance"), grid=saved.grid)
 
 
 def _model_metrics(res: JobResult, name: str) -> dict:

@@ -24,7 +24,7 @@ def test_default_search_is_the_full_one():
         sizes[name] = 1
         for values in axes.values():
             sizes[name] *= len(values)
-    assert sizes == {"logistic_regression": 4, "random_forest": 54, "gradient_boosting": 36} and cfg.folds == 5
+    assert sizes == {"logistic_regression": 4, "random_forest": 162, "gradient_boosting": 72} and cfg.folds == 5
 
 
 def test_a_run_is_found_again_and_another_config_is_not(spark, result, monkeypatch):
@@ -39,7 +39,7 @@ def test_a_run_is_found_again_and_another_config_is_not(spark, result, monkeypat
 def test_metrics_history_grows(spark, result):
     rows = spark.read.parquet(session.shared_path(spark, "metrics_history"))
     assert rows.select("run_id").distinct().count() >= 1
-    assert rows.filter(F.col("run_id") == result.path.rsplit("/", 1)[-1]).count() == 4
+    assert rows.filter(F.col("run_id") == result.path.rsplit("/", 2)[-2]).count() == 4
 
 
 def test_every_stored_student_is_scored(spark, result):
