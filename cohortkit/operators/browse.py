@@ -139,11 +139,19 @@ def sql_at_risk_active(spark, students: DataFrame,
     return spark.sql(AT_RISK_ACTIVE_SQL.format(students=name, threshold=float(gpa_threshold)))
 
 
-def ranked(df: DataFrame, order: list, n: int = 100) -> DataFrame:
-    """The first ``n`` rows by ``order`` with their place, from 1, as ``position``.
+def run_sql(spark, text: str, tables: dict[str, DataFrame], params: dict | None = None) -> DataFrame:
+    """The caller's SQL text over frames, named in it as ``{table}``, with its values as named parameters
+    (``:name``; a list becomes an array).  Values never become part of the text."""
+    values = {k: F.array(*[F.lit(x) for x in v]) if isinstance(v, (list, tuple)) else v for k, v in (params or {}).items()}
+    return spark.sql(text, args=values, **tables)
 
-    The limit comes first (a bounded top-n), so the numbering sees n rows."""
-    top = df.orderBy(*order).limit(n)
+
+def ranked(df: DataFrame, order: list, n: int | None) -> DataFrame:
+    """The rows by ``order`` with their place, from 1, as ``position``: the first ``n`` of a table, or all rows of
+    a roll-up (``n`` None), which has as many rows as groups.
+
+    The limit comes first (a bounded top-n), so the numbering of a table sees n rows."""
+    top = df if n is None else df.orderBy(*order).limit(n)
     return top.withColumn("position", F.row_number().over(Window.orderBy(*order)))
 
 

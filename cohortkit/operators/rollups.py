@@ -275,6 +275,24 @@ def gpa_median_mean(students: DataFrame, exact: bool = True) -> DataFrame:
     return mean.crossJoin(_one_row(med)).select("median_gpa", "mean_gpa", "n_students")
 
 
+# Rank error of the sketches' default size, as a share of the rows (about 1.3 % at 99 % confidence,
+# with room for a merge).
+SKETCH_RANK_ERROR = 0.027
+
+
+def gpa_sketches(students: DataFrame, by: list[str]) -> DataFrame:
+    """A19 upkeep: a mergeable quantile sketch of the gpa of active students for each ``by`` group, of bounded
+    size whatever the rows."""
+    vals = students.filter(F.col("is_active") & F.col("gpa").isNotNull())
+    return vals.groupBy(*by).agg(F.kll_sketch_agg_double("gpa").alias("sketch"), F.count(F.lit(1)).alias("n_students"))
+
+
+def sketched_medians(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """Medians of coarser groups from stored sketches, without reading the students again."""
+    merged = sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("s"), F.sum("n_students").alias("n_students"))
+    return merged.select(*by, "n_students", F.kll_sketch_get_quantile_double("s", F.lit(0.5)).alias("median_gpa"))
+
+
 def insights(students: DataFrame, gpa_threshold: float = fixed.DEFAULT_GPA_THRESHOLD) -> DataFrame:
     """Percent of active students at risk and the major with the most
     at-risk active students (ties go to the smallest major name).

@@ -741,7 +741,7 @@ select row_number() over (order by roc_auc desc nulls last, model) as position,
 def q_model_comparison_ranked(spark, sf_dir):
     """E2 with its order as a column."""
     table = E.model_comparison(E.eval_metrics(heuristic_predictions(spark, sf_dir))).select("model", "roc_auc")
-    return B.ranked(table, [F.desc_nulls_last("roc_auc"), F.col("model")])
+    return B.ranked(table, [F.desc_nulls_last("roc_auc"), F.col("model")], None)
 
 
 @register("classification_report", O.with_roles(*PREDS_CTES, f"""
@@ -839,12 +839,11 @@ def q_students_by_major_top5(spark, sf_dir):
 @register("dept_enrollment_ranked", O.with_roles(body="""
 select row_number() over (order by total_enrollments desc, department asc nulls last) as position, *
 from (select c.department, count(e.enrollment_id) as total_enrollments
-      from courses c left join enrollments e on c.course_id = e.course_id group by c.department)
-qualify position <= 100"""))
+      from courses c left join enrollments e on c.course_id = e.course_id group by c.department)"""))
 def q_dept_enrollment_ranked(spark, sf_dir):
     """A2 / O2 with its order as a column."""
     table = A.dept_enrollment(roles.courses(spark, sf_dir), roles.enrollments(spark, sf_dir)).drop("completed")
-    return B.ranked(table, [F.desc("total_enrollments"), F.asc_nulls_last("department")])
+    return B.ranked(table, [F.desc("total_enrollments"), F.asc_nulls_last("department")], None)
 
 
 @register("grade_distribution_ranked", O.with_roles(body="""
@@ -852,7 +851,7 @@ select row_number() over (order by count desc, grade) as position, *
 from (select grade, count(*) as count from enrollments where grade is not null group by grade)"""))
 def q_grade_distribution_ranked(spark, sf_dir):
     """A3 with its order as a column."""
-    return B.ranked(A.grade_distribution(roles.enrollments(spark, sf_dir)).drop("percentage"), [F.desc("count"), "grade"])
+    return B.ranked(A.grade_distribution(roles.enrollments(spark, sf_dir)).drop("percentage"), [F.desc("count"), "grade"], None)
 
 
 @register("at_risk_page", O.with_roles(body=f"""
@@ -860,7 +859,7 @@ select row_number() over (order by gpa, student_id) as position, student_id, gpa
 from students where gpa < {T} qualify position <= 100"""))
 def q_at_risk_page(spark, sf_dir):
     """The first hundred at-risk students in order."""
-    return B.ranked(B.at_risk(roles.students(spark, sf_dir), T).select("student_id", "gpa"), ["gpa", "student_id"])
+    return B.ranked(B.at_risk(roles.students(spark, sf_dir), T).select("student_id", "gpa"), ["gpa", "student_id"], 100)
 
 
 @register("at_risk_active_page", O.with_roles(body=f"""
@@ -868,7 +867,7 @@ select row_number() over (order by gpa, student_id) as position, student_id, gpa
 from students where gpa < {T} and is_active qualify position <= 100"""))
 def q_at_risk_active_page(spark, sf_dir):
     """the first hundred active at-risk students in order."""
-    return B.ranked(B.at_risk_active(roles.students(spark, sf_dir), T).select("student_id", "gpa"), ["gpa", "student_id"])
+    return B.ranked(B.at_risk_active(roles.students(spark, sf_dir), T).select("student_id", "gpa"), ["gpa", "student_id"], 100)
 
 
 @register("course_table_page", O.with_roles(O.PER_COURSE, O.COURSE_ROLLUP, body="""
@@ -877,7 +876,7 @@ from course_rollup qualify position <= 100"""))
 def q_course_table_page(spark, sf_dir):
     """The first hundred rows of the table in the chosen order."""
     table = B.sort_table(course_rollup(spark, sf_dir), "average_grade_point", ascending=True)
-    return B.ranked(table.select("course_id", "average_grade_point"), [F.asc_nulls_last("average_grade_point"), "course_id"])
+    return B.ranked(table.select("course_id", "average_grade_point"), [F.asc_nulls_last("average_grade_point"), "course_id"], 100)
 
 
 @register("course_metrics_department", O.with_roles(O.PER_COURSE, O.COURSE_ROLLUP, body=f"""
@@ -930,8 +929,8 @@ def q_scored_linear(spark, sf_dir):
 # agreement of every derived column with the probability it came from.
 
 def _job(spark, sf_dir):
-    """The reports search a smaller grid, given explicitly (the full one takes hours)."""
-    return J.train_job(spark, sf_dir, J.JobConfig(grids=M.SMALL_GRIDS))
+    """The one run that the reports share: the full grids, 5 folds."""
+    return J.train_job(spark, sf_dir)
 
 
 def _grid_size(axes: dict) -> int:
@@ -948,16 +947,22 @@ def q_cv_table(spark, sf_dir):
 
 @register("cv_checks", "\nunion all\n".join(
     f"select '{name}' as model, {_grid_size(axes)} as grid_size, {M.REFERENCE_GRID_SIZES[name]} as reference_grid_size, "
-    f"true as mean_in_range, true as params_from_grid" for name, axes in M.SMALL_GRIDS.items()))
+    f"true as mean_in_range, true as params_from_grid" for name, axes in M.FULL_GRIDS.items()))
 def q_cv_checks(spark, sf_dir):
     trained = _job(spark, sf_dir).trained
-    chosen = {n: all(v in M.SMALL_GRIDS[n][axis] for axis, v in t.best_params.items()) for n, t in trained.items()}
+    chosen = {n: all(v in M.FULL_GRIDS[n][axis] for axis, v in t.best_params.items()) for n, t in trained.items()}
     params = F.coalesce(*[F.when(F.col("model") == n, F.lit(ok)) for n, ok in chosen.items()])
     return M.cv_table(spark, trained).select(
         "model", "grid_size", "reference_grid_size", F.col("cv_mean").between(0.0, 1.0).alias("mean_in_range"),
         params.alias("params_from_grid"))
 
 
+@register("grid_points")
+def q_grid_points(spark, sf_dir):
+    """M5: every point of the three grids with its mean area under ROC over the folds."""
+    return _job(spark, sf_dir).grid
+
+
 @register("training_summary")
 def q_training_summary(spark, sf_dir):
     return M.training_summary(spark, _job(spark, sf_dir).trained)
@@ -969,7 +974,7 @@ def q_model_test_metrics(spark, sf_dir):
     return _job(spark, sf_dir).metrics
 
 
-_MODELS_SQL = ", ".join(f"('{m}')" for m in M.SMALL_GRIDS)
+_MODELS_SQL = ", ".join(f"('{m}')" for m in M.FULL_GRIDS)
 
 
 @register("model_metrics_checks", O.with_roles(*SPLIT_CTES, body=f"""
@@ -1081,3 +1086,6 @@ select student_id, true as sums_to_one, true as class_agrees, true as tier_agree
 from requests where {_reason_sql(_request_rule_sql())} is null"""))
 def q_scored_external_checks(spark, sf_dir):
     return _score_checks(q_scored_external(spark, sf_dir))
+
+
+from . import extended  # noqa: E402,F401  (registers its queries)
