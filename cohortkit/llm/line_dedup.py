@@ -165,49 +165,56 @@ def is_similar(a: Column, b: Column, size_a, size_b, threshold: float) -> Column
 
 
 def links_of(pairs: DataFrame, lines: DataFrame, threshold: float, chars: int = SHINGLE_CHARS) -> DataFrame:
-    """(a, b): the pairs of line keys whose shingle sets are similar."""
+    """The rows of ``pairs(a, b, ...)`` whose lines have similar shingle sets."""
     side = lambda x: lines.select(F.col("k1").alias(x), F.col("line").alias(f"line_{x}"), F.col("size").alias(f"n_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.filter(is_similar(shingles(F.col("line_a"), chars), shingles(F.col("line_b"), chars), "n_a", "n_b", threshold)).select("a", "b")
+    return both.filter(is_similar(shingles(F.col("line_a"), chars), shingles(F.col("line_b"), chars), "n_a", "n_b", threshold)).select(*pairs.columns)
 
 
 def hub_pairs(live: DataFrame, low: int, high: int, threshold: float) -> DataFrame:
-    """(a, b): the lines whose turn as a hub comes in this round, with the lines of their bands that they
-    may be similar to and are not yet connected with."""
+    """(a, b, root_a, root_b): the lines whose turn as a hub comes in this round, with the lines of their bands
+    that they may be similar to and are not yet connected with."""
     hubs = live.filter((F.col("turn") >= low) & (F.col("turn") < high)).alias("h")
     first = F.array_min(F.array_intersect("h.bands", "x.bands"))
     return hubs.join(live.alias("x"), (F.col("h.band") == F.col("x.band")) & (F.col("h.root") != F.col("x.root"))
                      & (F.struct("h.turn", "h.k1") < F.struct("x.turn", "x.k1")) & sizes_allow("h.size", "x.size", threshold)
-                     & (first == F.col("h.band"))).select(F.col("h.k1").alias("a"), F.col("x.k1").alias("b"))
+                     & (first == F.col("h.band"))).select(F.col("h.k1").alias("a"), F.col("x.k1").alias("b"),
+                                                          F.col("h.root").alias("root_a"), F.col("x.root").alias("root_b"))
 
 
-def torn_members(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The rows of ``members`` with their present roots, of the bands that hold more than one component."""
-    if roots is not None:
-        members = members.drop("root").join(roots, F.col("k1") == F.col("node"), "left").withColumn("root", F.coalesce("root", "k1")).drop("node")
+def torn_members(members: DataFrame, merged: DataFrame) -> DataFrame:
+    """The rows of ``members`` with the roots that ``merged(node, root)`` gives their present ones, of the bands
+    that still hold more than one component."""
+    members = members.withColumnRenamed("root", "old").join(merged, F.col("old") == F.col("node"), "left").withColumn(
+        "root", F.coalesce("root", "old")).drop("old", "node")
     torn = members.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
     return members.join(torn, "band", "left_semi")
 
 
+def followed(roots: DataFrame, merged: DataFrame) -> DataFrame:
+    """(node, root): ``roots`` carried on by ``merged``, which joins its roots and lines that had no link yet."""
+    moved = roots.alias("r").join(merged.alias("m"), F.col("r.root") == F.col("m.node"), "left").select(
+        "r.node", F.coalesce("m.root", "r.root").alias("root"))
+    return moved.unionAll(merged.join(roots.select("node"), "node", "left_anti").select("node", "root"))
+
+
 def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS,
                   chars: int = SHINGLE_CHARS) -> DataFrame:
     """(node, root) over the keys of different lines that are linked."""
     lines = candidates(docs, bands, rows, chars)
     live = written(members_of(lines), "line-live")
-    links, roots, low, hubs = None, None, 0, FIRST_HUBS
+    roots, low, hubs = None, 0, FIRST_HUBS
     while True:
         most = live.agg(F.max("n").alias("n")).first()["n"] or 0
         if low >= most:
             break
-        found = written(links_of(hub_pairs(live, low, low + hubs, threshold), lines, threshold, chars), "line-links")
-        done = [live]
-        if links is not None:
-            done += [links, found, roots]
-            found = written(links.unionAll(found), "line-links")
-        links, joined = found, components(found, "line-roots")
-        roots = written(joined, "line-roots")
-        live = written(torn_members(live, roots), "line-live")
-        freed(joined, *done)
+        links = written(links_of(hub_pairs(live, low, low + hubs, threshold), lines, threshold, chars)
+                        .select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "line-links")
+        merged = components(links, "line-roots")               # of the components so far
+        done = [links, merged, live] + ([roots] if roots is not None else [])
+        roots = written(merged if roots is None else followed(roots, merged), "line-roots")
+        live = written(torn_members(live, merged), "line-live")
+        freed(*done)
         low, hubs = low + hubs, hubs * MORE_HUBS
     if roots is None:
         roots = lines.select(F.col("k1").alias("node"), F.col("k1").alias("root")).limit(0)

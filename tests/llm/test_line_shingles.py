@@ -84,7 +84,7 @@ def test_lines_at_exactly_the_threshold_across_components_link(spark):
                                  "band long, k1 long, size int, bands array<long>, turn double, root long")
     assert len(full_shingles(text[:40]) & full_shingles(text[4:])) == 28
     pairs = L.hub_pairs(live, 0, 4, 0.8)
-    assert [tuple(r) for r in pairs.collect()] == [tuple(r) for r in L.links_of(pairs, lines, 0.8).collect()] == [(1, 2)]
+    assert [tuple(r) for r in pairs.collect()] == [tuple(r) for r in L.links_of(pairs, lines, 0.8).collect()] == [(1, 2, 1, 2)]
     assert L.hub_pairs(live, 1, 4, 0.8).collect() == []            # the second line's turn: its pair is done
     assert L.hub_pairs(live.withColumn("root", F.lit(1)), 0, 4, 0.8).collect() == []
 
@@ -92,7 +92,31 @@ def test_lines_at_exactly_the_threshold_across_components_link(spark):
 def test_a_pair_is_compared_in_its_first_band_only(spark):
     rows = [(b, k, 30, [3, 5], k + 0.1 * b, k) for b in (3, 5) for k in (1, 2, 3)]
     live = spark.createDataFrame(rows, "band long, k1 long, size int, bands array<long>, turn double, root long")
-    assert sorted(map(tuple, L.hub_pairs(live, 0, 9, 0.8).collect())) == [(1, 2), (1, 3), (2, 3)]
+    assert sorted(map(tuple, L.hub_pairs(live, 0, 9, 0.8).select("a", "b").collect())) == [(1, 2), (1, 3), (2, 3)]
+
+
+def test_roots_are_carried_on(spark):
+    ddl = "node long, root long"
+    roots = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5)], ddl)
+    merged = spark.createDataFrame([(1, 1), (5, 1), (9, 1), (20, 20), (21, 20)], ddl)
+    assert sorted(map(tuple, L.followed(roots, merged).collect())) == [(1, 1), (2, 1), (5, 1), (6, 1), (9, 1), (20, 20), (21, 20)]
+
+
+def test_chains_that_join_over_several_rounds_match_brute_force(spark, monkeypatch):
+    """One hub a round at first, so that components merge round by round."""
+    monkeypatch.setattr(L, "FIRST_HUBS", 1)
+    monkeypatch.setattr(L, "MORE_HUBS", 2)
+    rng = random.Random(21)
+    letters, text, rows = "abcdefghijklmnopqrstuvwxyz ", [], []
+    text = [rng.choice(letters) for _ in range(120)]
+    for d in range(90):
+        text[rng.randrange(120)] = rng.choice(letters)
+        if d % 30 == 29:
+            text = [rng.choice(letters) for _ in range(120)]
+        rows.append((d, "".join(text) + "."))
+    rng.shuffle(rows)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    assert kept(spark, rows) == brute_kept(rows)
 
 
 def test_bands_find_pairs_at_the_threshold(spark):
