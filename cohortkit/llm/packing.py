@@ -12,15 +12,18 @@ is below 0.1 % of all tokens.
 
 Texts cross one shuffle; ids are produced after it and never cross another.
 
-Token ids: the vocabulary file may be a byte-level BPE as ``tokenizers`` JSON or
-as ``tiktoken`` ranks.  The registered query names the JSON; the same vocabulary's
-ranks give the same ids some four times faster (``tests/llm/test_packing.py``
-holds them against each other), so ``encoder`` uses the ranks beside it if there.
-
-Defined cases: a NULL or empty text is the separator alone; special-token strings
-in a text are ordinary text; repeated rows are packed one by one; a NULL
-``doc_id`` is packed like any other; an empty table gives no rows; other columns
-are not read.
+Token ids are those of ``tokenizers`` on the JSON file with add_special_tokens=False:
+the string of an added token (``<|endoftext|>``) in a text gives that token's id.  The same
+vocabulary's ``tiktoken`` ranks give the same ids some four times faster, so ``encoder``
+uses the ranks beside the JSON if they are there and every added token is matched as
+plain text: the text is cut at the added tokens, the ranks do the rest
+(``tests/llm/test_packing.py`` holds both against each other).
+
+Defined cases: a NULL or empty text is the separator alone; repeated rows are packed
+one by one, and dealt to groups by their place in the input, so that equal rows do not
+meet in one group; a text of any length is one row of its group (its ids in memory);
+ties in size go by (doc_id, text); a NULL ``doc_id`` is packed like any other; an empty
+table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,25 +44,37 @@ SCHEMA = ("doc_id long, start long, length long, doc_tokens long, sequence_id lo
 _ENCODERS: dict = {}
 
 
+def added_tokens(path: str) -> dict[str, int] | None:
+    """The added tokens of a ``tokenizers`` file, or None if one of them is not matched as plain text."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f).get("added_tokens", [])
+    if any(t.get(flag) for t in tokens for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        return None
+    return {t["content"]: t["id"] for t in tokens}
+
+
 def encoder(path: str):
     """A function from texts to lists of ids, loaded once per Python worker."""
     if path not in _ENCODERS:
         import os
 
         ranks = path.removesuffix(".json") + ".tiktoken" if path.endswith(".json") else path
-        if ranks.endswith(".tiktoken") and os.path.exists(ranks):
+        added = added_tokens(path) if path.endswith(".json") else {}
+        if added is not None and ranks.endswith(".tiktoken") and os.path.exists(ranks):
             import base64
 
             import public_tokenizers
             import tiktoken
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            enc = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-            _ENCODERS[path] = lambda texts: [enc.encode_ordinary(t) for t in texts]
+            enc = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=added)
+            _ENCODERS[path] = lambda texts: [enc.encode(t, allowed_special="all") if any(x in t for x in added) else
+                                             enc.encode_ordinary(t) for t in texts]
         else:
             from tokenizers import Tokenizer
             tok = Tokenizer.from_file(path)
-            tok.encode_special_tokens = True
             _ENCODERS[path] = lambda texts: [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
     return _ENCODERS[path]
 
@@ -142,8 +157,8 @@ def pack(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, separato
         names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
         return pa.table([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, out)], names=names)
 
-    # one partition per group at most; the group number itself spreads them evenly
-    group = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(groups))
+    # one partition per group at most; the group number itself spreads them evenly, equal rows by their place
+    group = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text", F.monotonically_increasing_id()), F.lit(groups))
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", group.alias("packing_group"))
             .groupBy("packing_group").applyInArrow(run, SCHEMA))
 

@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -41,15 +41,35 @@ def test_every_id_lies_in_one_piece(lengths):
 
 def tokenizer_ids(texts):
     tok = Tokenizer.from_file(JSON)
-    tok.encode_special_tokens = True
     return [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
+@settings(deadline=None)
 @given(st.lists(st.text(max_size=60), max_size=8))
 def test_ranks_give_the_tokenizers_ids(texts):
     assert P.encoder(JSON)(texts) == tokenizer_ids(texts)
 
 
+@settings(deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", " ", "\n", "a word", "<", "|>", "é"]), max_size=12))
+def test_added_tokens_in_a_text_give_their_ids(parts):
+    text = "".join(parts)
+    assert P.encoder(JSON)([text]) == tokenizer_ids([text])
+
+
+def test_an_added_token_is_one_id():
+    assert P.encoder(JSON)(["<|endoftext|>"]) == [[50256]]
+
+
+def test_equal_rows_are_dealt_over_groups(spark):
+    rows = spark.range(0, 4000, 1, 4).selectExpr("7L AS doc_id", "'the same text' AS text")
+    out = P.pack(rows, JSON, group_docs=500).selectExpr("sequence_id >> 32 AS g", "length", "doc_tokens", "start").collect()
+    per = {}
+    for r in out:
+        per[r["g"]] = per.get(r["g"], 0) + (r["start"] == 0)
+    assert sum(per.values()) == 4000 and len(per) == 8 and max(per.values()) < 700
+
+
 def check(rows, out, texts):
     ids = {}
     for d, t in texts:
