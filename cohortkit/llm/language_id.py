@@ -24,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import read_table
 
@@ -35,7 +36,11 @@ WINDOW_CHARS = 240
 STEPS = 240
 SEED = 3
 PAD = 256                # byte value of positions past a chunk's end
-LETTER = re.compile(r"[^\W\d_]")
+WORDY = re.compile(r"[^\W\d_]")         # letters, and a few numerals that are none
+
+
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in WORDY.finditer(text))
 
 
 @dataclass
@@ -194,18 +199,25 @@ def remainder(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chars: int = WINDOW_CHARS) -> list[tuple[str, str]]:
-    """At most about ``docs_per_lang`` windows per language of the documents that may be learned from."""
+    """At most ``docs_per_lang`` windows per language of the documents that may be learned from.
+
+    Rows are drawn by a hash of id and text.  A drawing for about twice the bound is then
+    cut to the bound in the order of the draw, so equal rows, which share a draw, cannot
+    exceed it; each task keeps no more than the bound of a language.
+    """
     learn = docs.filter((remainder(F.col("doc_id")) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     # one number per language, as many as the model has outputs
     counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return []
-    n = F.element_at(F.create_map(*[F.lit(x) for pair in counts.items() for x in pair]), F.col("lang"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1_000_000))
+    n = F.element_at(F.create_map(*[F.lit(x) for pair in counts.items() for x in pair]), F.col("lang")).cast("double")
+    draw = F.xxhash64("doc_id", "text", F.lit("draw"))
     start = 1 + F.pmod(F.xxhash64("doc_id", F.lit("start")), F.greatest(F.length("text") - chars, F.lit(0)) + 1)
-    picked = (learn.filter(draw * n <= F.lit(1_000_000 * docs_per_lang))
-              .select("lang", "doc_id", F.substring("text", start.cast("int"), F.lit(chars)).alias("window")))
-    return [(r["window"], r["lang"]) for r in picked.orderBy("lang", "doc_id", "window").collect()]
+    picked = (learn.select("lang", "doc_id", draw.alias("draw"), F.substring("text", start.cast("int"), F.lit(chars)).alias("window"), n.alias("n"))
+              .filter((F.col("draw").cast("double") / 2.0 ** 64 + 0.5) * F.col("n") <= F.lit(2.0 * docs_per_lang + 40)))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "window"))
+    kept = picked.withColumn("place", place).filter(F.col("place") <= docs_per_lang)
+    return [(r["window"], r["lang"]) for r in kept.orderBy("lang", "doc_id", "window").collect()]
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -216,7 +228,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         for b in batches:
             texts = b.column(2)
             known = [t.as_py() for t in texts]
-            letters = np.array([t is not None and LETTER.search(t) is not None for t in known], bool)
+            letters = np.array([t is not None and has_letter(t) for t in known], bool)
             lang, score = np.full(len(known), "und", object), np.zeros(len(known))
             if model and letters.any():
                 used = [t.encode() if ok else b"" for t, ok in zip(known, letters)]

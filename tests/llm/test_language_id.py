@@ -38,6 +38,45 @@ def test_pooling_reads_every_position():
     assert np.allclose(alone[0], p[2], atol=1e-6)
 
 
+def test_probabilities_match_a_plain_pass_byte_by_byte():
+    """One text at a time, one byte at a time, with the states starting anew every CHUNK bytes."""
+    m = L.new_model(["a", "b", "c"], hidden=4)
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(piece, d):
+        n, h, out = m.recur[d].shape[1], np.zeros(m.recur[d].shape[1]), []
+        for b in piece if d == 0 else reversed(piece):
+            g, a = m.table[d][:, b].astype(float), m.recur[d].astype(float) @ h
+            z, r = sig(g[:n] + a[:n]), sig(g[n:2 * n] + a[n:2 * n])
+            h = h + z * (np.tanh(g[2 * n:] + r * a[2 * n:]) - h)
+            out.append(h)
+        return out if d == 0 else out[::-1]
+    rng = np.random.default_rng(4)
+    texts = [bytes(rng.integers(0, 256, k).tolist()) for k in (1, 5, 127, 128, 129, 400)]
+    got = L.document_probabilities(m, np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    for text, p in zip(texts, got):
+        want = np.zeros(3)
+        for at in range(0, len(text), L.CHUNK):
+            piece = list(text[at:at + L.CHUNK])
+            for f, g in zip(states(piece, 0), states(piece, 1)):
+                e = np.exp(m.out.astype(float) @ np.concatenate([f, g]) + m.bias[:, 0])
+                want += e / e.sum()
+        assert np.allclose(p, want / len(text), atol=1e-4)
+
+
+def test_numerals_are_no_letters():
+    assert [L.has_letter(t) for t in ("", "12 ²½①", "_", "² a", "é", "日", "ʰ")] == [False, False, False, True, True, True, True]
+
+
+def test_equal_rows_do_not_exceed_the_sample(spark):
+    df = spark.range(0, 30_000).selectExpr("2L AS doc_id", "'one text again and again' AS text", "'en' AS lang").unionAll(
+        spark.range(100, 3000).selectExpr("id AS doc_id", "concat('ein text ', id) AS text", "'de' AS lang"))
+    per = {}
+    for _, lang in L.training_sample(df, 50):
+        per[lang] = per.get(lang, 0) + 1
+    assert per["de"] == 50 and per.get("en", 0) <= 50
+
+
 def test_edge_rows(spark):
     de, en = "der die und nicht schön über straße ", "the of and with this that there "
     rows = [(i, (de if i % 2 else en) * 8, "de" if i % 2 else "en") for i in range(60)]
