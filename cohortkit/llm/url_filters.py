@@ -8,7 +8,9 @@ interval contains its fetch day.
 1. ``intervals``: one change per (list, pattern, day) (a drop wins over an add of
    the same day), valid until the pattern's next change.
 2. ``url_keys``: what an entry may name of a URL: its host, every parent domain of
-   two labels or more, and the host with every leading part of its path.
+   two labels or more, and the host with every leading part of its path.  Only
+   keys of a shape (number of labels or path parts) that the lists hold are made,
+   so a very long URL costs time linear in its length.
 3. ``decide``: captures first shrink to the distinct (key, day) pairs, so a host
    that holds a third of all captures probes the lists once a day; the pairs meet
    the intervals by key, and the best active entry of each pair returns to the
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import read_table, whole_row, written
+from .common import let, read_table, whole_row, written
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
@@ -42,16 +44,29 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def url_keys(url: Column) -> Column:
-    """Every pattern that could name this URL."""
-    labels = F.split(host_of(url), r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))),
-                          lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def shapes(changes: DataFrame) -> DataFrame:
+    """One row (labels, depths): how many labels the lists' domains have, and how many parts their paths."""
+    pattern = F.col("pattern")
+    slashes = F.length(pattern) - F.length(F.replace(pattern, F.lit("/")))
+    return changes.filter(pattern.isNotNull()).agg(
+        F.collect_set(F.when(slashes == 0, F.size(F.split(pattern, r"\.")))).alias("labels"),
+        F.collect_set(F.when(slashes > 0, slashes)).alias("depths"))
+
+
+def url_keys(url: Column, label_counts: Column, depths: Column) -> Column:
+    """Every pattern of those shapes that could name this URL: its host, a parent domain of two labels or
+    more, or the host with a leading part of its path.  The cost is linear in the URL for each shape."""
+    def keys(host, labels, parts):
+        n = F.size(labels)
+        domains = F.transform(F.filter(label_counts, lambda k: (k <= n) & ((k >= 2) | (n == 1))),
+                              lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
+        paths = F.transform(F.filter(depths, lambda d: d <= F.size(parts)),
+                            lambda d: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), d), "/")))
+        return F.array_distinct(F.concat(domains, paths))
     parts = F.filter(F.split(F.regexp_extract(url, PATH, 1), "/"), lambda p: p != "")
-    paths = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(
-        host_of(url), F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))).otherwise(F.array())
-    return F.when(host_of(url).isNull(), F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.concat(domains, paths)))
+    found = let(F.struct(host_of(url).alias("host"), F.split(host_of(url), r"\.").alias("labels"), parts.alias("parts")),
+                lambda u: keys(u["host"], u["labels"], u["parts"]))
+    return F.when(host_of(url).isNull(), F.array().cast("array<string>")).otherwise(found)
 
 
 def intervals(changes: DataFrame) -> DataFrame:
@@ -69,7 +84,8 @@ def decide(captures: DataFrame, changes: DataFrame) -> DataFrame:
     base = captures.select(whole_row(captures).alias("_row"), F.col("url").alias("u"), F.col("fetched").alias("f"),
                            F.monotonically_increasing_id().alias("rid"))
     base = written(base.withColumn("host", host_of(F.col("u"))), "url-captures")
-    probes = base.select("rid", F.col("f").alias("day"), F.explode(url_keys(F.col("u"))).alias("key"))
+    probes = base.crossJoin(F.broadcast(shapes(changes))).select(       # one row of distinct small numbers
+        "rid", F.col("f").alias("day"), F.explode(url_keys(F.col("u"), F.col("labels"), F.col("depths"))).alias("key"))
     pairs = probes.filter(F.col("day").isNotNull()).select("key", "day").distinct()
     entry = F.struct(F.length("pattern").alias("len"), F.col("allows").alias("allows"), F.col("list").alias("list"),
                      F.col("pattern").alias("pattern"), F.col("valid_from").alias("valid_from"))

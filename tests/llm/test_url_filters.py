@@ -39,6 +39,17 @@ def test_validity_and_precedence(spark):
     assert all(r["list"] is None for r in U.decide(captures, changes.limit(0)).collect())
 
 
+def test_very_long_urls_take_linear_time(spark):
+    import time
+    changes = spark.createDataFrame([("block", 0, "bad.com", "add", D(1)), ("allow", 1, "bad.com/x/x/x", "add", D(1)),
+                                     ("block", 0, "one", "add", D(1))], CHANGES)
+    captures = spark.createDataFrame([(1, "http://bad.com/" + "x/" * 60_000, D(2)), (2, "http://" + "a." * 40_000 + "bad.com/", D(2)),
+                                      (3, "http://one/", D(2)), (4, "http://a.one/", D(2))], "page_id int, url string, fetched date")
+    began = time.time()
+    got = {r["_row"]["page_id"]: r["pattern"] for r in U.decide(captures, changes).collect()}
+    assert got == {1: "bad.com/x/x/x", 2: "bad.com", 3: "one", 4: None} and time.time() - began < 40
+
+
 def test_registered_query_matches_its_sql(spark):
     path = "/root/testdata/sf0.001"
     con = duckdb.connect()
