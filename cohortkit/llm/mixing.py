@@ -13,14 +13,16 @@
    a seeded start.  How many words of a document fall into those blocks is
    arithmetic on its offset, so blocks are never materialised.
 
-Only the per-source and per-shard tables (a few numbers a row) are apportioned
-by windows; documents are only ordered inside a shard of bounded size, and a
-source holding a third of all rows simply has more shards.
+Only the per-source and per-shard tables (a few numbers a row, at most
+``MAX_SHARDS`` a source) are apportioned by windows; documents are dealt to shards
+and ordered there by a digest of id and text, and a source holding a third of all
+rows simply has more shards.
 
 Defined cases: a NULL text has size 0 and takes 0 words; the NULL source is a
-source of its own and comes last; a source with no words gets target 0; equal
-rows are mixed as separate rows; a NULL ``doc_id`` is ordered like any other
-value; an empty table gives an empty result; columns of the input other than
+source of its own and comes last; a source with no words gets target 0; a very long
+text spans many blocks of its shard; equal rows are mixed as separate rows, one after
+the other; rows of one ``doc_id`` with different texts go by the digest, and a NULL
+``doc_id`` is ordered like any other value; an empty table gives an empty result; columns of the input other than
 ``doc_id``, ``text`` and ``source`` are never read, and ``mixed_documents``
 passes them on unchanged.
 """
@@ -35,6 +37,7 @@ from .common import read_table, whole_row, word_count, words, written
 
 BLOCK_WORDS = 32
 SHARD_WORDS = 500_000
+MAX_SHARDS = 100_000     # of a source; beyond it shards grow
 SEED = 7
 BUDGET = 1.5
 MAX_REPEAT = 2
@@ -125,7 +128,8 @@ def shard_quotas(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_
                         [F.col("source").asc_nulls_last()], "blocks")
     sources = written(sources.select(
         F.col("source").alias("_s"), "source_size", "target", "blocks",
-        F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long").alias("n_shards")), "mix-sources")
+        F.least(F.lit(MAX_SHARDS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))).cast("long").alias("n_shards")),
+        "mix-sources")
     shards = (with_shard(sizes, sources).groupBy("_s", "shard", "blocks")
               .agg(F.sum("size").alias("shard_size")))
     shards = apportion(shards, F.col("blocks"), F.col("shard_size"), ["_s"], [F.col("shard")])
@@ -173,7 +177,7 @@ def chosen_before(j) -> Column:
 
 
 def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    return docs.withColumn("size", word_count(F.col("text"))).withColumn("digest", _digest(seed, F.col("doc_id")))
+    return docs.withColumn("size", word_count(F.col("text"))).withColumn("digest", _digest(seed, F.col("doc_id"), F.col("text")))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_repeat: int = MAX_REPEAT,
@@ -216,7 +220,7 @@ OP9_SQL = f"""
 with d as (
   select doc_id, source,
          case when text is null then 0 else len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) end::bigint as size,
-         md5('{SEED}|' || coalesce(doc_id::varchar, '~')) as digest
+         md5('{SEED}|' || coalesce(doc_id::varchar, '~') || '|' || coalesce(text, '~')) as digest
   from documents),
 src as (select source, sum(size)::bigint as source_size from d group by source),
 w as (
@@ -244,7 +248,7 @@ seated as (
     select source, seats, row_number() over (order by quotient desc, source asc nulls last, k) as r from quot)
   where r <= seats group by source),
 sources as (
-  select t.*, coalesce(b.blocks, 0) as blocks, greatest(1, ceil(t.source_size / {SHARD_WORDS}.0))::bigint as n_shards
+  select t.*, coalesce(b.blocks, 0) as blocks, least({MAX_SHARDS}, greatest(1, ceil(t.source_size / {SHARD_WORDS}.0)))::bigint as n_shards
   from tgt t left join seated b on t.source is not distinct from b.source),
 sharded as (
   select d.*, s.source_size, s.target, s.blocks, ('0x' || substr(d.digest, 1, 8))::bigint % s.n_shards as shard

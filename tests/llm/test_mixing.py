@@ -85,6 +85,18 @@ def test_mixed_documents_hold_the_taken_words(spark):
     assert mixed == {d: n for d, n in taken.items() if n}
 
 
+def test_rows_without_an_id_are_dealt_over_shards_and_ties_have_an_order(spark):
+    rows = [(None, f"text {i} of four words", "s") for i in range(3000)] + [(5, f"tie {i % 40} x y", "s") for i in range(400)]
+    df = spark.createDataFrame(rows, DDL)
+    out = M.mix(df, shard_words=1000).collect()
+    per = {}
+    for r in out:
+        per[r["shard"]] = per.get(r["shard"], 0) + 1
+    assert len(per) > 10 and max(per.values()) < 600
+    texts = lambda part: sorted((r["doc_id"] or -1, r["text"]) for r in M.mixed_documents(part, budget=0.4, shard_words=1000).collect())
+    assert texts(df) == texts(df.repartition(5).orderBy(F.desc("text")))
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], DDL)
     assert M.mix(df).collect() == [] and M.mixed_documents(df).collect() == []
