@@ -8,7 +8,7 @@ assigned to a leaf.
 A query descends best-bin-first: a priority queue holds nodes by the inner
 product with their centre, the best is opened first, and leaves are visited until
 the calibrated number is reached (and, whatever it is, until they hold as many
-rows as are asked for).  Calibration widens the visits: for ``CALIBRATION``
+rows of other ids as are asked for).  Calibration widens the visits: for ``CALIBRATION``
 queries the exact neighbours are found among all rows, and the number of visits is
 the smallest whose mean recall is at least ``RECALL``.
 
@@ -134,11 +134,11 @@ def best_bins(tree: Tree, scores: np.ndarray):
             heapq.heappush(queue, (-scores[kid], kid))
 
 
-def visits(tree: Tree, scores: np.ndarray, counts: np.ndarray, least: int, k: int) -> list[int]:
-    """Leaves to visit: ``least`` of them, and on until they hold more than ``k`` rows."""
+def visits(tree: Tree, scores: np.ndarray, counts: np.ndarray, least: int, k: int, own: int = 1) -> list[int]:
+    """Leaves to visit: ``least`` of them, and on until they hold ``k`` rows besides the ``own`` of the query's id."""
     out, rows = [], 0
     for leaf in best_bins(tree, scores):
-        if len(out) >= least and rows > k:
+        if len(out) >= least and rows >= k + own:
             break
         out.append(leaf)
         rows += counts[leaf]
@@ -260,16 +260,19 @@ def search(table: DataFrame, every: int = 20, k: int = K, target: float = RECALL
     rows, n, d = usable(table)
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    draw = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(1_000_000))
-    points = [r["embedding"] for r in rows.filter(draw * n <= 1_000_000 * sample).orderBy("vec_id", "embedding")
-              .select("embedding").collect()] or [rows.first()["embedding"]]
+    # a draw for every row, equal rows by their place in the input; about twice the bound, then cut to it
+    draw = F.xxhash64("vec_id", "embedding", F.monotonically_increasing_id())
+    drawn = rows.select("embedding", draw.alias("draw")).filter(
+        (F.col("draw").cast("double") / 2.0 ** 64 + 0.5) * n <= F.lit(2.0 * sample + 1000))
+    points = [r["embedding"] for r in drawn.orderBy("draw").limit(sample).collect()] or [rows.first()["embedding"]]
     tree = fit(np.array(points, np.float64))
     rows = written(in_leaves(rows, tree, d), "ann-rows")
     per_leaf = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()      # at most MAX_LEAVES rows
     counts = np.zeros(tree.leaves, np.int64)
     for r in per_leaf:
         counts[r["leaf"]] = r["n"]
-    queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(
+        F.min("embedding").alias("embedding"), F.count(F.lit(1)).alias("own"))
     n_queries = queries.count()
     least = calibrate(tree, rows, queries, max(1, n_queries), k, d, target, calibration)
 
@@ -279,7 +282,7 @@ def search(table: DataFrame, every: int = 20, k: int = K, target: float = RECALL
             if not b.num_rows:
                 continue
             scores = vectors(b.column(1), d) @ tree.centers.T
-            where = [visits(tree, s, counts, least, k) for s in scores]
+            where = [visits(tree, s, counts, least, k, own) for s, own in zip(scores, b.column(2).to_pylist())]
             at = np.repeat(np.arange(b.num_rows), [len(w) for w in where])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)),
                                               pa.array(np.concatenate(where).astype(np.int64))],
@@ -295,7 +298,8 @@ def search(table: DataFrame, every: int = 20, k: int = K, target: float = RECALL
     def own(col, n):
         return F.pmod(F.xxhash64(col, F.lit(SEED)), F.col(n)).cast("int")
 
-    left = rows.join(blocks, "leaf").select("leaf", own("vec_id", "rbs").alias("rb"), F.explode(
+    place = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id(), F.lit(SEED)), F.col("rbs")).cast("int")    # rows of one id apart
+    left = rows.join(blocks, "leaf").select("leaf", place.alias("rb"), F.explode(
         F.sequence(F.lit(0), F.col("qbs") - 1)).alias("qb"), "vec_id", "embedding")
     right = sent.join(blocks, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("rbs") - 1)).alias("rb"),
                                              own("query_id", "qbs").alias("qb"), "query_id", "query")

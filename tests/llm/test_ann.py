@@ -73,3 +73,25 @@ def test_double_vectors_keep_their_precision(spark):
     vecs = rng.normal(size=(60, 5))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
     assert collect(A.search(df, target=1.0)) == brute(list(range(60)), vecs)
+
+
+def test_many_rows_of_the_querys_own_id_do_not_crowd_out_others(spark):
+    rng = np.random.default_rng(6)
+    near = rng.normal(size=8)
+    rows = [(0, (near + 1e-3 * rng.normal(size=8)).tolist()) for _ in range(900)]
+    rows += [(i, rng.normal(size=8).tolist()) for i in range(1, 200) if i % 20]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collect(A.search(df, target=0.01, row_block=100, calibration=1))
+    assert len(got[0]) == 20 and all(v != 0 for v, _ in got[0])
+
+
+def test_equal_rows_do_not_exceed_the_sample(spark):
+    df = spark.range(0, 5000, 1, 4).selectExpr("20L AS vec_id", "array(1.0D, 2.0D) AS embedding").unionAll(
+        spark.range(5000, 6000).selectExpr("id AS vec_id", "array(cos(id), sin(id)) AS embedding"))
+    seen = []
+    keep, A.fit = A.fit, lambda points, *a, **k: seen.append(len(points)) or keep(points, *a, **k)
+    try:
+        got = collect(A.search(df, sample=300))
+    finally:
+        A.fit = keep
+    assert 200 <= seen[0] <= 300 and len(got[20]) == 20
