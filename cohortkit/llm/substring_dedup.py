@@ -231,7 +231,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, crowded
         raise ValueError("window and anchor may differ by 31 words at most")
     found = find_segments(docs, window, anchor)
     keys = found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    shared = written(found.join(keys.select("key"), "key"), "substring-shared")
+    # written first: the join then reads a plain table and the skew join can split a key's occurrences
+    keys = written(keys.select("key"), "substring-keys")
+    shared = written(found.join(keys, "key"), "substring-shared")
 
     segs = shared.groupBy("key", "seg").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
     busy = segs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowded).select("key")
