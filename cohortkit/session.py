@@ -29,6 +29,10 @@ _DEFAULTS = {
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
                   app_name: str = "cohortkit", extra: dict | None = None,
                   driver_memory: str = "12g") -> SparkSession:
+    # Python workers of a local session import this package too, whatever folder the driver was started in
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    os.environ["PYTHONPATH"] = os.pathsep.join([root, *(p for p in known if p != root)])
     builder = SparkSession.builder.master(master).appName(app_name)
     conf = dict(_DEFAULTS)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
