@@ -89,10 +89,9 @@ def train_job(spark: SparkSession, sf_dir: str, cfg: JobConfig | None = None) ->
     cfg = cfg or JobConfig()
     run = run_id(spark, sf_dir, cfg)
     published = shared_path(spark, "published-runs", run)
-    try:
-        return load_run(spark, spark.read.text(published).orderBy("value").first()["value"])
-    except (AnalysisException, FileNotFoundError):
-        pass
+    found = found_run(spark, published)
+    if found is not None:
+        return found
     path = shared_path(spark, "runs", run, unique=True)
     engineered = checkpointed(feature_frame(spark, sf_dir, cfg.as_of))
     classes = checkpointed(X.major_classes(engineered))
@@ -132,6 +131,20 @@ def train_job(spark: SparkSession, sf_dir: str, cfg: JobConfig | None = None) ->
     return load_run(spark, path)
 
 
+def found_run(spark: SparkSession, published: str) -> JobResult | None:
+    """The first published run whose files are still there."""
+    try:
+        paths = spark.read.text(published).orderBy("value").collect()        # one line a driver that trained it
+    except AnalysisException:
+        return None
+    for r in paths:
+        try:
+            return load_run(spark, r["value"])
+        except FileNotFoundError:
+            continue
+    return None
+
+
 def importance_rows(spark: SparkSession, trained: dict, feats: list[str]) -> DataFrame:
     """E8 / E9 of every model: (model, kind, feature, importance); linear models give
     coefficients, trees importances."""

@@ -36,6 +36,15 @@ def test_a_run_is_found_again_and_another_config_is_not(spark, result, monkeypat
     assert jobs.run_id(spark, SF, jobs.JobConfig(grids=GRIDS, folds=3)) != jobs.run_id(spark, SF, cfg)
 
 
+def test_a_published_run_whose_files_are_gone_is_passed_over(spark, result, tmp_path):
+    listed = str(tmp_path / "published")
+    assert jobs.found_run(spark, listed) is None
+    spark.createDataFrame([(str(tmp_path / "gone"),)], "value string").write.text(listed)
+    assert jobs.found_run(spark, listed) is None
+    spark.createDataFrame([(result.path,)], "value string").write.mode("append").text(listed)
+    assert jobs.found_run(spark, listed).path == result.path
+
+
 def test_metrics_history_grows(spark, result):
     rows = spark.read.parquet(session.shared_path(spark, "metrics_history"))
     assert rows.select("run_id").distinct().count() >= 1
