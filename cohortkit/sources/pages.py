@@ -19,15 +19,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..llm.common import freed, written
+
+FILE_ROWS = 500_000      # rows of a file at most, about: a task sorts one
+
 
 def sort_keys(order: list[str]) -> list[Column]:
     return [F.asc_nulls_first(c) for c in order]
 
 
 def write_sorted(df: DataFrame, path: str, order: list[str], files: int) -> str:
-    """Write ``df`` under ``path`` in about ``files`` sorted files, with their directory."""
+    """Write ``df`` under ``path`` in about ``files`` sorted files, with their directory.
+
+    There are more files if one would hold over ``FILE_ROWS`` rows, so the memory of a task that
+    sorts one does not grow with the table.  The rows are written unsorted first: counting them and
+    sampling their key reads files instead of computing ``df`` again."""
     spark = df.sparkSession
-    df.repartitionByRange(files, *sort_keys(order)).sortWithinPartitions(*sort_keys(order)).write.mode("overwrite").parquet(f"{path}/rows")
+    rows = written(df, "unsorted-pages")
+    files = max(files, -(-rows.count() // FILE_ROWS))
+    rows.repartitionByRange(files, *sort_keys(order)).sortWithinPartitions(*sort_keys(order)).write.mode("overwrite").parquet(f"{path}/rows")
+    freed(rows)
     # struct comparison puts NULL first, as the layout does
     found = (spark.read.schema(df.schema).parquet(f"{path}/rows").select(F.input_file_name().alias("file"), *order).groupBy("file")
              .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("first")))

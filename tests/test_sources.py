@@ -54,3 +54,13 @@ def test_score_unknown_model_is_an_error(spark):
                          test_success_rate=0.0, as_of="", classes=None)
     with pytest.raises(ValueError):
         jobs.score_students(spark, "/root/testdata/sf0.001", res, model_name="nope")
+
+
+def test_sorted_layout_has_more_files_for_more_rows(spark, tmp_path, monkeypatch):
+    """A task sorts a bounded number of rows: the files grow with the table, whatever number is asked for."""
+    from cohortkit.sources import pages as P
+    monkeypatch.setattr(P, "FILE_ROWS", 50)
+    path = P.write_sorted(spark.range(1000).selectExpr("1000 - id as k"), str(tmp_path / "t"), ["k"], 2)
+    files = spark.read.parquet(f"{path}/directory").collect()
+    assert len(files) > 10 and sum(r["n"] for r in files) == 1000 and max(r["n"] for r in files) < 200
+    assert [r["k"] for r in P.page_at(spark, path, ["k"], 480, 5).collect()] == [481, 482, 483, 484, 485]
