@@ -15,6 +15,9 @@ component stays: its first occurrence by (doc_id, line number).
    same wherever it begins; the minima stay in the partitions that the first step made.
 3. Only lines that share a band with another line go on, with their text, which is
    smaller than its shingles.
+   A line's sketch is a bitmap with a bit for every shingle, by hash.  A bit that one line has and
+   another has not stands for at least one shingle that the other has not, so sketches bound
+   the shared shingles from above, and a pair whose bound is too low is dropped unread.
 4. Links are searched in rounds.  In a band with lines of different components some
    lines, eight at first and four times as many each round, are hubs: they are compared
    with the lines of other components, in the first band that both share.  Exact Jaccard
@@ -39,6 +42,7 @@ read (``deduplicated`` passes them on).
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +56,7 @@ THRESHOLD = 0.8
 BANDS = 8
 ROWS = 3
 SEED = 11
+SKETCH_WORDS = 8                  # 64-bit words of a line's sketch
 FIRST_HUBS, MORE_HUBS = 8, 4      # hubs of a band in the first round, and how many times as many in each later one
 
 
@@ -83,6 +88,16 @@ def shingle_set(line: Column, chars: int = SHINGLE_CHARS) -> Column:
     return F.array_distinct(shingles(line, chars))
 
 
+def sketch(hashes: Column, words: int = SKETCH_WORDS) -> Column:
+    """A bitmap of ``words`` 64-bit words in which every hash sets the bit that its lowest bits name."""
+    bits = F.array_distinct(F.transform(hashes, lambda h: h.bitwiseAND(F.lit(64 * words - 1).cast("long")).cast("int")))
+
+    def word(own, w):
+        return F.aggregate(F.filter(own, lambda i: F.shiftright(i, 6) == w), F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(
+            F.call_function("shiftleft", F.lit(1).cast("long"), i.bitwiseAND(F.lit(63)))))
+    return let(bits, lambda own: F.array(*[word(own, w) for w in range(words)]))
+
+
 def with_row_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("rid", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()))
 
@@ -128,17 +143,18 @@ def candidates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, chars: int
     found = (banded(lines, bands, rows, chars).withColumn("n", n).filter("n > 1").groupBy("k1", "k2")
              .agg(F.sort_array(F.collect_set("band")).alias("bands")))
     # both sides are dealt by the keys that the exchange of the distinct lines made, and share it
-    return written(lines.join(found, ["k1", "k2"]).select(
-        "k1", "line", F.size(shingle_set(F.col("line"), chars)).alias("size"), "bands"), "line-candidates")
+    own = let(shingle_set(F.col("line"), chars), lambda x: F.struct(F.size(x).alias("size"), sketch(x).alias("sketch")))
+    return written(lines.join(found, ["k1", "k2"]).select("k1", "line", "bands", own.alias("own"))
+                   .select("k1", "line", "own.size", "bands", "own.sketch"), "line-candidates")
 
 
 def members_of(lines: DataFrame) -> DataFrame:
-    """(band, k1, size, bands, n, turn, root) of the candidates; a line's turn in a band of n lines is even over
+    """(band, k1, size, bands, sketch, n, turn, root) of the candidates; a line's turn in a band of n lines is even over
     0 .. n, by hash."""
-    each = lines.select(F.explode("bands").alias("band"), "k1", "size", "bands")
+    each = lines.select(F.explode("bands").alias("band"), "k1", "size", "bands", "sketch")
     counts = lines.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("n"))
     turn = (F.xxhash64("band", "k1").cast("double") / 2.0 ** 64 + 0.5) * F.col("n")
-    return each.join(counts, "band").select("band", "k1", "size", "bands", "n", turn.alias("turn"), F.col("k1").alias("root"))
+    return each.join(counts, "band").select("band", "k1", "size", "bands", "sketch", "n", turn.alias("turn"), F.col("k1").alias("root"))
 
 
 def ratio(threshold: float) -> tuple[int, int]:
@@ -159,6 +175,14 @@ def sizes_allow(a, b, threshold: float) -> Column:
     return reaches(F.least(a, b), F.col(a) + F.col(b), threshold)
 
 
+def sketches_allow(a, b, size_a, size_b, threshold: float, words: int = SKETCH_WORDS) -> Column:
+    """Can sets of these sketches and sizes reach the threshold?  Never false for sets that do."""
+    def left(x, y):
+        return reduce(Column.__add__, [F.bit_count(F.get(x, F.lit(w)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(w))))) for w in range(words)])
+    most = F.least(F.col(size_a) - left(a, b), F.col(size_b) - left(b, a))
+    return reaches(most, F.col(size_a) + F.col(size_b), threshold)
+
+
 def is_similar(a: Column, b: Column, size_a, size_b, threshold: float) -> Column:
     """Exact Jaccard of the different elements of two arrays, whose numbers are known."""
     return reaches(F.size(F.array_intersect(a, b)), F.col(size_a) + F.col(size_b), threshold)
@@ -173,11 +197,14 @@ def links_of(pairs: DataFrame, lines: DataFrame, threshold: float, chars: int =
 
 def hub_pairs(live: DataFrame, low: int, high: int, threshold: float) -> DataFrame:
     """(a, b, root_a, root_b): the lines whose turn as a hub comes in this round, with the lines of their bands
-    that they may be similar to and are not yet connected with."""
+    that they may be similar to and are not yet connected with; ``live`` may have no sketches."""
     hubs = live.filter((F.col("turn") >= low) & (F.col("turn") < high)).alias("h")
     first = F.array_min(F.array_intersect("h.bands", "x.bands"))
+    allowed = sizes_allow("h.size", "x.size", threshold)
+    if "sketch" in live.columns:
+        allowed = allowed & sketches_allow("h.sketch", "x.sketch", "h.size", "x.size", threshold)
     return hubs.join(live.alias("x"), (F.col("h.band") == F.col("x.band")) & (F.col("h.root") != F.col("x.root"))
-                     & (F.struct("h.turn", "h.k1") < F.struct("x.turn", "x.k1")) & sizes_allow("h.size", "x.size", threshold)
+                     & (F.struct("h.turn", "h.k1") < F.struct("x.turn", "x.k1")) & allowed
                      & (first == F.col("h.band"))).select(F.col("h.k1").alias("a"), F.col("x.k1").alias("b"),
                                                           F.col("h.root").alias("root_a"), F.col("x.root").alias("root_b"))
 

@@ -88,3 +88,20 @@ def test_registered_query_matches_brute_force(spark, sf):
     want = {d: k for (d, _), k in brute_kept(rows).items()}
     got = {r["doc_id"]: r["kept"] for r in L.op10_line_dedup(spark, path).collect()}
     assert got == want
+
+
+def test_hubs_meet_only_lines_that_may_be_similar(spark):
+    """Lines with half their shingles in common share bands, but are not paired; similar ones all are."""
+    rng = random.Random(5)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    head = some(80)
+    far = [head + some(60) for _ in range(60)]
+    near = [far[0][:-1] + c for c in "QRS"]
+    docs = spark.createDataFrame([(1, "\n".join(far + near))], "doc_id long, text string")
+    lines = L.candidates(docs)
+    text = {r["k1"]: r["line"] for r in lines.collect()}
+    assert len(text) > 40
+    pairs = L.hub_pairs(L.members_of(lines), 0, 1000, L.THRESHOLD).collect()
+    found = {frozenset((text[r["a"]], text[r["b"]])) for r in pairs}
+    similar = {frozenset((a, b)) for a in [far[0], *near] for b in [far[0], *near] if a != b}
+    assert similar <= found and len(found) < len(similar) + 20
