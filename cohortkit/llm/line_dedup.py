@@ -15,11 +15,12 @@ component stays: its first occurrence by (doc_id, line number).
    same wherever it begins; the minima stay in the partitions that the first step made.
 3. Only lines that share a band with another line go on, with their text, which is
    smaller than its shingles.
-   A line's sketch is a bitmap with a bit for every shingle, by hash.  A bit that one line has and
+   A line's sketch is a bitmap with a bit for every shingle, by hash, and at least four bits a
+   shingle (up to 2048 shingles), so few shingles fall together.  A bit that one line has and
    another has not stands for at least one shingle that the other has not, so sketches bound
    the shared shingles from above, and a pair whose bound is too low is dropped unread.
 4. Links are searched in rounds.  In a band with lines of different components some
-   lines, eight at first and four times as many each round, are hubs: they are compared
+   lines, eight at first and 64 times as many each round, are hubs: they are compared
    with the lines of other components, in the first band that both share.  Exact Jaccard
    decides, the links join components, and a band that is whole is done.  Every pair of a
    band is compared, or is found connected before its turn, so no link is lost; a large
@@ -56,8 +57,9 @@ THRESHOLD = 0.8
 BANDS = 8
 ROWS = 3
 SEED = 11
-SKETCH_WORDS = 8                  # 64-bit words of a line's sketch
-FIRST_HUBS, MORE_HUBS = 8, 4      # hubs of a band in the first round, and how many times as many in each later one
+BLOCK = 8                         # 64-bit words in a block of a line's sketch
+SKETCH_BLOCKS = 16                # blocks of a sketch at most
+FIRST_HUBS, MORE_HUBS = 8, 64     # hubs of a band in the first round, and how many times as many in each later one
 
 
 def _has_word(line: Column) -> Column:
@@ -88,14 +90,27 @@ def shingle_set(line: Column, chars: int = SHINGLE_CHARS) -> Column:
     return F.array_distinct(shingles(line, chars))
 
 
-def sketch(hashes: Column, words: int = SKETCH_WORDS) -> Column:
-    """A bitmap of ``words`` 64-bit words in which every hash sets the bit that its lowest bits name."""
-    bits = F.array_distinct(F.transform(hashes, lambda h: h.bitwiseAND(F.lit(64 * words - 1).cast("long")).cast("int")))
+def sketch_blocks(n: Column, most: int = SKETCH_BLOCKS) -> Column:
+    """Blocks of the sketch of a line with ``n`` shingles: the least power of two with four bits a shingle, up to ``most``."""
+    return reduce(lambda w, k: F.when(n * 4 <= 64 * BLOCK * k, F.lit(k)).otherwise(w),
+                  [2 ** i for i in reversed(range(most.bit_length() - 1))], F.lit(most))
 
-    def word(own, w):
-        return F.aggregate(F.filter(own, lambda i: F.shiftright(i, 6) == w), F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(
-            F.call_function("shiftleft", F.lit(1).cast("long"), i.bitwiseAND(F.lit(63)))))
-    return let(bits, lambda own: F.array(*[word(own, w) for w in range(words)]))
+
+def sketches(lines: DataFrame, chars: int = SHINGLE_CHARS, most: int = SKETCH_BLOCKS) -> DataFrame:
+    """(k1, k2, sketch) for the lines of ``lines(k1, k2, line)``: a bitmap in which every shingle sets the bit that the lowest
+    bits of its hash name."""
+    data = lines.select("k1", "k2", wide(F.col("line")).alias("data")).withColumn("at", starts(F.col("data"), chars))
+    hashed = (data.select("k1", "k2", "data", sketch_blocks(F.size("at"), most).alias("blocks"), F.explode("at").alias("i"))
+              .select("k1", "k2", "blocks", shingle_hash(F.col("data"), F.col("i"), chars).alias("h")))
+    low = lambda n: F.col("h").bitwiseAND(F.lit(n - 1).cast("long"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), low(64).cast("int"))
+    block = F.shiftright("h", 6 + (BLOCK - 1).bit_length()).bitwiseAND((F.col("blocks") - 1).cast("long")).cast("int")
+    words = [F.coalesce(F.bit_or(F.when(F.shiftright(low(64 * BLOCK), 6) == w, bit)), F.lit(0).cast("long")) for w in range(BLOCK)]
+    own = hashed.groupBy("k1", "k2", "blocks", block.alias("b")).agg(F.array(*words).alias("words"))
+    full = F.map_from_entries(F.collect_list(F.struct("b", "words")))
+    none = F.array_repeat(F.lit(0).cast("long"), BLOCK)
+    return own.groupBy("k1", "k2", "blocks").agg(full.alias("of")).select("k1", "k2", F.flatten(F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.coalesce(F.try_element_at("of", b), none))).alias("sketch"))
 
 
 def with_row_key(docs: DataFrame) -> DataFrame:
@@ -129,10 +144,11 @@ def banded(lines: DataFrame, bands: int = BANDS, rows: int = ROWS, chars: int =
     data = lines.select("k1", "k2", wide(F.col("line")).alias("data"))
     hashed = (data.select("k1", "k2", "data", F.explode(starts(F.col("data"), chars)).alias("i"))
               .select("k1", "k2", shingle_hash(F.col("data"), F.col("i"), chars).alias("h")))
-    minima = hashed.groupBy("k1", "k2", part_of(F.col("h"), bands * rows).alias("part")).agg(F.min("h").alias("m"))
-    own = lambda r: F.coalesce(F.max(F.when(F.col("part") % rows == r, F.col("m"))), F.lit(r).cast("long"))
-    of_band = minima.groupBy("k1", "k2", F.floor(F.col("part") / rows).alias("b")).agg(*[own(r).alias(f"m{r}") for r in range(rows)])
-    return of_band.select("k1", "k2", F.xxhash64("b", *[f"m{r}" for r in range(rows)]).alias("band"))
+    part = part_of(F.col("h"), bands * rows)
+    parted = hashed.select("k1", "k2", F.floor(part / rows).cast("int").alias("b"), (part % rows).alias("r"), "h")
+    least = lambda r: F.coalesce(F.min(F.when(F.col("r") == r, F.col("h"))), F.lit(r).cast("long"))
+    of_band = parted.groupBy("k1", "k2", "b").agg(*[least(r).alias(f"m{r}") for r in range(rows)])
+    return of_band.select("k1", "k2", F.xxhash64(F.col("b").cast("long"), *[f"m{r}" for r in range(rows)]).alias("band"))
 
 
 def candidates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, chars: int = SHINGLE_CHARS) -> DataFrame:
@@ -142,10 +158,13 @@ def candidates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, chars: int
     n = F.count(F.lit(1)).over(W.partitionBy("band"))
     found = (banded(lines, bands, rows, chars).withColumn("n", n).filter("n > 1").groupBy("k1", "k2")
              .agg(F.sort_array(F.collect_set("band")).alias("bands")))
-    # both sides are dealt by the keys that the exchange of the distinct lines made, and share it
-    own = let(shingle_set(F.col("line"), chars), lambda x: F.struct(F.size(x).alias("size"), sketch(x).alias("sketch")))
-    return written(lines.join(found, ["k1", "k2"]).select("k1", "line", "bands", own.alias("own"))
-                   .select("k1", "line", "own.size", "bands", "own.sketch"), "line-candidates")
+    # all sides are dealt by the keys that the exchange of the distinct lines made, and share it
+    some = written(lines.join(found, ["k1", "k2"]).select("k1", "k2", "line", "bands"), "line-banded")
+    sized = some.join(sketches(some, chars), ["k1", "k2"]).select(
+        "k1", "line", F.size(shingle_set(F.col("line"), chars)).alias("size"), "bands", "sketch")
+    out = written(sized, "line-candidates")
+    freed(some)
+    return out
 
 
 def members_of(lines: DataFrame) -> DataFrame:
@@ -175,12 +194,19 @@ def sizes_allow(a, b, threshold: float) -> Column:
     return reaches(F.least(a, b), F.col(a) + F.col(b), threshold)
 
 
-def sketches_allow(a, b, size_a, size_b, threshold: float, words: int = SKETCH_WORDS) -> Column:
-    """Can sets of these sketches and sizes reach the threshold?  Never false for sets that do."""
+def sketches_allow(a, b, size_a, size_b, threshold: float) -> Column:
+    """Can sets of these sketches and sizes reach the threshold?  Never false for sets that do.  Of sketches with different
+    numbers of words the longer one is folded to the shorter one's, which is the sketch it would have had at that length."""
+    def folded(x, to):
+        whole = F.sequence(F.lit(0), F.size(to) - 1)
+        return F.when(F.size(x) <= F.size(to), x).otherwise(F.transform(whole, lambda i: F.aggregate(
+            F.sequence(i, F.size(x) - 1, F.size(to)), F.lit(0).cast("long"), lambda v, j: v.bitwiseOR(F.get(x, j)))))
+
     def left(x, y):
-        return reduce(Column.__add__, [F.bit_count(F.get(x, F.lit(w)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(w))))) for w in range(words)])
-    most = F.least(F.col(size_a) - left(a, b), F.col(size_b) - left(b, a))
-    return reaches(most, F.col(size_a) + F.col(size_b), threshold)
+        return F.aggregate(F.zip_with(folded(x, y), folded(y, x), lambda v, w: F.bit_count(v.bitwiseAND(F.bitwise_not(w)))),
+                           F.lit(0), lambda total, n: total + n)
+    a, b, both = F.col(a), F.col(b), F.col(size_a) + F.col(size_b)
+    return reaches(F.col(size_a) - left(a, b), both, threshold) & reaches(F.col(size_b) - left(b, a), both, threshold)
 
 
 def is_similar(a: Column, b: Column, size_a, size_b, threshold: float) -> Column:
@@ -200,13 +226,13 @@ def hub_pairs(live: DataFrame, low: int, high: int, threshold: float) -> DataFra
     that they may be similar to and are not yet connected with; ``live`` may have no sketches."""
     hubs = live.filter((F.col("turn") >= low) & (F.col("turn") < high)).alias("h")
     first = F.array_min(F.array_intersect("h.bands", "x.bands"))
-    allowed = sizes_allow("h.size", "x.size", threshold)
-    if "sketch" in live.columns:
+    allowed = sizes_allow("h.size", "x.size", threshold) & (first == F.col("h.band"))
+    if "sketch" in live.columns:                     # the dearest test comes last
         allowed = allowed & sketches_allow("h.sketch", "x.sketch", "h.size", "x.size", threshold)
     return hubs.join(live.alias("x"), (F.col("h.band") == F.col("x.band")) & (F.col("h.root") != F.col("x.root"))
-                     & (F.struct("h.turn", "h.k1") < F.struct("x.turn", "x.k1")) & allowed
-                     & (first == F.col("h.band"))).select(F.col("h.k1").alias("a"), F.col("x.k1").alias("b"),
-                                                          F.col("h.root").alias("root_a"), F.col("x.root").alias("root_b"))
+                     & (F.struct("h.turn", "h.k1") < F.struct("x.turn", "x.k1")) & allowed).select(
+                         F.col("h.k1").alias("a"), F.col("x.k1").alias("b"),
+                         F.col("h.root").alias("root_a"), F.col("x.root").alias("root_b"))
 
 
 def torn_members(members: DataFrame, merged: DataFrame) -> DataFrame:

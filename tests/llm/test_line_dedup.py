@@ -105,3 +105,50 @@ def test_hubs_meet_only_lines_that_may_be_similar(spark):
     found = {frozenset((text[r["a"]], text[r["b"]])) for r in pairs}
     similar = {frozenset((a, b)) for a in [far[0], *near] for b in [far[0], *near] if a != b}
     assert similar <= found and len(found) < len(similar) + 20
+
+
+def test_lines_of_a_large_group_just_under_the_threshold_are_not_paired(spark):
+    """Long near copies with similarities from 0.6 to 0.8: few pairs are left, and no similar one is missing."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnop"
+    base = [rng.choice(letters) for _ in range(540)]
+    group = []
+    for _ in range(60):
+        copy = base.copy()
+        for at in rng.sample(range(0, 540, 20), 6):
+            copy[at] = rng.choice("QRSTUVWXYZ")
+        group.append("".join(copy))
+    lines = L.candidates(spark.createDataFrame([(1, "\n".join(group))], "doc_id long, text string"))
+    text = {r["k1"]: r["line"] for r in lines.collect()}
+    assert len(text) > 40
+    found = {frozenset((text[r["a"]], text[r["b"]])) for r in L.hub_pairs(L.members_of(lines), 0, 1000, L.THRESHOLD).collect()}
+    sets = {x: shingle_set(x) for x in text.values()}
+    alike = lambda p, least: (lambda a, b: len(a & b) >= least * len(a | b))(*(sets[x] for x in p))
+    pairs = [frozenset((a, b)) for a in sets for b in sets if a < b]
+    assert sum(not alike(p, 0.75) for p in pairs) > 500
+    assert all(alike(p, 0.75) for p in found)
+
+
+def test_sketches_never_deny_similar_lines(spark):
+    """Lines of many lengths, around the lengths where a sketch doubles: folded sketches bound the shared shingles too."""
+    rng = random.Random(9)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz é😀") for _ in range(n))
+    pairs = []
+    for n in (1, 9, 30, 130, 136, 140, 260, 264, 270, 520, 530, 1030, 2050, 4200):
+        for _ in range(6):
+            a = some(n)
+            cut = rng.randrange(n + 1)
+            pairs.append((a, a[:cut] + some(rng.randrange(n // 5 + 2)) + a[cut:]))
+        pairs += [(a, a + some(n // 4)), (a, some(n)), ("ab" * n, "ab" * (n + 9))]
+    keyed = [(i, i, x) for i, x in enumerate(x for p in pairs for x in p)]
+    own = L.sketches(spark.createDataFrame(keyed, "k1 long, k2 long, line string")).collect()
+    sketch = {r["k1"]: r["sketch"] for r in own}
+    assert len({len(x) for x in sketch.values()}) == 5 and max(map(len, sketch.values())) == L.BLOCK * L.SKETCH_BLOCKS
+    rows = [(i, sketch[2 * i], sketch[2 * i + 1], len(shingle_set(a)), len(shingle_set(b))) for i, (a, b) in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "i int, a array<long>, b array<long>, n int, m int")
+    denied = 0
+    for r in df.select("i", L.sketches_allow("a", "b", "n", "m", 0.8).alias("may"), L.sketches_allow("b", "a", "m", "n", 0.8).alias("turned")).collect():
+        a, b = map(shingle_set, pairs[r["i"]])
+        assert r["may"] == r["turned"] and (r["may"] or 10 * len(a & b) < 8 * len(a | b)), pairs[r["i"]]
+        denied += not r["may"]
+    assert denied >= 20
