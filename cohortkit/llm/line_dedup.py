@@ -19,10 +19,12 @@ component stays: its first occurrence by (doc_id, line number).
    shingle (up to 2048 shingles), so few shingles fall together.  A bit that one line has and
    another has not stands for at least one shingle that the other has not, so sketches bound
    the shared shingles from above, and a pair whose bound is too low is dropped unread.
-4. Links are searched in rounds.  In a band with lines of different components some
+4. Links are searched in rounds.  In the first one every two lines that share a band of at most eight lines are
+   compared, each pair once however many bands it shares; only their keys meet in a band, and a pair is joined with
+   its lines.  In a larger band with lines of different components some
    lines, eight at first and 64 times as many each round, are hubs: they are compared
    with the lines of other components, in the first band that both share.  Exact Jaccard
-   decides, the links join components, and a band that is whole is done.  Every pair of a
+   decides, the links join components, and a band that is whole, or whose lines all were hubs, is done.  Every pair of a
    band is compared, or is found connected before its turn, so no link is lost; a large
    group of near copies is connected after a few rounds, at a cost linear in its size.
    Which lines are hubs in a round follows from a hash and the band's count, so nothing is
@@ -57,6 +59,7 @@ THRESHOLD = 0.8
 BANDS = 8
 ROWS = 3
 SEED = 11
+BANDS_A_ROW = 2                   # bands whose minima are one row while they are looked for
 BLOCK = 8                         # 64-bit words in a block of a line's sketch
 SKETCH_BLOCKS = 16                # blocks of a sketch at most
 FIRST_HUBS, MORE_HUBS = 8, 64     # hubs of a band in the first round, and how many times as many in each later one
@@ -103,10 +106,11 @@ def sketches(lines: DataFrame, chars: int = SHINGLE_CHARS, most: int = SKETCH_BL
     hashed = (data.select("k1", "k2", "data", sketch_blocks(F.size("at"), most).alias("blocks"), F.explode("at").alias("i"))
               .select("k1", "k2", "blocks", shingle_hash(F.col("data"), F.col("i"), chars).alias("h")))
     low = lambda n: F.col("h").bitwiseAND(F.lit(n - 1).cast("long"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), low(64).cast("int"))
     block = F.shiftright("h", 6 + (BLOCK - 1).bit_length()).bitwiseAND((F.col("blocks") - 1).cast("long")).cast("int")
-    words = [F.coalesce(F.bit_or(F.when(F.shiftright(low(64 * BLOCK), 6) == w, bit)), F.lit(0).cast("long")) for w in range(BLOCK)]
-    own = hashed.groupBy("k1", "k2", "blocks", block.alias("b")).agg(F.array(*words).alias("words"))
+    set_bits = hashed.select("k1", "k2", "blocks", block.alias("b"), F.shiftright(low(64 * BLOCK), 6).cast("int").alias("w"),
+                             F.call_function("shiftleft", F.lit(1).cast("long"), low(64).cast("int")).alias("bit"))
+    words = [F.coalesce(F.bit_or(F.when(F.col("w") == w, F.col("bit"))), F.lit(0).cast("long")) for w in range(BLOCK)]
+    own = set_bits.groupBy("k1", "k2", "blocks", "b").agg(F.array(*words).alias("words"))
     full = F.map_from_entries(F.collect_list(F.struct("b", "words")))
     none = F.array_repeat(F.lit(0).cast("long"), BLOCK)
     return own.groupBy("k1", "k2", "blocks").agg(full.alias("of")).select("k1", "k2", F.flatten(F.transform(
@@ -144,34 +148,49 @@ def banded(lines: DataFrame, bands: int = BANDS, rows: int = ROWS, chars: int =
     data = lines.select("k1", "k2", wide(F.col("line")).alias("data"))
     hashed = (data.select("k1", "k2", "data", F.explode(starts(F.col("data"), chars)).alias("i"))
               .select("k1", "k2", shingle_hash(F.col("data"), F.col("i"), chars).alias("h")))
-    part = part_of(F.col("h"), bands * rows)
-    parted = hashed.select("k1", "k2", F.floor(part / rows).cast("int").alias("b"), (part % rows).alias("r"), "h")
-    least = lambda r: F.coalesce(F.min(F.when(F.col("r") == r, F.col("h"))), F.lit(r).cast("long"))
-    of_band = parted.groupBy("k1", "k2", "b").agg(*[least(r).alias(f"m{r}") for r in range(rows)])
-    return of_band.select("k1", "k2", F.xxhash64(F.col("b").cast("long"), *[f"m{r}" for r in range(rows)]).alias("band"))
+    # two bands a row: half the rows in the hash table that every shingle meets, and not yet too many comparisons
+    part, wide_row = part_of(F.col("h"), bands * rows), BANDS_A_ROW * rows
+    parted = hashed.select("k1", "k2", F.floor(part / wide_row).cast("int").alias("g"), (part % wide_row).alias("r"), "h")
+    least = parted.groupBy("k1", "k2", "g").agg(*[F.min(F.when(F.col("r") == r, F.col("h"))).alias(f"m{r}") for r in range(wide_row)])
+
+    def band(i: int) -> Column:
+        own = [F.col(f"m{i * rows + r}") for r in range(rows)]
+        filled = [F.coalesce(m, F.lit(r).cast("long")) for r, m in enumerate(own)]
+        return F.when(F.coalesce(*own).isNotNull(), F.xxhash64((F.col("g") * BANDS_A_ROW + i).cast("long"), *filled))
+    return least.select("k1", "k2", F.explode(F.array(*[band(i) for i in range(BANDS_A_ROW)])).alias("band")).filter("band is not null")
 
 
 def candidates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, chars: int = SHINGLE_CHARS) -> DataFrame:
-    """(k1, line, size of the shingle set, bands shared with another line) of the lines that share any."""
+    """(k1, line, size of the shingle set, bands shared with another line, those of more than ``FIRST_HUBS`` lines, sketch) of
+    the lines that share any band; small bands come first in ``bands``, in the same order for all lines."""
     lines = distinct_lines(docs)
     # one exchange by band; the window's frame is a count, so a band's rows stream through (and spill) unsorted
     n = F.count(F.lit(1)).over(W.partitionBy("band"))
     found = (banded(lines, bands, rows, chars).withColumn("n", n).filter("n > 1").groupBy("k1", "k2")
-             .agg(F.sort_array(F.collect_set("band")).alias("bands")))
+             .agg(F.sort_array(F.collect_set(F.when(F.col("n") <= FIRST_HUBS, F.col("band")))).alias("small"),
+                  F.sort_array(F.collect_set(F.when(F.col("n") > FIRST_HUBS, F.col("band")))).alias("crowded"))
+             .select("k1", "k2", F.concat("small", "crowded").alias("bands"), "crowded"))
     # all sides are dealt by the keys that the exchange of the distinct lines made, and share it
-    some = written(lines.join(found, ["k1", "k2"]).select("k1", "k2", "line", "bands"), "line-banded")
+    some = written(lines.join(found, ["k1", "k2"]).select("k1", "k2", "line", "bands", "crowded"), "line-banded")
     sized = some.join(sketches(some, chars), ["k1", "k2"]).select(
-        "k1", "line", F.size(shingle_set(F.col("line"), chars)).alias("size"), "bands", "sketch")
+        "k1", "line", F.size(shingle_set(F.col("line"), chars)).alias("size"), "bands", "crowded", "sketch")
     out = written(sized, "line-candidates")
     freed(some)
     return out
 
 
-def members_of(lines: DataFrame) -> DataFrame:
-    """(band, k1, size, bands, sketch, n, turn, root) of the candidates; a line's turn in a band of n lines is even over
-    0 .. n, by hash."""
-    each = lines.select(F.explode("bands").alias("band"), "k1", "size", "bands", "sketch")
-    counts = lines.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+def pairs_of_small_bands(lines: DataFrame) -> DataFrame:
+    """(a, b, root_a, root_b): every two candidates that share a band of at most ``FIRST_HUBS`` lines, once."""
+    each = lines.select(F.explode(F.array_except("bands", "crowded")).alias("band"), "k1")
+    met = each.select("band", F.col("k1").alias("a")).join(each.select("band", F.col("k1").alias("b")), "band").filter("a < b")
+    return met.select("a", "b").distinct().select("a", "b", F.col("a").alias("root_a"), F.col("b").alias("root_b"))
+
+
+def members_of(lines: DataFrame, bands: str = "bands") -> DataFrame:
+    """(band, k1, size, bands, sketch, n, turn, root) of the candidates, a row for each of a line's ``bands``; a line's turn
+    in a band of n lines is even over 0 .. n, by hash."""
+    each = lines.select(F.explode(bands).alias("band"), "k1", "size", "bands", "sketch")
+    counts = lines.select(F.explode(bands).alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("n"))
     turn = (F.xxhash64("band", "k1").cast("double") / 2.0 ** 64 + 0.5) * F.col("n")
     return each.join(counts, "band").select("band", "k1", "size", "bands", "sketch", "n", turn.alias("turn"), F.col("k1").alias("root"))
 
@@ -215,17 +234,22 @@ def is_similar(a: Column, b: Column, size_a, size_b, threshold: float) -> Column
 
 
 def links_of(pairs: DataFrame, lines: DataFrame, threshold: float, chars: int = SHINGLE_CHARS) -> DataFrame:
-    """The rows of ``pairs(a, b, ...)`` whose lines have similar shingle sets."""
-    side = lambda x: lines.select(F.col("k1").alias(x), F.col("line").alias(f"line_{x}"), F.col("size").alias(f"n_{x}"))
+    """The rows of ``pairs(a, b, ...)`` whose lines have similar shingle sets; ``lines`` may have no sketches."""
+    drawn = "sketch" in lines.columns
+    side = lambda x: lines.select(F.col("k1").alias(x), F.col("line").alias(f"line_{x}"), F.col("size").alias(f"n_{x}"),
+                                  *[F.col("sketch").alias(f"sketch_{x}")] * drawn)
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.filter(is_similar(shingles(F.col("line_a"), chars), shingles(F.col("line_b"), chars), "n_a", "n_b", threshold)).select(*pairs.columns)
+    allowed = sizes_allow("n_a", "n_b", threshold)
+    if drawn:
+        allowed = allowed & sketches_allow("sketch_a", "sketch_b", "n_a", "n_b", threshold)
+    return both.filter(allowed & is_similar(shingles(F.col("line_a"), chars), shingles(F.col("line_b"), chars), "n_a", "n_b", threshold)).select(*pairs.columns)
 
 
 def hub_pairs(live: DataFrame, low: int, high: int, threshold: float) -> DataFrame:
     """(a, b, root_a, root_b): the lines whose turn as a hub comes in this round, with the lines of their bands
     that they may be similar to and are not yet connected with; ``live`` may have no sketches."""
     hubs = live.filter((F.col("turn") >= low) & (F.col("turn") < high)).alias("h")
-    first = F.array_min(F.array_intersect("h.bands", "x.bands"))
+    first = F.get(F.array_intersect("h.bands", "x.bands"), F.lit(0))
     allowed = sizes_allow("h.size", "x.size", threshold) & (first == F.col("h.band"))
     if "sketch" in live.columns:                     # the dearest test comes last
         allowed = allowed & sketches_allow("h.sketch", "x.sketch", "h.size", "x.size", threshold)
@@ -255,22 +279,22 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BA
                   chars: int = SHINGLE_CHARS) -> DataFrame:
     """(node, root) over the keys of different lines that are linked."""
     lines = candidates(docs, bands, rows, chars)
-    live = written(members_of(lines), "line-live")
+    live = written(members_of(lines, "crowded"), "line-live")
     roots, low, hubs = None, 0, FIRST_HUBS
     while True:
-        most = live.agg(F.max("n").alias("n")).first()["n"] or 0
-        if low >= most:
-            break
-        links = written(links_of(hub_pairs(live, low, low + hubs, threshold), lines, threshold, chars)
+        pairs = hub_pairs(live, low, low + hubs, threshold)
+        if roots is None:
+            pairs = pairs.unionByName(pairs_of_small_bands(lines))
+        links = written(links_of(pairs, lines, threshold, chars)
                         .select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "line-links")
         merged = components(links, "line-roots")               # of the components so far
         done = [links, merged, live] + ([roots] if roots is not None else [])
         roots = written(merged if roots is None else followed(roots, merged), "line-roots")
-        live = written(torn_members(live, merged), "line-live")
-        freed(*done)
         low, hubs = low + hubs, hubs * MORE_HUBS
-    if roots is None:
-        roots = lines.select(F.col("k1").alias("node"), F.col("k1").alias("root")).limit(0)
+        live = written(torn_members(live.filter(F.col("n") > low), merged), "line-live")   # of the others all lines were hubs
+        freed(*done)
+        if live.isEmpty():
+            break
     return roots
 
 
