@@ -12,17 +12,20 @@ component stays: its first occurrence by (doc_id, line number).
    minimum.  A band is the hash of ``ROWS`` neighbouring minima; with 8 bands of 3 a pair
    at the threshold shares one with probability 1 - (1 - 0.8^3)^8 = 0.997 or more.
    Lines are sliced in UTF-32, where a character has a fixed width, so a shingle costs the
-   same wherever it begins; the minima stay in the partitions that the first step made.
+   same wherever it begins; the minima stay in the partitions that the first step made, and
+   ``RUN`` neighbouring shingles meet them as one row.
 3. Only lines that share a band with another line go on, with their text, which is
-   smaller than its shingles.
+   smaller than its shingles.  The pairs of bands of at most ``FIRST_HUBS`` lines meet by key
+   and are compared at once; only lines of larger bands get a sketch.
    A line's sketch is a bitmap with a bit for every shingle, by hash, and at least four bits a
    shingle (up to 2048 shingles), so few shingles fall together.  A bit that one line has and
    another has not stands for at least one shingle that the other has not, so sketches bound
    the shared shingles from above, and a pair whose bound is too low is dropped unread.
-4. Links are searched in rounds.  In a band with lines of different components some
+4. Links in the larger bands are searched in rounds.  In a band with lines of different components some
    lines, eight at first and 64 times as many each round, are hubs: they are compared
    with the lines of other components, in the first band that both share.  Exact Jaccard
-   decides, the links join components, and a band that is whole is done.  Every pair of a
+   decides, the links join components, and a band that is whole, or whose lines all were
+   hubs, is done.  Every pair of a
    band is compared, or is found connected before its turn, so no link is lost; a large
    group of near copies is connected after a few rounds, at a cost linear in its size.
    Which lines are hubs in a round follows from a hash and the band's count, so nothing is
@@ -57,6 +60,7 @@ THRESHOLD = 0.8
 BANDS = 8
 ROWS = 3
 SEED = 11
+RUN = 8                           # shingles of a line that meet its minima together
 BLOCK = 8                         # 64-bit words in a block of a line's sketch
 SKETCH_BLOCKS = 16                # blocks of a sketch at most
 FIRST_HUBS, MORE_HUBS = 8, 64     # hubs of a band in the first round, and how many times as many in each later one
@@ -71,9 +75,14 @@ def wide(line: Column) -> Column:
     return F.encode(line, "UTF-32")
 
 
+def last_start(data: Column, chars: int = SHINGLE_CHARS) -> Column:
+    """The byte of a wide line where its last shingle begins, from 1."""
+    return F.greatest(F.lit(1), F.octet_length(data) - (4 * chars - 1))
+
+
 def starts(data: Column, chars: int = SHINGLE_CHARS) -> Column:
     """The bytes of a wide line where its shingles begin, from 1."""
-    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(data) - (4 * chars - 1)), F.lit(4))
+    return F.sequence(F.lit(1), last_start(data, chars), F.lit(4))
 
 
 def shingle_hash(data: Column, start: Column, chars: int = SHINGLE_CHARS) -> Column:
@@ -140,33 +149,55 @@ def part_of(h: Column, parts: int) -> Column:
 
 
 def banded(lines: DataFrame, bands: int = BANDS, rows: int = ROWS, chars: int = SHINGLE_CHARS) -> DataFrame:
-    """(k1, k2, band) for the lines of ``lines(k1, k2, line)``; a band without a minimum gives no row."""
-    data = lines.select("k1", "k2", wide(F.col("line")).alias("data"))
-    hashed = (data.select("k1", "k2", "data", F.explode(starts(F.col("data"), chars)).alias("i"))
-              .select("k1", "k2", shingle_hash(F.col("data"), F.col("i"), chars).alias("h")))
-    part = part_of(F.col("h"), bands * rows)
-    parted = hashed.select("k1", "k2", F.floor(part / rows).cast("int").alias("b"), (part % rows).alias("r"), "h")
-    least = lambda r: F.coalesce(F.min(F.when(F.col("r") == r, F.col("h"))), F.lit(r).cast("long"))
-    of_band = parted.groupBy("k1", "k2", "b").agg(*[least(r).alias(f"m{r}") for r in range(rows)])
-    return of_band.select("k1", "k2", F.xxhash64(F.col("b").cast("long"), *[f"m{r}" for r in range(rows)]).alias("band"))
-
-
-def candidates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, chars: int = SHINGLE_CHARS) -> DataFrame:
-    """(k1, line, size of the shingle set, bands shared with another line) of the lines that share any."""
+    """(k1, k2, band) for the lines of ``lines(k1, k2, line)``; a band without a minimum gives no row.
+
+    ``RUN`` neighbouring shingles are one row, so that the table of minima is met once for all of them; the last
+    shingle of a line fills its last row."""
+    data = lines.select("k1", "k2", wide(F.col("line")).alias("data")).withColumn("last", last_start(F.col("data"), chars))
+    runs = data.select("k1", "k2", "data", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(4 * RUN))).alias("i"))
+    at = [F.least(F.col("i") + 4 * j, F.col("last")) for j in range(RUN)]
+    hashed = runs.select("k1", "k2", *[shingle_hash(F.col("data"), at[j], chars).alias(f"h{j}") for j in range(RUN)])
+    parted = hashed.select("*", *[part_of(F.col(f"h{j}"), bands * rows).alias(f"p{j}") for j in range(RUN)])
+    none = F.lit(2**63 - 1).cast("long")
+    least = lambda p: F.min(F.least(*[F.call_function("if", F.col(f"p{j}") == p, F.col(f"h{j}"), none) for j in range(RUN)]))
+    minima = parted.groupBy("k1", "k2").agg(*[least(p).alias(f"m{p}") for p in range(bands * rows)])
+
+    def band(b):
+        own = [F.col(f"m{b * rows + r}") for r in range(rows)]
+        filled = [F.when(m == none, F.lit(r).cast("long")).otherwise(m) for r, m in enumerate(own)]
+        return F.when(F.least(*own) < none, F.xxhash64(F.lit(b).cast("long"), *filled))
+    return minima.select("k1", "k2", F.explode(F.array(*[band(b) for b in range(bands)])).alias("band")).filter("band IS NOT NULL")
+
+
+def sharing(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, chars: int = SHINGLE_CHARS) -> DataFrame:
+    """(k1, k2, line, of: array of (band, n)) of the lines that share a band; n > 1 lines have it."""
     lines = distinct_lines(docs)
     # one exchange by band; the window's frame is a count, so a band's rows stream through (and spill) unsorted
     n = F.count(F.lit(1)).over(W.partitionBy("band"))
     found = (banded(lines, bands, rows, chars).withColumn("n", n).filter("n > 1").groupBy("k1", "k2")
-             .agg(F.sort_array(F.collect_set("band")).alias("bands")))
-    # all sides are dealt by the keys that the exchange of the distinct lines made, and share it
-    some = written(lines.join(found, ["k1", "k2"]).select("k1", "k2", "line", "bands"), "line-banded")
-    sized = some.join(sketches(some, chars), ["k1", "k2"]).select(
-        "k1", "line", F.size(shingle_set(F.col("line"), chars)).alias("size"), "bands", "sketch")
-    out = written(sized, "line-candidates")
+             .agg(F.collect_list(F.struct("band", "n")).alias("of")))
+    # both sides are dealt by the keys that the exchange of the distinct lines made, and share it
+    return written(lines.join(found, ["k1", "k2"]).select("k1", "k2", "line", "of"), "line-banded")
+
+
+def sketched(lines: DataFrame, least: int = 2, chars: int = SHINGLE_CHARS) -> DataFrame:
+    """(k1, line, size of the shingle set, bands, sketch) of the lines of ``sharing`` in bands of at least ``least`` lines."""
+    bands = F.sort_array(F.transform(F.filter("of", lambda x: x["n"] >= least), lambda x: x["band"]))
+    some = written(lines.select("k1", "k2", "line", bands.alias("bands")).filter(F.size("bands") > 0), "line-some")
+    out = written(some.join(sketches(some, chars), ["k1", "k2"]).select(
+        "k1", "line", F.size(shingle_set(F.col("line"), chars)).alias("size"), "bands", "sketch"), "line-candidates")
     freed(some)
     return out
 
 
+def candidates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, chars: int = SHINGLE_CHARS) -> DataFrame:
+    """(k1, line, size of the shingle set, bands shared with another line, sketch) of the lines that share any."""
+    lines = sharing(docs, bands, rows, chars)
+    out = sketched(lines, chars=chars)
+    freed(lines)
+    return out
+
+
 def members_of(lines: DataFrame) -> DataFrame:
     """(band, k1, size, bands, sketch, n, turn, root) of the candidates; a line's turn in a band of n lines is even over
     0 .. n, by hash."""
@@ -214,11 +245,29 @@ def is_similar(a: Column, b: Column, size_a, size_b, threshold: float) -> Column
     return reaches(F.size(F.array_intersect(a, b)), F.col(size_a) + F.col(size_b), threshold)
 
 
+def are_similar(a: Column, b: Column, threshold: float) -> Column:
+    """Exact Jaccard of the different elements of two arrays; each array is made once.  With n elements in all, repeats
+    included, at most n less those of the union are shared, which spares most pairs the intersection."""
+    def enough(s, union):
+        may = reaches(F.size(s["a"]) + F.size(s["b"]) - union, F.size(s["a"]) + F.size(s["b"]), threshold)
+        return may & let(F.size(F.array_intersect(s["a"], s["b"])), lambda common: reaches(common, union + common, threshold))
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda s: let(F.size(F.array_union(s["a"], s["b"])), lambda union: enough(s, union)))
+
+
 def links_of(pairs: DataFrame, lines: DataFrame, threshold: float, chars: int = SHINGLE_CHARS) -> DataFrame:
     """The rows of ``pairs(a, b, ...)`` whose lines have similar shingle sets."""
-    side = lambda x: lines.select(F.col("k1").alias(x), F.col("line").alias(f"line_{x}"), F.col("size").alias(f"n_{x}"))
+    side = lambda x: lines.select(F.col("k1").alias(x), F.col("line").alias(f"line_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.filter(is_similar(shingles(F.col("line_a"), chars), shingles(F.col("line_b"), chars), "n_a", "n_b", threshold)).select(*pairs.columns)
+    return both.filter(are_similar(shingles(F.col("line_a"), chars), shingles(F.col("line_b"), chars), threshold)).select(*pairs.columns)
+
+
+def small_pairs(lines: DataFrame, most: int) -> DataFrame:
+    """(a, b, root_a, root_b): every pair of lines of ``sharing`` in a band of at most ``most`` lines, once."""
+    members = (lines.select("k1", F.explode("of").alias("x")).filter(F.col("x.n") <= most)
+               .groupBy("x.band").agg(F.sort_array(F.collect_set("k1")).alias("of")))
+    later = members.select(F.posexplode("of").alias("i", "a"), "of").select("a", F.expr("slice(of, i + 2, size(of))").alias("later"))
+    return later.select("a", F.explode("later").alias("b")).distinct().select(
+        "a", "b", F.col("a").alias("root_a"), F.col("b").alias("root_b"))
 
 
 def hub_pairs(live: DataFrame, low: int, high: int, threshold: float) -> DataFrame:
@@ -254,23 +303,27 @@ def followed(roots: DataFrame, merged: DataFrame) -> DataFrame:
 def similar_lines(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS,
                   chars: int = SHINGLE_CHARS) -> DataFrame:
     """(node, root) over the keys of different lines that are linked."""
-    lines = candidates(docs, bands, rows, chars)
-    live = written(members_of(lines), "line-live")
+    lines = sharing(docs, bands, rows, chars)
+    large = sketched(lines, FIRST_HUBS + 1, chars)
+    live = written(members_of(large), "line-live")
+    freed(large)
     roots, low, hubs = None, 0, FIRST_HUBS
     while True:
-        most = live.agg(F.max("n").alias("n")).first()["n"] or 0
-        if low >= most:
-            break
-        links = written(links_of(hub_pairs(live, low, low + hubs, threshold), lines, threshold, chars)
+        pairs = hub_pairs(live, low, low + hubs, threshold)
+        if roots is None:
+            pairs = pairs.unionAll(small_pairs(lines, FIRST_HUBS)).distinct()
+        links = written(links_of(pairs, lines, threshold, chars)
                         .select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "line-links")
         merged = components(links, "line-roots")               # of the components so far
         done = [links, merged, live] + ([roots] if roots is not None else [])
         roots = written(merged if roots is None else followed(roots, merged), "line-roots")
-        live = written(torn_members(live, merged), "line-live")
-        freed(*done)
         low, hubs = low + hubs, hubs * MORE_HUBS
-    if roots is None:
-        roots = lines.select(F.col("k1").alias("node"), F.col("k1").alias("root")).limit(0)
+        # a band whose lines all had their turn is done
+        live = written(torn_members(live.filter(F.col("n") > low), merged), "line-live")
+        freed(*done)
+        if live.isEmpty():
+            break
+    freed(lines, live)
     return roots
 
 

@@ -137,3 +137,53 @@ def test_bands_find_pairs_at_the_threshold(spark):
         bands.setdefault(r["k1"], set()).add(r["band"])
     missed = sum(not bands[k] & bands[k + 1] for k, _ in rows[::2])
     assert missed <= 0.012 * len(rows) / 2, missed
+
+
+def test_minima_of_neighbouring_shingles_are_those_of_every_shingle(spark):
+    """Bands from runs of shingles are the bands of plain minima, at every length around a run's end."""
+    rng = random.Random(31)
+    some = lambda n: "".join(rng.choice("abcdefgh é😀日") for _ in range(n))
+    rows = [(k, -k, some(n)) for k, n in enumerate([1, 8, 9, 10, *range(14, 28), 72, 73, 300, 2000])]
+    df = spark.createDataFrame(rows, "k1 long, k2 long, line string")
+    each = df.select("k1", F.explode(L.shingles(F.col("line"))).alias("h")).select("k1", "h", L.part_of(F.col("h"), 24).alias("p"))
+    least = {(r["k1"], r["p"]): r["h"] for r in each.groupBy("k1", "p").agg(F.min("h").alias("h")).collect()}
+    plain = [(k, b, [least.get((k, 3 * b + r), r) for r in range(3)]) for k, _, _ in rows for b in range(8)
+             if any((k, 3 * b + r) in least for r in range(3))]
+    want = spark.createDataFrame(plain, "k1 long, b long, m array<long>").select(
+        "k1", F.xxhash64("b", F.col("m")[0], F.col("m")[1], F.col("m")[2]).alias("band"))
+    assert sorted(map(tuple, L.banded(df).select("k1", "band").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_only_lines_of_bands_with_many_lines_get_sketches(spark, monkeypatch):
+    """Pairs of small bands meet by key; near copies of few lines need no sketch and no hubs."""
+    rng, rows, made = random.Random(33), [], []
+    some = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    for g in range(12):
+        base = some(150)
+        rows += [(3 * g + i, base[:75] + x + base[75:]) for i, x in enumerate(("", "Q", "RS"))]
+    head = some(400)
+    rows += [(100 + i, head[:20 * i] + "Z" + head[20 * i + 1:]) for i in range(18)]
+    sketches = L.sketches
+    monkeypatch.setattr(L, "sketches", lambda lines, *a: made.append(lines.count()) or sketches(lines, *a))
+    assert kept(spark, rows) == brute_kept(rows)
+    assert len(made) == 1 and 0 < made[0] <= 18
+
+
+def test_every_pair_of_a_small_band_is_given_once(spark):
+    of = "array<struct<band: long, n: long>>"
+    lines = spark.createDataFrame([(1, [(7, 3), (8, 2)]), (2, [(7, 3), (8, 2)]), (3, [(7, 3), (9, 50)]), (4, [(9, 50)])], f"k1 long, of {of}")
+    assert sorted(map(tuple, L.small_pairs(lines, 8).collect())) == [(1, 2, 1, 2), (1, 3, 1, 3), (2, 3, 2, 3)]
+
+
+def test_arrays_with_repeats_are_compared_as_sets(spark):
+    """At and just under the threshold, with elements of either side repeated up to three times."""
+    rng, rows = random.Random(35), []
+    for union in range(5, 105, 5):
+        for common in (union * 4 // 5, union * 4 // 5 - 1):
+            for more in (0, 1, 30, 2 * union):
+                cut = rng.randrange(union - common + 1)
+                x, y = list(range(common + cut)), list(range(common)) + list(range(common + cut, union))
+                rows.append((10 * common >= 8 * union, x + rng.choices(x, k=more) if x else x, y + rng.choices(y, k=more // 2) if y else y))
+    df = spark.createDataFrame(rows, "want boolean, x array<long>, y array<long>")
+    got = df.select("want", L.are_similar(F.col("x"), F.col("y"), 0.8).alias("is"), L.are_similar(F.col("y"), F.col("x"), 0.8).alias("turned"))
+    assert all(r["is"] == r["turned"] == r["want"] for r in got.collect())
