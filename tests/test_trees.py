@@ -119,6 +119,48 @@ def test_boosting_prefixes_and_side_by_side_settings_equal_refits():
             assert np.allclose(T.sigmoid(z), alone[0, rounds])
 
 
+def test_boostings_are_one_until_a_node_is_too_small():
+    x, y, keys = made(900)
+    codes = T.binned(x, T.bin_edges(x))
+    settings = [{"stepSize": 0.2, "minSamplesSplit": m, "subsamplingRate": 0.8} for m in (60, 2, 9)]
+    _, nodes, together = T.boost(codes, y, keys, settings, 6, 4, 5, codes, (3, 6))
+    for i, s in enumerate(settings):
+        _, want, alone = T.boost(codes, y, keys, [s], 6, 4, 5, codes, (3, 6))
+        got = T.one_boosting(nodes, i, 6)
+        assert all((alone[0, k] == together[i, k]).all() for k in (3, 6))
+        assert all((getattr(got, c) == getattr(want, c)).all() for c in T.Nodes.__dataclass_fields__)
+    assert (together[0, 6] != together[1, 6]).any()
+
+
+def test_trees_do_not_depend_on_how_histograms_are_added_up(monkeypatch):
+    """Joint columns, siblings and nodes in parts give the trees of one histogram a node."""
+    x, y, keys = made(500)
+    codes, weight = T.binned(x, T.bin_edges(x)), T.bootstrap_weights(1, np.arange(3), keys)
+    args = codes, np.stack([y] * 3), weight, np.arange(3), 8
+    grown = []
+    for joint, cells in ((1, 1 << 20), (40, 1 << 20), (1 << 12, 1 << 20), (1 << 12, 50)):
+        monkeypatch.setattr(T, "JOINT", joint)
+        monkeypatch.setattr(T, "CELLS", cells)
+        grown.append(T.grow(*args)[0])
+    pick = T.feature_picker(3, codes.shape[1], "sqrt")
+    picked = []
+    for cells in (1 << 20, 50):
+        monkeypatch.setattr(T, "CELLS", cells)
+        picked.append(T.grow(*args, pick=pick, led=False)[0])
+    for c in T.Nodes.__dataclass_fields__:
+        assert all((getattr(g, c) == getattr(grown[0], c)).all() for g in grown) and (getattr(picked[0], c) == getattr(picked[1], c)).all()
+
+
+def test_one_way_down_scores_every_cut():
+    x, y, keys = made(400)
+    codes = T.binned(x, T.bin_edges(x))
+    nodes, cuts = T.grow_forest(codes[:250], y[:250], keys[:250], 9, 7), [(d, m) for d in (0, 2, 30) for m in (2, 12)]
+    got = T.forest_scores([nodes], codes[250:], [4, 9], cuts)
+    for d, m in cuts:
+        for k, want in T.forest_prefixes(nodes, codes[250:], [4, 9], d, m).items():
+            assert np.allclose(got[k, d, m], want)
+
+
 def test_first_boosting_round_equals_a_plain_learner():
     x, y, keys = made()
     edges = T.bin_edges(x)
