@@ -41,7 +41,6 @@ class JobConfig:
     model_names: list | None = None
     folds: int = fixed.DEFAULT_CV_FOLDS
     partitions: int = M.PARTITIONS
-    max_rows: int = M.TRAIN_ROWS   # labelled rows that the tree ensembles are searched and fitted with
     seed: int = fixed.DEFAULT_RANDOM_STATE
     test_size: float = fixed.DEFAULT_TEST_SIZE
     val_size: float = fixed.DEFAULT_VAL_SIZE
@@ -106,7 +105,7 @@ def train_job(spark: SparkSession, sf_dir: str, cfg: JobConfig | None = None) ->
 
     trained = M.train_models(split.filter(F.col("split") == "train"), feats, grids=cfg.grids,
                              model_names=cfg.model_names, folds=cfg.folds, seed=cfg.seed,
-                             partitions=cfg.partitions, max_rows=cfg.max_rows)
+                             partitions=cfg.partitions)
     held_out = split.filter(F.col("split").isin("validation", "test"))
     preds = None
     for name, t in trained.items():

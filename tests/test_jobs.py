@@ -81,6 +81,22 @@ def test_requests_are_validated_before_scoring(spark, result):
     assert scored.filter(~F.col("success_probability").between(0, 1)).count() == 0
 
 
+def test_requests_are_scored_with_a_model_of_every_training_row(spark, monkeypatch):
+    """More members than the 10,000 rows that models were once fitted with."""
+    members = X.engineered_table(*[roles.role_views(spark, SF)[i] for i in (0, 2, 1)], X.DEFAULT_AS_OF)
+    times = 17_000 // members.count() + 1
+    many = members.crossJoin(spark.range(times).withColumnRenamed("id", "_i")).withColumn(
+        "student_id", F.col("student_id") + 1_000_000 * F.col("_i")).drop("_i")
+    monkeypatch.setattr(jobs, "feature_frame", lambda *a, **k: many)
+    grids = {"gradient_boosting": {"maxIter": [2], "stepSize": [0.1], "maxDepth": [2]}}
+    res = jobs.train_job(spark, SF, jobs.JobConfig(grids=grids, folds=2))
+    rows = spark.read.parquet(f"{res.path}/split").filter("split = 'train'").count()
+    model = res.trained[res.best].model
+    assert rows > 10_000 and (model.nodes.query("depth == 0").n == rows).all()
+    scored, _ = jobs.score_requests(spark, roles.prediction_requests(spark, SF), res)
+    assert scored.count() > 0 and scored.filter(~F.col("success_probability").between(0, 1)).count() == 0
+
+
 def test_too_many_classes_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(X, "MAX_CLASSES", 3)
     df = spark.createDataFrame([(i, f"m{i}") for i in range(5)], "student_id long, major string")
