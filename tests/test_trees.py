@@ -119,7 +119,19 @@ def test_boosting_prefixes_and_side_by_side_settings_equal_refits():
             assert np.allclose(T.sigmoid(z), alone[0, rounds])
 
 
-def test_boostings_are_one_until_a_node_is_too_small():
+def test_rounded_residuals_give_the_same_boosting(monkeypatch):
+    x, y, keys = made(700)
+    codes = T.binned(x, T.bin_edges(x))
+    plain = T.boost(codes, y, keys, SETTINGS, 8, 3, 5, codes, (8,))
+    monkeypatch.setattr(T, "EXACT_ROWS", 0)
+    rounded = T.boost(codes, y, keys, SETTINGS, 8, 3, 5, codes, (8,))
+    assert (plain[1].feature == rounded[1].feature).all() and (plain[1].bin == rounded[1].bin).all()
+    assert all(np.allclose(plain[2][i, 8], rounded[2][i, 8], atol=1e-9) for i in (0, 1))
+
+
+@pytest.mark.parametrize("exact_rows", [0, 10_000])
+def test_boostings_are_one_until_a_node_is_too_small(monkeypatch, exact_rows):
+    monkeypatch.setattr(T, "EXACT_ROWS", exact_rows)
     x, y, keys = made(900)
     codes = T.binned(x, T.bin_edges(x))
     settings = [{"stepSize": 0.2, "minSamplesSplit": m, "subsamplingRate": 0.8} for m in (60, 2, 9)]
@@ -138,10 +150,11 @@ def test_trees_do_not_depend_on_how_histograms_are_added_up(monkeypatch):
     codes, weight = T.binned(x, T.bin_edges(x)), T.bootstrap_weights(1, np.arange(3), keys)
     args = codes, np.stack([y] * 3), weight, np.arange(3), 8
     grown = []
-    for joint, cells in ((1, 1 << 20), (40, 1 << 20), (1 << 12, 1 << 20), (1 << 12, 50)):
+    for few, joint, cells in ((1 << 12, 1, 1 << 20), (0, 1, 1 << 20), (0, 40, 1 << 20), (0, 1 << 12, 1 << 20), (0, 1 << 12, 50)):
+        monkeypatch.setattr(T, "FEW", few)
         monkeypatch.setattr(T, "JOINT", joint)
         monkeypatch.setattr(T, "CELLS", cells)
-        grown.append(T.grow(*args)[0])
+        grown += [T.grow(*args, exact=exact)[0] for exact in (False, True)]
     pick = T.feature_picker(3, codes.shape[1], "sqrt")
     picked = []
     for cells in (1 << 20, 50):
